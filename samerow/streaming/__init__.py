@@ -1,0 +1 @@
+"""Empty on purpose: duplicates are found in one batch over finished files; there is no stream to process."""
