@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from samerow.operators.skew import key_hash
+
 
 def count_by_file(rows: DataFrame) -> DataFrame:
     """``key, path, file, n``: occurrences of every key in every file."""
@@ -52,7 +54,7 @@ def key_summary(rows: DataFrame, min_rows: int = 2) -> DataFrame:
     """
     first = F.min(F.struct("file", "path", "block", "pos", "prefix"))
     return (
-        rows.groupBy("key")
+        rows.groupBy(key_hash(), "key")
         .agg(F.count("*").alias("n_rows"), first.alias("first"))
         .filter(F.col("n_rows") >= min_rows)
         .select(

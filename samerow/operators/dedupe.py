@@ -5,14 +5,14 @@ File order is by name, then full path; inside a file by position. A key stays on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from samerow.operators.skew import ROWS_PER_SALT, join_on_key
+from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash
 
 KEPT, CROSS_DELETED, WITHIN_DELETED = "kept", "cross_deleted", "within_deleted"
 
 
-def _first_per(rows: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
+def _first_per(rows: DataFrame, partition: list[str | Column], order: list[str]) -> DataFrame:
     # Spark limits each group inside the scan tasks too, so a hot key is one row per task when it is shuffled.
     rank = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
     return rows.withColumn("rank", rank).filter(F.col("rank") == 1).drop("rank")
@@ -20,12 +20,12 @@ def _first_per(rows: DataFrame, partition: list[str], order: list[str]) -> DataF
 
 def dedupe_all(rows: DataFrame) -> DataFrame:
     """One row per key: the first in the file with the smallest name."""
-    return _first_per(rows, ["key"], ["file", "path", "block", "pos"])
+    return _first_per(rows, [key_hash(), "key"], ["file", "path", "block", "pos"])
 
 
 def dedupe_within(rows: DataFrame) -> DataFrame:
     """The first row of each key inside each file."""
-    return _first_per(rows, ["path", "key"], ["block", "pos"])
+    return _first_per(rows, [key_hash(), "key", "path"], ["block", "pos"])
 
 
 def dedupe_cross_only(rows: DataFrame, summary: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -38,7 +38,7 @@ def keep_file(rows: DataFrame) -> DataFrame:
     """``key, keep_file, keep_path``: the file each key stays in."""
     smallest = F.min(F.struct("file", "path")).alias("smallest")
     return (
-        rows.groupBy("key")
+        rows.groupBy(key_hash(), "key")
         .agg(smallest)
         .select("key", F.col("smallest.file").alias("keep_file"), F.col("smallest.path").alias("keep_path"))
     )

@@ -88,12 +88,11 @@ def render_report(entries: DataFrame, labels: Labels = ENGLISH) -> DataFrame:
 
 
 def _empty_report(entries: DataFrame, labels: Labels) -> DataFrame:
-    one = entries.sparkSession.range(1).select(F.lit(0).alias("seq"), F.lit(labels.empty).alias("text"))
-    any_entry = entries.limit(1).select(F.lit(0).alias("seq"))
-    return one.join(any_entry, "seq", "left_anti").select(
+    entry_count = entries.limit(1).agg(F.count("*").alias("n"))
+    return entry_count.filter(F.col("n") == 0).select(
         F.lit("").alias("prefix"),
         F.lit(None).cast(entries.schema["key"].dataType).alias("key"),
-        "seq",
+        F.lit(0).alias("seq"),
         F.lit("").alias("file"),
-        "text",
+        F.lit(labels.empty).alias("text"),
     )

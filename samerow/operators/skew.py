@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # A key with more rows than this is spread over several join partitions.
 ROWS_PER_SALT = 1_000_000
@@ -10,11 +10,20 @@ ROWS_PER_SALT = 1_000_000
 MAX_HOT_KEYS = 1_000
 
 
+def key_hash() -> Column:
+    """Goes before ``key`` in grouping, window and join columns.
+
+    Keys often begin alike. Sorting by a number first settles nearly every comparison without reading them;
+    the key itself stays in the columns, so two keys with one hash are still told apart.
+    """
+    return F.xxhash64("key").alias("key_hash")
+
+
 def hot_keys(keys: DataFrame, weight: str, rows_per_salt: int) -> DataFrame | None:
-    """``hash, salts`` of the largest keys, at most ``MAX_HOT_KEYS`` rows of two numbers; None if there are none."""
+    """``key_hash, salts`` of the largest keys, at most ``MAX_HOT_KEYS`` rows of two numbers; None without any."""
     largest = (
         keys.filter(F.col(weight) > rows_per_salt)
-        .select(F.xxhash64("key").alias("hash"), F.ceil(F.col(weight) / rows_per_salt).alias("salts"))
+        .select(key_hash(), F.ceil(F.col(weight) / rows_per_salt).alias("salts"))
         .orderBy(F.desc("salts"))
         .limit(MAX_HOT_KEYS)
         .collect()
@@ -24,8 +33,8 @@ def hot_keys(keys: DataFrame, weight: str, rows_per_salt: int) -> DataFrame | No
     # Two keys may share a hash. Both sides look the salts up by hash, so the larger number serves both.
     salts: dict[int, int] = {}
     for row in largest:
-        salts[row["hash"]] = max(row["salts"], salts.get(row["hash"], 0))
-    return keys.sparkSession.createDataFrame(list(salts.items()), "hash long, salts long")
+        salts[row["key_hash"]] = max(row["salts"], salts.get(row["key_hash"], 0))
+    return keys.sparkSession.createDataFrame(list(salts.items()), "key_hash long, salts long")
 
 
 def join_on_key(
@@ -41,14 +50,16 @@ def join_on_key(
     below the broadcast threshold. Otherwise both sides are shuffled, and the rows of a hot key are split by a
     salt from their position while its row in ``keys`` is repeated once per salt. No row is lost or doubled.
     """
+    on = ["key_hash", "key"]
+    left, right = rows.select("*", key_hash()), keys.select("*", key_hash())
     hot = hot_keys(keys, weight, rows_per_salt)
-    if hot is None:
-        return rows.join(keys, "key", how)
-    position = [c for c in ("path", "block", "pos") if c in rows.columns]
-    left = rows.join(F.broadcast(hot), F.xxhash64("key") == F.col("hash"), "left").select(
-        *rows.columns, F.coalesce(F.pmod(F.xxhash64(*position), F.col("salts")), F.lit(0)).alias("salt")
-    )
-    right = keys.join(F.broadcast(hot), F.xxhash64("key") == F.col("hash"), "left").select(
-        *keys.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
-    )
-    return left.join(right, ["key", "salt"], how).drop("salt")
+    if hot is not None:
+        on.append("salt")
+        hot = F.broadcast(hot)
+        position = [c for c in ("path", "block", "pos") if c in rows.columns]
+        spread = F.pmod(F.xxhash64(*position), F.col("salts"))
+        each = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
+        left = left.join(hot, "key_hash", "left").withColumn("salt", F.coalesce(spread, F.lit(0)))
+        right = right.join(hot, "key_hash", "left").withColumn("salt", F.explode(each))
+    joined = left.drop("salts").join(right.drop("salts"), on, how)
+    return joined.drop("key_hash", "salt")
