@@ -19,7 +19,7 @@ from samerow.operators.dedupe import (
     rows_by_prefix,
 )
 from samerow.operators.entries import cross_prefixes, distinct_prefixes, file_lists, report_entries
-from samerow.operators.numbering import avg_line_length, line_numbers
+from samerow.operators.numbering import avg_line_length, index_blocks, line_numbers
 from samerow.operators.report import (
     ENGLISH,
     HUNGARIAN,
@@ -52,6 +52,7 @@ __all__ = [
     "duplicate_rows",
     "duplicates",
     "file_lists",
+    "index_blocks",
     "join_on_key",
     "keep_file",
     "key_summary",

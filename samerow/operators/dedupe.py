@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash
+from samerow.session import save
 
 KEPT, CROSS_DELETED, WITHIN_DELETED = "kept", "cross_deleted", "within_deleted"
 
@@ -48,7 +49,7 @@ def row_fate(rows: DataFrame, summary: DataFrame, rows_per_salt: int = ROWS_PER_
     """Add ``keep_file`` and ``fate`` (kept, cross_deleted or within_deleted) to every row.
 
     ``summary`` is the stored ``key_summary`` of the same rows. No window: a row is kept if it is the first
-    row of its key, which the summary names, or if its key is no duplicate.
+    row of its key, which the summary names, or if its key is no duplicate. Rows without a key are kept.
     """
     keep = summary.select("key", "n_rows", "keep_file", "keep_path", "keep_block", "keep_pos")
     is_first = (F.col("block") == F.col("keep_block")) & (F.col("pos") == F.col("keep_pos"))
@@ -74,11 +75,12 @@ def deletion_candidates(rows: DataFrame, totals: DataFrame, rows_per_salt: int =
     return duplicate_rows(rows, totals.filter(F.col("n_files") > 1), rows_per_salt)
 
 
-def rows_by_prefix(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The rows whose displayed prefix is in ``prefixes``."""
-    return rows.join(prefixes, "prefix", "left_semi")
+def rows_by_prefix(rows: DataFrame, prefixes: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """The rows whose displayed prefix is in ``prefixes``, a stored ``cross_prefixes`` result."""
+    return join_on_key(rows, prefixes, "left_semi", on="prefix", rows_per_salt=rows_per_salt)
 
 
-def remove_rows(rows: DataFrame, removal: DataFrame) -> DataFrame:
+def remove_rows(rows: DataFrame, removal: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Drop every row whose stripped text is listed for its file in ``removal`` (``path, line``)."""
-    return rows.join(removal, ["path", "line"], "left_anti")
+    listed = save(removal.groupBy("path", "line").agg(F.count("*").alias("n_rows")))
+    return join_on_key(rows, listed, "left_anti", on=["path", "line"], rows_per_salt=rows_per_salt)

@@ -43,8 +43,9 @@ def report_entries(rows: DataFrame, summary: DataFrame, rows_per_salt: int = ROW
 
 
 def cross_prefixes(entries: DataFrame) -> DataFrame:
-    """Displayed prefixes of keys in several files."""
-    return entries.filter((F.col("scope") == "cross") & F.col("is_first")).select("prefix").distinct()
+    """``prefix, n_rows``: displayed prefixes of keys in several files, with the rows of these keys."""
+    cross = entries.filter((F.col("scope") == "cross") & F.col("is_first"))
+    return cross.groupBy("prefix").agg(F.sum("n_rows").alias("n_rows"))
 
 
 def distinct_prefixes(entries: DataFrame) -> DataFrame:

@@ -16,16 +16,25 @@ SAMPLE_LINES = 10_000
 DEFAULT_LENGTH = 150.0
 
 
-def _block_offsets(lines: DataFrame) -> DataFrame:
-    """``path, block, start, before``: first position in the block, and lines of the file before it."""
-    blocks = lines.groupBy("path", "block").agg(F.min("pos").alias("start"), F.count("*").alias("n"))
+def index_blocks(lines: DataFrame) -> DataFrame:
+    """``path, file, block, start, n``: first position and number of lines of every block.
+
+    A stored table of one row per block. Headers, line counts and line numbers all come from it.
+    """
+    return save(
+        lines.groupBy("path", "file", "block").agg(F.min("pos").alias("start"), F.count("*").alias("n"))
+    )
+
+
+def _offsets(blocks: DataFrame) -> DataFrame:
+    """``path, block, start, before``: ``before`` is the number of lines in earlier blocks of the file."""
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.select("path", "block", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
 
-def line_numbers(lines: DataFrame) -> DataFrame:
+def line_numbers(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Add ``line_no``, counted from 1 in each file. Positions inside a block must be consecutive."""
-    offsets = save(_block_offsets(lines))
+    offsets = save(_offsets(index_blocks(lines) if blocks is None else blocks))
     return lines.join(offsets, ["path", "block"]).select(
         *[lines[c] for c in lines.columns],
         (F.col("before") + F.col("pos") - F.col("start") + 1).alias("line_no"),
@@ -35,10 +44,10 @@ def line_numbers(lines: DataFrame) -> DataFrame:
 def avg_line_length(lines: DataFrame, files: DataFrame, limit: int = SAMPLE_LINES) -> DataFrame:
     """Per file of ``files``, the mean stripped length of its first ``limit`` non-blank lines."""
     texts = lines.filter(~is_blank(F.col("value"))).select(
-        "path", "block", "pos", F.length(strip_py(F.col("value"))).alias("length")
+        "path", "file", "block", "pos", F.length(strip_py(F.col("value"))).alias("length")
     )
     # Only the blocks that begin inside the sample are looked at again.
-    starts = save(_block_offsets(texts).filter(F.col("before") < limit))
+    starts = save(_offsets(index_blocks(texts)).filter(F.col("before") < limit))
     place = F.row_number().over(Window.partitionBy("path", "block").orderBy("pos"))
     sample = (
         texts.join(starts, ["path", "block"])

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from samerow.operators.skew import join_on_key
+
 
 @dataclass(frozen=True)
 class Labels:
@@ -53,12 +55,13 @@ def annotate_entries(
     if not cross_only:
         n = F.when(F.col("scope") == "cross", n).otherwise(F.col("n_within_deleted"))
     shown = F.when(n > 0, _fill(labels.deleted, n=n, file=F.col("file"))).otherwise(F.col("file"))
-    return entries.join(stats.drop("file"), "path", "left").select(*entries.columns, shown.alias("shown"))
+    joined = join_on_key(entries, stats.drop("file"), "left", on="path", weight="n_keys")
+    return joined.select(*entries.columns, shown.alias("shown"))
 
 
 def unlisted_files(entries: DataFrame, stats: DataFrame, labels: Labels = ENGLISH) -> DataFrame:
     """Entries for files that lost repeated rows but are named by no entry."""
-    lost = stats.filter(F.col("n_within_deleted") > 0).join(entries.select("path"), "path", "left_anti")
+    lost = stats.filter(F.col("n_within_deleted") > 0).join(entries.select("path").distinct(), "path", "left_anti")
     return lost.select(
         _fill(labels.unlisted, file=F.col("file")).alias("prefix"),
         F.lit(None).cast(entries.schema["key"].dataType).alias("key"),

@@ -1,4 +1,4 @@
-"""Joins on the key that stay balanced when one key holds a large part of all rows."""
+"""Joins that stay balanced when one key holds a large part of all rows."""
 
 from __future__ import annotations
 
@@ -10,20 +10,20 @@ ROWS_PER_SALT = 1_000_000
 MAX_HOT_KEYS = 1_000
 
 
-def key_hash() -> Column:
-    """Goes before ``key`` in grouping, window and join columns.
+def key_hash(*key: str) -> Column:
+    """Goes before the key in grouping, window and join columns.
 
     Keys often begin alike. Sorting by a number first settles nearly every comparison without reading them;
     the key itself stays in the columns, so two keys with one hash are still told apart.
     """
-    return F.xxhash64("key").alias("key_hash")
+    return F.xxhash64(*(key or ("key",))).alias("key_hash")
 
 
-def hot_keys(keys: DataFrame, weight: str, rows_per_salt: int) -> DataFrame | None:
+def hot_keys(keys: DataFrame, on: list[str], weight: str, rows_per_salt: int) -> DataFrame | None:
     """``key_hash, salts`` of the largest keys, at most ``MAX_HOT_KEYS`` rows of two numbers; None without any."""
     largest = (
         keys.filter(F.col(weight) > rows_per_salt)
-        .select(key_hash(), F.ceil(F.col(weight) / rows_per_salt).alias("salts"))
+        .select(key_hash(*on), F.ceil(F.col(weight) / rows_per_salt).alias("salts"))
         .orderBy(F.desc("salts"))
         .limit(MAX_HOT_KEYS)
         .collect()
@@ -41,25 +41,29 @@ def join_on_key(
     rows: DataFrame,
     keys: DataFrame,
     how: str,
+    on: str | list[str] = "key",
     weight: str = "n_rows",
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Join ``rows`` with ``keys``, which has one row per key and its number of rows in ``weight``.
+    """Join ``rows`` with ``keys``, which has one row per key and, in ``weight``, its number of rows.
 
     ``keys`` should be a stored table (``session.save``): the planner then broadcasts it only if its files are
     below the broadcast threshold. Otherwise both sides are shuffled, and the rows of a hot key are split by a
-    salt from their position while its row in ``keys`` is repeated once per salt. No row is lost or doubled.
+    salt from their position while its row in ``keys`` is repeated once per salt. Rows without a key match
+    nothing, so they are spread by position as well. No row is lost or doubled.
     """
-    on = ["key_hash", "key"]
-    left, right = rows.select("*", key_hash()), keys.select("*", key_hash())
-    hot = hot_keys(keys, weight, rows_per_salt)
+    on = [on] if isinstance(on, str) else on
+    position = F.xxhash64(*[c for c in ("path", "block", "pos", "key") if c in rows.columns])
+    has_key = F.col(on[0]).isNotNull()
+    left = rows.withColumn("key_hash", F.when(has_key, key_hash(*on)).otherwise(position))
+    right = keys.select("*", key_hash(*on))
+    by = ["key_hash", *on]
+    hot = hot_keys(keys, on, weight, rows_per_salt)
     if hot is not None:
-        on.append("salt")
+        by.append("salt")
         hot = F.broadcast(hot)
-        position = [c for c in ("path", "block", "pos") if c in rows.columns]
-        spread = F.pmod(F.xxhash64(*position), F.col("salts"))
+        spread = F.coalesce(F.pmod(position, F.col("salts")), F.lit(0))
         each = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
-        left = left.join(hot, "key_hash", "left").withColumn("salt", F.coalesce(spread, F.lit(0)))
-        right = right.join(hot, "key_hash", "left").withColumn("salt", F.explode(each))
-    joined = left.drop("salts").join(right.drop("salts"), on, how)
-    return joined.drop("key_hash", "salt")
+        left = left.join(hot, "key_hash", "left").withColumn("salt", spread).drop("salts")
+        right = right.join(hot, "key_hash", "left").withColumn("salt", F.explode(each)).drop("salts")
+    return left.join(right, by, how).drop("key_hash", "salt")

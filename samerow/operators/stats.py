@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def line_counts(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def line_counts(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """``path, file, n_lines``: lines per file without the header, blank ones included.
 
-    ``files`` (``list_inputs``) adds the files that have no line at all.
+    ``blocks`` is an ``index_blocks`` result; ``files`` (``list_inputs``) adds the files without any line.
     """
-    counts = lines.groupBy("path", "file").agg(F.count("*").alias("n"))
+    counts = blocks.groupBy("path", "file").agg(F.sum("n").alias("n"))
     if files is not None:
         counts = files.select("path", "file").join(counts.select("path", "n"), "path", "left")
-    return counts.select(
-        "path", "file", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).cast("long").alias("n_lines")
-    )
+    return counts.select("path", "file", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).alias("n_lines"))
 
 
 def deletion_stats(entries: DataFrame) -> DataFrame:
-    """``path, file, n_cross_deleted, n_within_deleted`` of every file with duplicates.
+    """``path, file, n_keys, n_cross_deleted, n_within_deleted`` of every file with duplicate keys.
 
     A key loses all its rows in the files it does not stay in, and all but one in the file it stays in. So the
     numbers follow from the report entries, without another look at the rows.
     """
     n = F.col("n")
     return entries.groupBy("path", "file").agg(
+        F.count("*").alias("n_keys"),
         F.sum(F.when(F.col("is_first"), 0).otherwise(n)).alias("n_cross_deleted"),
         F.sum(F.when(F.col("is_first"), n - 1).otherwise(0)).alias("n_within_deleted"),
     )

@@ -14,6 +14,7 @@ from samerow.operators import (
     dedupe_cross_only,
     dedupe_within,
     deletion_stats,
+    index_blocks,
     key_summary,
     line_counts,
     render_report,
@@ -24,7 +25,7 @@ from samerow.operators import (
 )
 from samerow.operators.dedupe import KEPT
 from samerow.session import configure, save
-from samerow.sources import keyed, list_inputs, mark_headers, read_lines, rewrite
+from samerow.sources import key_lines, list_inputs, mark_headers, read_lines, rewrite
 from samerow.sources.files import FILE_PATTERN
 
 
@@ -43,11 +44,12 @@ class Options:
 
 @dataclass(frozen=True)
 class Found:
-    """``summary`` and ``entries`` are stored tables of the duplicates only; the rest is lazy."""
+    """``summary`` and ``entries`` are stored tables of the duplicates only; ``listed`` are the reported entries."""
 
     rows: DataFrame
     summary: DataFrame
     entries: DataFrame
+    listed: DataFrame
     text: DataFrame
 
 
@@ -63,13 +65,13 @@ def find_in_rows(rows: DataFrame, options: Options = Options()) -> Found:
     configure(rows.sparkSession)
     summary = save(key_summary(rows))
     entries = save(report_entries(rows, summary))
-    return Found(rows, summary, entries, render_report(_listed(entries, options), options.labels))
+    listed = entries.filter(F.col("scope") == "cross") if options.cross_only else entries
+    return Found(rows, summary, entries, listed, render_report(listed, options.labels))
 
 
 def find_duplicates(spark: SparkSession, path: str, options: Options = Options()) -> Found:
     """Duplicates of the text files below ``path``."""
-    marked = mark_headers(read_lines(spark, path, options.pattern, options.recursive))
-    return find_in_rows(_keyed(marked, options), options)
+    return _find(_scan(spark, path, options), options)
 
 
 def clean(
@@ -82,40 +84,55 @@ def clean(
     """
     if mode not in ("all", "cross", "within"):
         raise ValueError(f"mode must be all, cross or within, not {mode!r}")
-    marked = mark_headers(read_lines(spark, path, options.pattern, options.recursive))
-    found = find_in_rows(_keyed(marked, options), options)
+    scan = _scan(spark, path, options)
+    found = _find(scan, options)
 
     stats = deletion_stats(found.entries)
-    if mode == "cross":
-        stats = stats.withColumn("n_within_deleted", F.lit(0).cast("long"))
-        kept = dedupe_cross_only(found.rows, found.summary)
-    elif mode == "within":
-        repeats = found.entries.groupBy("path", "file").agg(F.sum(F.col("n") - 1).alias("n_within_deleted"))
-        stats = repeats.withColumn("n_cross_deleted", F.lit(0).cast("long"))
-        kept = dedupe_within(found.rows)
+    none = F.lit(0).cast("long")
+    if mode == "within":
+        kept = dedupe_within(found.rows).unionByName(scan.lines.filter(F.col("key").isNull()))
+        surplus = found.entries.groupBy("path", "file").agg(
+            F.count("*").alias("n_keys"), F.sum(F.col("n") - 1).alias("n_within_deleted")
+        )
+        stats = surplus.withColumn("n_cross_deleted", none)
+    elif mode == "cross":
+        kept = dedupe_cross_only(scan.lines, found.summary)
+        stats = stats.withColumn("n_within_deleted", none)
     else:
-        kept = row_fate(found.rows, found.summary).filter(F.col("fate") == KEPT)
+        kept = row_fate(scan.lines, found.summary).filter(F.col("fate") == KEPT)
     stats = save(stats)
-    rewrite(marked, kept, out_dir, root=path)
+    rewrite(kept, out_dir, root=path)
 
-    listed = annotate_entries(_listed(found.entries, options), stats, options.labels, cross_only=mode == "cross")
-    everything = save(listed.unionByName(unlisted_files(listed, stats, options.labels)))
-    files = list_inputs(spark, path, options.pattern, options.recursive)
+    shown = annotate_entries(found.listed, stats, options.labels, cross_only=mode == "cross")
+    everything = save(shown.unionByName(unlisted_files(shown, stats, options.labels)))
     return Cleaned(
-        stats, run_summary(line_counts(marked, files), stats), render_report(everything, options.labels)
+        stats, run_summary(line_counts(scan.blocks, scan.files), stats), render_report(everything, options.labels)
     )
 
 
-def _keyed(marked: DataFrame, options: Options) -> DataFrame:
-    return keyed(
-        marked,
+@dataclass(frozen=True)
+class _Scan:
+    files: DataFrame
+    blocks: DataFrame
+    lines: DataFrame
+
+
+def _scan(spark: SparkSession, path: str, options: Options) -> _Scan:
+    files = list_inputs(spark, path, options.pattern, options.recursive)
+    (total,) = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
+    configure(spark, total)
+    lines = read_lines(spark, path, options.pattern, options.recursive)
+    blocks = index_blocks(lines)
+    keys = key_lines(
+        mark_headers(lines, blocks),
         options.delimiter,
         options.n_fields,
         options.prefix_len,
         options.drop_empty_keys,
         options.tabs_to_spaces,
     )
+    return _Scan(files, blocks, keys)
 
 
-def _listed(entries: DataFrame, options: Options) -> DataFrame:
-    return entries.filter(F.col("scope") == "cross") if options.cross_only else entries
+def _find(scan: _Scan, options: Options) -> Found:
+    return find_in_rows(scan.lines.filter(F.col("key").isNotNull()), options)

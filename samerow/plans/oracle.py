@@ -82,7 +82,7 @@ fates AS (
 
 STATS = f"""{FATES},
 stats AS (
-  SELECT file, count(*) FILTER (fate = 'cross_deleted') AS n_cross_deleted,
+  SELECT file, count(DISTINCT key) AS n_keys, count(*) FILTER (fate = 'cross_deleted') AS n_cross_deleted,
          count(*) FILTER (fate = 'within_deleted') AS n_within_deleted
   FROM fates WHERE key IN (SELECT key FROM keyed GROUP BY key HAVING count(*) > 1) GROUP BY file)"""
 

@@ -25,6 +25,7 @@ from samerow.operators import (
     duplicate_rows,
     duplicates,
     file_lists,
+    index_blocks,
     keep_file,
     key_summary,
     line_counts,
@@ -44,6 +45,7 @@ from samerow.sources import (
     LINE_SUFFIXES,
     chunked,
     drop_first_rows,
+    key_lines,
     keyed,
     list_inputs,
     mark_headers,
@@ -168,7 +170,8 @@ def folder_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def marked_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(mark_headers(folder_lines(spark, sf)))
+    lines = folder_lines(spark, sf)
+    return _named(mark_headers(lines, index_blocks(lines)))
 
 
 # ---- shared steps ---------------------------------------------------------------------------------------
@@ -361,7 +364,7 @@ def q_dup_summary_lineitem(spark, sf):
 def q_line_counts(spark, sf):
     folder = document_folder(spark, sf)
     files = list_inputs(spark, folder, "*.txt", recursive=True)
-    return _named(line_counts(folder_lines(spark, sf), files)).select("file", "n_lines")
+    return _named(line_counts(index_blocks(folder_lines(spark, sf)), files)).select("file", "n_lines")
 
 
 def q_within_surplus(spark, sf):
@@ -388,7 +391,7 @@ def q_deletion_totals(spark, sf):
 
 def q_run_summary(spark, sf):
     lines = marked_lines(spark, sf)
-    return run_summary(line_counts(lines), deletion_stats(_entries(keyed(lines, **TEXT_ARGS))))
+    return run_summary(line_counts(index_blocks(lines)), deletion_stats(_entries(keyed(lines, **TEXT_ARGS))))
 
 
 def q_duplicate_rows(spark, sf):
@@ -398,7 +401,7 @@ def q_duplicate_rows(spark, sf):
 
 def q_rows_by_prefix(spark, sf):
     rows = document_rows(spark, sf)
-    return rows_by_prefix(rows, cross_prefixes(_entries(rows))).select("file", "pos", "line")
+    return rows_by_prefix(rows, save(cross_prefixes(_entries(rows)))).select("file", "pos", "line")
 
 
 def q_deletion_candidates(spark, sf):
@@ -486,9 +489,10 @@ def q_cleaned_rows(spark, sf):
 
 def q_rewrite_files(spark, sf):
     lines = marked_lines(spark, sf)
-    kept = _fates(keyed(lines, **TEXT_ARGS)).filter(F.col("fate") == KEPT)
+    summary = save(key_summary(keyed(lines, **TEXT_ARGS)))
+    fates = row_fate(key_lines(lines, **TEXT_ARGS), summary)
     out = scratch_dir(spark)
-    rewrite(lines, kept, out)
+    rewrite(fates.filter(F.col("fate") == KEPT), out)
     return line_numbers(read_rewritten(spark, out)).select("file", "line_no", "value")
 
 

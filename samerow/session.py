@@ -8,14 +8,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Switch on adaptive execution with skew-join splitting, also where the split costs one more shuffle."""
+# Input bytes per shuffle partition before adaptive execution joins small ones.
+PARTITION_BYTES = 128 * 1024 * 1024
+MAX_PARTITIONS = 100_000
+
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def configure(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Switch on adaptive execution with skew-join splitting, also where the split costs one more shuffle.
+
+    With ``input_bytes`` shuffles start with enough partitions for data of that size to fit into memory.
+    Adaptive execution joins those that turn out small.
+    """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    wanted = min(input_bytes // PARTITION_BYTES, MAX_PARTITIONS)
+    if wanted > shuffle_partitions(spark):
+        spark.conf.set(_INITIAL, str(wanted))
     return spark
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def pin_splits(spark: SparkSession) -> None:
     """Keep file splits the same for every scan of this session.
 

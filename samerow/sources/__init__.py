@@ -1,4 +1,4 @@
-from samerow.sources.files import LINE_SUFFIXES, keyed, list_inputs, mark_headers, read_lines
+from samerow.sources.files import LINE_SUFFIXES, key_lines, keyed, list_inputs, mark_headers, read_lines
 from samerow.sources.sinks import read_rewritten, rewrite, write_report
 from samerow.sources.tables import chunked, drop_first_rows, rows_from_lines, rows_from_table, split_lines
 
@@ -6,6 +6,7 @@ __all__ = [
     "LINE_SUFFIXES",
     "chunked",
     "drop_first_rows",
+    "key_lines",
     "keyed",
     "list_inputs",
     "mark_headers",

@@ -81,21 +81,19 @@ def list_inputs(
     )
 
 
-def mark_headers(lines: DataFrame, max_broadcast_files: int = MAX_BROADCAST_FILES) -> DataFrame:
+def mark_headers(
+    lines: DataFrame, blocks: DataFrame, max_broadcast_files: int = MAX_BROADCAST_FILES
+) -> DataFrame:
     """Add ``is_header``, ``line`` (the stripped text) and ``is_blank``.
 
-    The header is the first line of the split at offset 0. Only the positions of the headers, one number per
-    file, are joined back; they are broadcast while the file count, known from the listing, allows it.
+    The header is the first line of the block at offset 0; ``blocks`` is the ``index_blocks`` result of the
+    same lines. Only the positions of the headers, one number per file, are joined; they are broadcast after
+    a check of their number.
     """
-    first = (
-        lines.filter(F.col("block") == 0)
-        .groupBy("path")
-        .agg(F.min("pos").alias("header_pos"))
-        .select("header_pos")
-    )
-    if len(lines.inputFiles()) <= max_broadcast_files:
-        first = F.broadcast(first)
-    return lines.join(first, F.col("pos") == F.col("header_pos"), "left").select(
+    headers = blocks.filter(F.col("block") == 0).select(F.col("start").alias("header_pos"))
+    if headers.count() <= max_broadcast_files:
+        headers = F.broadcast(headers)
+    return lines.join(headers, F.col("pos") == F.col("header_pos"), "left").select(
         *lines.columns,
         F.col("header_pos").isNotNull().alias("is_header"),
         strip_py(F.col("value")).alias("line"),
@@ -103,7 +101,7 @@ def mark_headers(lines: DataFrame, max_broadcast_files: int = MAX_BROADCAST_FILE
     )
 
 
-def keyed(
+def key_lines(
     marked: DataFrame,
     delimiter: str = DELIMITER,
     n_fields: int = N_FIELDS,
@@ -111,13 +109,17 @@ def keyed(
     drop_empty_keys: bool = False,
     tabs_to_spaces: bool = False,
 ) -> DataFrame:
-    """The rows that take part in detection: no header, no blank line; with ``key`` and ``prefix``."""
+    """All lines with ``key`` and ``prefix``. Headers and blank lines have no key."""
     line = F.col("line")
-    rows = marked.filter(~F.col("is_header") & ~F.col("is_blank")).drop("is_header", "is_blank")
-    rows = rows.withColumns(
-        {
-            "key": key_fields(line, delimiter, n_fields),
-            "prefix": line_prefix(line, prefix_len, tabs_to_spaces),
-        }
+    key = key_fields(line, delimiter, n_fields)
+    takes_part = ~F.col("is_header") & ~F.col("is_blank")
+    if drop_empty_keys:
+        takes_part &= key != ""
+    return marked.withColumns(
+        {"key": F.when(takes_part, key), "prefix": line_prefix(line, prefix_len, tabs_to_spaces)}
     )
-    return rows.filter(F.col("key") != "") if drop_empty_keys else rows
+
+
+def keyed(marked: DataFrame, **options) -> DataFrame:
+    """The rows that take part in detection, those of ``key_lines`` with a key."""
+    return key_lines(marked, **options).filter(F.col("key").isNotNull())

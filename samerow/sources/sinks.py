@@ -8,42 +8,46 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from samerow.sources.files import percent_decoded, read_lines
 
+# Wide enough for any offset, so that folders in name order are in file order.
+BLOCK_DIGITS = 19
 
-def rewrite(marked: DataFrame, kept: DataFrame, out_dir: str, root: str | None = None) -> None:
-    """Write header, blank lines and ``kept`` rows of every file to ``out_dir``, in their old order.
 
-    Output is one folder ``source=<path below root>`` per input file. Lines are sorted over all tasks, so
-    one huge file is written by many; its parts in name order make up the file. Inputs are left untouched.
+def rewrite(lines: DataFrame, out_dir: str, root: str | None = None) -> None:
+    """Write the lines that stay, headers and blank ones among them, to ``out_dir``; inputs are left untouched.
+
+    Output is one folder ``source=<path below root>/block=<offset>`` per split of an input file. Its lines keep
+    their order, and the blocks in name order make up the file. One huge file is written by many tasks, and
+    no sampling pass over the lines is needed, as a total sort would.
     """
-    columns = ["path", "block", "pos", "value"]
-    rest = marked.filter(F.col("is_header") | F.col("is_blank")).select(columns)
-    lines = kept.select(columns).unionByName(rest)
     source = F.col("path")
     if root is not None:
         folder = "/" + quote(root.split(":", 1)[-1].strip("/"), safe="/=+,!$&'()*:;@") + "/"
         source = F.when(F.instr(source, folder) == 0, source).otherwise(
             F.substring(source, F.instr(source, folder) + len(folder), F.length(source))
         )
+    # Not nullable, so that the writer keeps the order of the sort.
+    placed = lines.select(
+        F.coalesce(source, F.lit("")).alias("source"),
+        F.coalesce(F.lpad(F.col("block").cast("string"), BLOCK_DIGITS, "0"), F.lit("")).alias("block"),
+        "pos",
+        "value",
+    )
     (
-        lines.select(F.coalesce(source, F.lit("")).alias("source"), "block", "pos", "value")
-        .orderBy("source", "block", "pos")
-        .select("source", "value")
-        .write.partitionBy("source")
+        placed.repartition("source", "block")
+        .sortWithinPartitions("source", "block", "pos")
+        .select("source", "block", "value")
+        .write.partitionBy("source", "block")
         .text(out_dir)
     )
 
 
 def read_rewritten(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The lines of ``rewrite`` output, with the source name in ``path`` and ``file``.
-
-    ``block`` combines part number and split offset, so it orders lines over all parts of a source.
-    """
+    """The lines ``rewrite`` wrote, with the source in ``path`` and ``file``, ordered as line frames are."""
     lines = read_lines(spark, out_dir, "*.txt", recursive=True)
     source = percent_decoded(percent_decoded(F.regexp_extract("path", "/source=([^/]+)/", 1)))
-    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
-    return lines.select(
-        source.alias("path"), source.alias("file"), F.struct(part.alias("part"), "block").alias("block"), "pos", "value"
-    )
+    old_block = F.regexp_extract("path", r"/block=(\d+)/", 1).cast("long").alias("old")
+    block = F.struct(old_block, F.col("block").alias("new")).alias("block")
+    return lines.select(source.alias("path"), source.alias("file"), block, "pos", "value")
 
 
 def write_report(text: DataFrame, out_dir: str) -> None:

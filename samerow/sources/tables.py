@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from samerow.functions import DELIMITER, N_FIELDS, PREFIX_LEN, is_blank, key_fields, line_prefix, strip_py
-from samerow.session import save
+from samerow.session import save, shuffle_partitions
 
 
 def split_lines(df: DataFrame, file: Column, text: Column) -> DataFrame:
@@ -61,7 +61,7 @@ def rows_from_table(
 def drop_first_rows(lines: DataFrame) -> DataFrame:
     """Leave out the header, the first row of every file, for lines made by ``split_lines`` or ``chunked``."""
     start = lines.groupBy("path").agg(F.min(F.struct("block", "pos")).alias("start"))
-    first = start.select("path", "start.block", "start.pos")
+    first = save(start.select("path", "start.block", "start.pos"))
     return lines.join(first, ["path", "block", "pos"], "left_anti")
 
 
@@ -71,7 +71,7 @@ def chunked(lines: DataFrame, *order: str) -> DataFrame:
     The sort ranges over file and order columns, so a file that holds most rows is spread over many blocks.
     The result is stored: block numbers must not change when a task is run again.
     """
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_partitions(lines.sparkSession)
     placed = (
         lines.repartitionByRange(parts, "path", *order)
         .sortWithinPartitions("path", *order)

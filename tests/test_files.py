@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samerow import Options, clean, find_duplicates
-from samerow.operators import HUNGARIAN, line_counts, line_numbers, run_summary
+from samerow.operators import HUNGARIAN, index_blocks, line_counts, line_numbers, run_summary
 from samerow.sources import LINE_SUFFIXES, keyed, list_inputs, mark_headers, read_lines, read_rewritten, write_report
 from tests import model
 
@@ -31,11 +31,15 @@ def ordered(lines, *columns):
     return [tuple(r) for r in lines.orderBy("path", "block", "pos").select(*columns).collect()]
 
 
+def marked_lines(lines, **options):
+    return mark_headers(lines, index_blocks(lines), **options)
+
+
 def written(folder: Path):
-    """Text of every source, its parts put together in name order."""
+    """Text of every source, its blocks put together in name order."""
     parts = {}
-    for p in sorted(folder.glob("source=*/part-*")):
-        source = unquote(unquote(p.parent.name[len("source=") :]))
+    for p in sorted(folder.glob("source=*/block=*/part-*")):
+        source = unquote(unquote(p.parent.parent.name[len("source=") :]))
         parts[source] = parts.get(source, "") + p.read_text(encoding="utf-8")
     return parts
 
@@ -53,7 +57,7 @@ EDGE = {
 
 def test_lines_are_those_python_reads(spark, tmp_path):
     put(tmp_path, **EDGE)
-    lines = mark_headers(read_lines(spark, str(tmp_path)))
+    lines = marked_lines(read_lines(spark, str(tmp_path)))
     got = {}
     for name, value, line, header, blank in ordered(lines, "file", "value", "line", "is_header", "is_blank"):
         got.setdefault(name, []).append(value)
@@ -81,7 +85,7 @@ def test_listing_and_patterns(spark, tmp_path):
 
 def test_line_counts_and_lines_of_empty_files(spark, tmp_path):
     put(tmp_path, **EDGE)
-    counts = line_counts(read_lines(spark, str(tmp_path)), list_inputs(spark, str(tmp_path)))
+    counts = line_counts(index_blocks(read_lines(spark, str(tmp_path))), list_inputs(spark, str(tmp_path)))
     got = {r["file"]: r["n_lines"] for r in counts.collect()}
     assert got == {n: max(len(python_lines(tmp_path / n)) - 1, 0) for n in EDGE}
 
@@ -89,7 +93,7 @@ def test_line_counts_and_lines_of_empty_files(spark, tmp_path):
 def test_headers_without_broadcast(spark, tmp_path, conf):
     conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
     put(tmp_path, **EDGE)
-    lines = mark_headers(read_lines(spark, str(tmp_path)), max_broadcast_files=2)
+    lines = marked_lines(read_lines(spark, str(tmp_path)), max_broadcast_files=2)
     assert "SortMergeJoin" in lines._jdf.queryExecution().toString()
     headers = lines.filter("is_header").select("file", "value").collect()
     assert {tuple(h) for h in headers} == {(n, python_lines(tmp_path / n)[0]) for n in EDGE if EDGE[n]}
@@ -105,7 +109,7 @@ def test_split_size_changes_nothing(spark, tmp_path, conf, split):
     put(tmp_path / "in", **{n: "\n".join(v) + "\n" for n, v in files.items()})
     lines = read_lines(spark, str(tmp_path / "in"))
     assert (lines.rdd.getNumPartitions() > 50) == (split == "4096")
-    numbered = line_numbers(mark_headers(lines))
+    numbered = line_numbers(marked_lines(lines))
     got = numbered.select("file", "line_no", "value", "is_header").collect()
     assert len(got) == sum(map(len, files.values()))
     assert all(files[r["file"]][r["line_no"] - 1] == r["value"] for r in got)
@@ -270,10 +274,10 @@ def test_tabs_in_prefix(spark, tmp_path):
 
 def test_summary_of_lines_with_blank_ones(spark, tmp_path):
     put(tmp_path / "in", **EDGE)
-    marked = mark_headers(read_lines(spark, str(tmp_path / "in")))
+    marked = marked_lines(read_lines(spark, str(tmp_path / "in")))
     rows = keyed(marked, n_fields=1)
     assert rows.filter(F.col("line") == "").count() == 0
     none = spark.createDataFrame([], "n_cross_deleted long, n_within_deleted long")
-    (total,) = run_summary(line_counts(marked), none).collect()
+    (total,) = run_summary(line_counts(index_blocks(marked)), none).collect()
     n = sum(max(len(python_lines(tmp_path / "in" / name)) - 1, 0) for name in EDGE)
     assert total.asDict() == {"n_before": n, "n_deleted": 0, "n_after": n}

@@ -110,12 +110,12 @@ def test_report_fates_and_survivors(spark, strategy, seed):
     assert sorted(got) == sorted((f, i) for f, i, _, k in expected if k in crossing)
 
     prefixes = {e[0] for e in wanted if e[2] == "cross"}
-    got = tuples(rows_by_prefix(rows, cross_prefixes(entries)), "file", "pos")
+    got = tuples(rows_by_prefix(rows, save(cross_prefixes(entries)), strategy), "file", "pos")
     assert sorted(got) == sorted((f, i) for f, i, line, _ in expected if line[:47] in prefixes)
 
     gone = row_fate(rows, summary, strategy).filter(F.col("fate") == "cross_deleted").select("path", "line")
     listed = {(f, line) for f, i, line, _ in expected if fate[f, i] == "cross_deleted"}
-    got = tuples(remove_rows(rows, gone), "file", "pos")
+    got = tuples(remove_rows(rows, gone, strategy), "file", "pos")
     assert sorted(got) == sorted((f, i) for f, i, line, _ in expected if (f, line) not in listed)
 
     text = render_report(entries).orderBy("prefix", "key", "seq", "file")
@@ -205,7 +205,7 @@ def test_keys_of_one_hash_are_told_apart(spark, conf, monkeypatch):
     from samerow.operators import counts, dedupe, skew
 
     conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
-    same = lambda: F.lit(7).cast("long").alias("key_hash")
+    same = lambda *key: F.lit(7).cast("long").alias("key_hash")
     for module in (skew, counts, dedupe):
         monkeypatch.setattr(module, "key_hash", same)
     files = random_files(9, hot=0.3)
