@@ -20,14 +20,24 @@ _REPLACEMENT = "\ufffd"
 _ESCAPE = "\ue000"
 
 
+def _solid_ascii(col: Column, position: int) -> Column:
+    """Is the byte at ``position`` an ASCII character other than whitespace? False for an empty string."""
+    byte = F.substring(col.cast("binary"), position, 1)
+    return (byte > F.lit(b"\x20")) & (byte < F.lit(b"\x80"))
+
+
 def strip_py(col: Column) -> Column:
-    """Remove leading and trailing Unicode whitespace, as Python's ``str.strip`` does."""
-    return F.btrim(col, F.lit(WHITESPACE))
+    """Remove leading and trailing Unicode whitespace, as Python's ``str.strip`` does.
+
+    Trimming a set of characters looks at every character of a line, so lines that need none skip it.
+    """
+    clean = _solid_ascii(col, 1) & _solid_ascii(col, -1)
+    return F.when(clean, col).otherwise(F.btrim(col, F.lit(WHITESPACE)))
 
 
 def is_blank(col: Column) -> Column:
-    """True for a line of whitespace only. Trimming on the left stops at the first other character."""
-    return F.ltrim(col, F.lit(WHITESPACE)) == ""
+    """True for a line of whitespace only."""
+    return ~_solid_ascii(col, 1) & (F.ltrim(col, F.lit(WHITESPACE)) == "")
 
 
 def decode_ignore(col: Column) -> Column:

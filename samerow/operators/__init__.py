@@ -4,7 +4,7 @@ from samerow.operators.counts import (
     count_keys,
     dup_summary,
     duplicates,
-    key_summary,
+    repeated_keys,
     within_surplus,
 )
 from samerow.operators.dedupe import (
@@ -18,7 +18,14 @@ from samerow.operators.dedupe import (
     row_fate,
     rows_by_prefix,
 )
-from samerow.operators.entries import cross_prefixes, distinct_prefixes, file_lists, report_entries
+from samerow.operators.entries import (
+    cross_prefixes,
+    distinct_prefixes,
+    file_lists,
+    key_files,
+    key_summary,
+    report_entries,
+)
 from samerow.operators.numbering import avg_line_length, index_blocks, line_numbers
 from samerow.operators.report import (
     ENGLISH,
@@ -55,11 +62,13 @@ __all__ = [
     "index_blocks",
     "join_on_key",
     "keep_file",
+    "key_files",
     "key_summary",
     "line_counts",
     "line_numbers",
     "remove_rows",
     "render_report",
+    "repeated_keys",
     "report_entries",
     "row_fate",
     "rows_by_prefix",

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from samerow.operators.skew import key_hash
-
 
 def count_by_file(rows: DataFrame) -> DataFrame:
     """``key, path, file, n``: occurrences of every key in every file."""
@@ -46,24 +44,9 @@ def within_surplus(counts: DataFrame) -> DataFrame:
     return counts.groupBy("path", "file").agg(F.sum(F.col("n") - 1).alias("surplus"))
 
 
-def key_summary(rows: DataFrame, min_rows: int = 2) -> DataFrame:
-    """One row per duplicate key: ``n_rows``, its first row in file order, and that row's prefix.
+def repeated_keys(rows: DataFrame, min_rows: int = 2) -> DataFrame:
+    """``key, n_rows`` of the keys that occur at least ``min_rows`` times, without a look at files.
 
-    The first row is the one deduplication keeps. One shuffle; unique keys end here, so all later steps
-    work on duplicates only. Store the result with ``session.save`` before joining rows to it.
+    The cheapest pass over all rows: it is aggregated by hash and shuffles nothing but keys and numbers.
     """
-    first = F.min(F.struct("file", "path", "block", "pos", "prefix"))
-    return (
-        rows.groupBy(key_hash(), "key")
-        .agg(F.count("*").alias("n_rows"), first.alias("first"))
-        .filter(F.col("n_rows") >= min_rows)
-        .select(
-            "key",
-            "n_rows",
-            F.col("first.file").alias("keep_file"),
-            F.col("first.path").alias("keep_path"),
-            F.col("first.block").alias("keep_block"),
-            F.col("first.pos").alias("keep_pos"),
-            F.col("first.prefix").alias("prefix"),
-        )
-    )
+    return rows.groupBy("key").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= min_rows)

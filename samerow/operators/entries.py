@@ -1,47 +1,77 @@
-"""Report entries: one row per duplicate key and file.
+"""Duplicate keys with their files, in three steps from the rows to the report entries.
 
-The report stays in this long form until it is written. A key that occurs in most files is then many rows
-that any number of tasks can sort and print, never one huge list.
+The report stays in long form, one row per key and file, until it is written. A key that occurs in most files
+is then many rows that any number of tasks can sort and print, never one huge list.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from samerow.operators.skew import ROWS_PER_SALT, join_on_key
+from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash, rows_to_compare
 
 # Longest list file_lists builds in one row.
 LIST_SIZE = 10_000
 
 
-def report_entries(rows: DataFrame, summary: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """``prefix, key, scope, n_rows, path, file, n, is_first`` of every duplicate key and file.
+def key_files(rows: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """``key, path, file, n, block, pos, prefix``: rows of a key in a file, and place and prefix of the first.
 
-    ``summary`` is the stored ``key_summary`` of the same rows. A key is ``within`` if one file holds all its
-    rows. ``is_first`` marks one file per key, the one with its first row.
+    ``repeated``, the stored ``repeated_keys`` of the rows, leaves out nearly all unique keys before anything
+    is shuffled. The aggregate is combined in the scan tasks, so a hot key is one row per task and file.
     """
-    found = join_on_key(
-        rows.select("key", "path", "file", "block", "pos"),
-        summary.select("key", "n_rows", "prefix", "keep_path"),
-        "inner",
-        rows_per_salt=rows_per_salt,
+    if repeated is not None:
+        rows = rows_to_compare(rows, repeated)
+    first = F.min(F.struct("block", "pos", "prefix"))
+    return (
+        rows.groupBy(key_hash(), "key", "path", "file")
+        .agg(F.count("*").alias("n"), first.alias("first"))
+        .select("key", "path", "file", "n", "first.*")
     )
+
+
+def key_summary(found: DataFrame, min_rows: int = 2) -> DataFrame:
+    """One row per duplicate key: ``n_rows``, its first row in file order, and that row's prefix.
+
+    ``found`` is a ``key_files`` result. The first row is the one deduplication keeps.
+    """
+    first = F.min(F.struct("file", "path", "block", "pos", "prefix"))
     return (
-        found.groupBy("prefix", "key", "n_rows", "keep_path", "path", "file")
-        .agg(F.count("*").alias("n"))
+        found.groupBy(key_hash(), "key")
+        .agg(F.sum("n").alias("n_rows"), first.alias("first"))
+        .filter(F.col("n_rows") >= min_rows)
         .select(
-            "prefix",
             "key",
-            F.when(F.col("n") < F.col("n_rows"), "cross").otherwise("within").alias("scope"),
             "n_rows",
-            "path",
-            "file",
-            "n",
-            (F.col("path") == F.col("keep_path")).alias("is_first"),
+            F.col("first.file").alias("keep_file"),
+            F.col("first.path").alias("keep_path"),
+            F.col("first.block").alias("keep_block"),
+            F.col("first.pos").alias("keep_pos"),
+            F.col("first.prefix").alias("prefix"),
         )
     )
 
 
+def report_entries(found: DataFrame, summary: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``prefix, key, scope, n_rows, path, file, n, is_first`` of every duplicate key and file.
+
+    ``found`` is a ``key_files`` result and ``summary`` the stored ``key_summary`` of it. A key is ``within``
+    if one file holds all its rows. ``is_first`` marks one file per key, the one with its first row.
+    """
+    keys = summary.select("key", "n_rows", "prefix", "keep_path")
+    joined = join_on_key(found.drop("prefix"), keys, "inner", rows_per_salt=rows_per_salt)
+    return joined.select(
+        "prefix",
+        "key",
+        F.when(F.col("n") < F.col("n_rows"), "cross").otherwise("within").alias("scope"),
+        "n_rows",
+        "path",
+        "file",
+        "n",
+        (F.col("path") == F.col("keep_path")).alias("is_first"),
+    )
+
+
 def cross_prefixes(entries: DataFrame) -> DataFrame:
     """``prefix, n_rows``: displayed prefixes of keys in several files, with the rows of these keys."""
     cross = entries.filter((F.col("scope") == "cross") & F.col("is_first"))

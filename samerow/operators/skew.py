@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROWS_PER_SALT = 1_000_000
 # Only the largest keys need it: after 1000 of them, no other key can hold more than 0.1 % of the rows.
 MAX_HOT_KEYS = 1_000
+# Hashes of at most this many keys, about 200 MB in memory, are broadcast to find the rows worth shuffling.
+# Below the lower number the planner mostly broadcasts the whole keys, and nothing is shuffled anyway.
+MIN_FILTER_KEYS, MAX_FILTER_KEYS = 10_000, 4_000_000
 
 
 def key_hash(*key: str) -> Column:
@@ -19,22 +22,16 @@ def key_hash(*key: str) -> Column:
     return F.xxhash64(*(key or ("key",))).alias("key_hash")
 
 
-def hot_keys(keys: DataFrame, on: list[str], weight: str, rows_per_salt: int) -> DataFrame | None:
-    """``key_hash, salts`` of the largest keys, at most ``MAX_HOT_KEYS`` rows of two numbers; None without any."""
-    largest = (
-        keys.filter(F.col(weight) > rows_per_salt)
-        .select(key_hash(*on), F.ceil(F.col(weight) / rows_per_salt).alias("salts"))
-        .orderBy(F.desc("salts"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-    if not largest:
-        return None
-    # Two keys may share a hash. Both sides look the salts up by hash, so the larger number serves both.
-    salts: dict[int, int] = {}
-    for row in largest:
-        salts[row["key_hash"]] = max(row["salts"], salts.get(row["key_hash"], 0))
-    return keys.sparkSession.createDataFrame(list(salts.items()), "key_hash long, salts long")
+def rows_to_compare(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that may have their ``key`` in ``keys``, a stored table; next to them at most a few others.
+
+    Up to ``MAX_FILTER_KEYS`` keys, their hashes are broadcast and no row is shuffled. Beyond, rows and keys
+    are joined for good. Either way the caller still has to compare keys.
+    """
+    if keys.count() > MAX_FILTER_KEYS:
+        return join_on_key(rows, keys, "left_semi")
+    hashes = F.broadcast(keys.select(key_hash()).distinct())
+    return rows.join(hashes, key_hash() == F.col("key_hash"), "left_semi")
 
 
 def join_on_key(
@@ -47,23 +44,50 @@ def join_on_key(
 ) -> DataFrame:
     """Join ``rows`` with ``keys``, which has one row per key and, in ``weight``, its number of rows.
 
-    ``keys`` should be a stored table (``session.save``): the planner then broadcasts it only if its files are
-    below the broadcast threshold. Otherwise both sides are shuffled, and the rows of a hot key are split by a
-    salt from their position while its row in ``keys`` is repeated once per salt. Rows without a key match
-    nothing, so they are spread by position as well. No row is lost or doubled.
+    ``keys`` should be a stored table (``session.save``): the planner then broadcasts it if its files are below
+    the broadcast threshold. Otherwise both sides are shuffled, and three things keep that small and even. Rows
+    whose key hash is not among the hashes of ``keys`` have no match and are not shuffled, if the hashes are few
+    enough to broadcast. The rows of a hot key are split by a salt from their position, while its row in
+    ``keys`` is repeated once per salt. Rows without a key are spread by position. None is lost or doubled.
     """
     on = [on] if isinstance(on, str) else on
     position = F.xxhash64(*[c for c in ("path", "block", "pos", "key") if c in rows.columns])
-    has_key = F.col(on[0]).isNotNull()
-    left = rows.withColumn("key_hash", F.when(has_key, key_hash(*on)).otherwise(position))
+    left = rows.withColumn("key_hash", F.when(F.col(on[0]).isNotNull(), key_hash(*on)).otherwise(position))
     right = keys.select("*", key_hash(*on))
+    n_keys, largest = keys.agg(F.count("*"), F.max(weight)).first()
+
+    rest = None
+    if MIN_FILTER_KEYS < n_keys <= MAX_FILTER_KEYS:
+        hashes = F.broadcast(right.select("key_hash").distinct())
+        if how in ("left", "left_anti"):
+            rest = left.join(hashes, "key_hash", "left_anti")
+        left = left.join(hashes, "key_hash", "left_semi")
+
     by = ["key_hash", *on]
-    hot = hot_keys(keys, on, weight, rows_per_salt)
-    if hot is not None:
+    if largest is not None and largest > rows_per_salt:
         by.append("salt")
-        hot = F.broadcast(hot)
+        hot = F.broadcast(_hot_keys(right, weight, rows_per_salt))
         spread = F.coalesce(F.pmod(position, F.col("salts")), F.lit(0))
         each = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
         left = left.join(hot, "key_hash", "left").withColumn("salt", spread).drop("salts")
         right = right.join(hot, "key_hash", "left").withColumn("salt", F.explode(each)).drop("salts")
-    return left.join(right, by, how).drop("key_hash", "salt")
+    joined = left.join(right, by, how).drop("salt")
+    if rest is not None:
+        joined = joined.unionByName(rest, allowMissingColumns=True)
+    return joined.drop("key_hash")
+
+
+def _hot_keys(keys: DataFrame, weight: str, rows_per_salt: int) -> DataFrame:
+    """``key_hash, salts`` of the largest keys, at most ``MAX_HOT_KEYS`` rows of two numbers."""
+    largest = (
+        keys.filter(F.col(weight) > rows_per_salt)
+        .select("key_hash", F.ceil(F.col(weight) / rows_per_salt).alias("salts"))
+        .orderBy(F.desc("salts"))
+        .limit(MAX_HOT_KEYS)
+        .collect()
+    )
+    # Two keys may share a hash. Both sides look the salts up by hash, so the larger number serves both.
+    salts: dict[int, int] = {}
+    for row in largest:
+        salts[row["key_hash"]] = max(row["salts"], salts.get(row["key_hash"], 0))
+    return keys.sparkSession.createDataFrame(list(salts.items()), "key_hash long, salts long")

@@ -15,9 +15,11 @@ from samerow.operators import (
     dedupe_within,
     deletion_stats,
     index_blocks,
+    key_files,
     key_summary,
     line_counts,
     render_report,
+    repeated_keys,
     report_entries,
     row_fate,
     run_summary,
@@ -25,7 +27,7 @@ from samerow.operators import (
 )
 from samerow.operators.dedupe import KEPT
 from samerow.session import configure, save
-from samerow.sources import key_lines, list_inputs, mark_headers, read_lines, rewrite
+from samerow.sources import key_lines, keyed, list_inputs, mark_headers, read_lines, rewrite
 from samerow.sources.files import FILE_PATTERN
 
 
@@ -41,6 +43,10 @@ class Options:
     cross_only: bool = False  # report keys in several files only
     labels: Labels = ENGLISH
 
+    def keys(self) -> dict:
+        names = ("delimiter", "n_fields", "prefix_len", "drop_empty_keys", "tabs_to_spaces")
+        return {name: getattr(self, name) for name in names}
+
 
 @dataclass(frozen=True)
 class Found:
@@ -61,10 +67,15 @@ class Cleaned:
 
 
 def find_in_rows(rows: DataFrame, options: Options = Options()) -> Found:
-    """Duplicates of any keyed rows, from files or tables."""
+    """Duplicates of any keyed rows, from files or tables.
+
+    All rows are read twice: to count keys, and to collect the files of the repeated ones. Everything after
+    that works on stored tables of duplicates.
+    """
     configure(rows.sparkSession)
-    summary = save(key_summary(rows))
-    entries = save(report_entries(rows, summary))
+    found = save(key_files(rows, save(repeated_keys(rows))))
+    summary = save(key_summary(found))
+    entries = save(report_entries(found, summary))
     listed = entries.filter(F.col("scope") == "cross") if options.cross_only else entries
     return Found(rows, summary, entries, listed, render_report(listed, options.labels))
 
@@ -86,20 +97,21 @@ def clean(
         raise ValueError(f"mode must be all, cross or within, not {mode!r}")
     scan = _scan(spark, path, options)
     found = _find(scan, options)
+    lines = key_lines(scan.marked, **options.keys())
 
     stats = deletion_stats(found.entries)
     none = F.lit(0).cast("long")
     if mode == "within":
-        kept = dedupe_within(found.rows).unionByName(scan.lines.filter(F.col("key").isNull()))
+        kept = dedupe_within(found.rows).unionByName(lines.filter(F.col("key").isNull()))
         surplus = found.entries.groupBy("path", "file").agg(
             F.count("*").alias("n_keys"), F.sum(F.col("n") - 1).alias("n_within_deleted")
         )
         stats = surplus.withColumn("n_cross_deleted", none)
     elif mode == "cross":
-        kept = dedupe_cross_only(scan.lines, found.summary)
+        kept = dedupe_cross_only(lines, found.summary)
         stats = stats.withColumn("n_within_deleted", none)
     else:
-        kept = row_fate(scan.lines, found.summary).filter(F.col("fate") == KEPT)
+        kept = row_fate(lines, found.summary).filter(F.col("fate") == KEPT)
     stats = save(stats)
     rewrite(kept, out_dir, root=path)
 
@@ -114,7 +126,7 @@ def clean(
 class _Scan:
     files: DataFrame
     blocks: DataFrame
-    lines: DataFrame
+    marked: DataFrame
 
 
 def _scan(spark: SparkSession, path: str, options: Options) -> _Scan:
@@ -123,16 +135,8 @@ def _scan(spark: SparkSession, path: str, options: Options) -> _Scan:
     configure(spark, total)
     lines = read_lines(spark, path, options.pattern, options.recursive)
     blocks = index_blocks(lines)
-    keys = key_lines(
-        mark_headers(lines, blocks),
-        options.delimiter,
-        options.n_fields,
-        options.prefix_len,
-        options.drop_empty_keys,
-        options.tabs_to_spaces,
-    )
-    return _Scan(files, blocks, keys)
+    return _Scan(files, blocks, mark_headers(lines, blocks))
 
 
 def _find(scan: _Scan, options: Options) -> Found:
-    return find_in_rows(scan.lines.filter(F.col("key").isNotNull()), options)
+    return find_in_rows(keyed(scan.marked, **options.keys()), options)

@@ -27,12 +27,13 @@ from samerow.operators import (
     file_lists,
     index_blocks,
     keep_file,
+    key_files,
     key_summary,
     line_counts,
     line_numbers,
     remove_rows,
     render_report,
-    report_entries,
+    repeated_keys,
     row_fate,
     rows_by_prefix,
     run_summary,
@@ -40,6 +41,7 @@ from samerow.operators import (
     within_surplus,
 )
 from samerow.operators.dedupe import CROSS_DELETED, KEPT
+from samerow.plans.jobs import find_in_rows
 from samerow.session import configure, save, scratch_dir
 from samerow.sources import (
     LINE_SUFFIXES,
@@ -177,8 +179,12 @@ def marked_lines(spark: SparkSession, sf: str) -> DataFrame:
 # ---- shared steps ---------------------------------------------------------------------------------------
 
 
+def _summary(rows: DataFrame) -> DataFrame:
+    return save(key_summary(key_files(rows, save(repeated_keys(rows)))))
+
+
 def _entries(rows: DataFrame) -> DataFrame:
-    return report_entries(rows, save(key_summary(rows)))
+    return find_in_rows(rows).entries
 
 
 def _report(rows: DataFrame) -> DataFrame:
@@ -190,7 +196,7 @@ def _totals(rows: DataFrame) -> DataFrame:
 
 
 def _fates(rows: DataFrame) -> DataFrame:
-    return row_fate(rows, save(key_summary(rows)))
+    return row_fate(rows, _summary(rows))
 
 
 def _flat(df: DataFrame, *columns: str) -> DataFrame:
@@ -320,7 +326,7 @@ def q_dup_file_map(spark, sf):
 
 
 def q_first_prefix(spark, sf):
-    return key_summary(document_rows(spark, sf)).select("key", "n_rows", "prefix")
+    return _summary(document_rows(spark, sf)).select("key", "n_rows", "prefix")
 
 
 def q_dup_report(spark, sf):
@@ -396,7 +402,7 @@ def q_run_summary(spark, sf):
 
 def q_duplicate_rows(spark, sf):
     rows = document_rows(spark, sf)
-    return duplicate_rows(rows, save(key_summary(rows))).select("file", "pos", "line")
+    return duplicate_rows(rows, save(repeated_keys(rows))).select("file", "pos", "line")
 
 
 def q_rows_by_prefix(spark, sf):
@@ -429,7 +435,7 @@ def q_keep_file(spark, sf):
 
 def q_dedupe_cross_only(spark, sf):
     rows = document_rows(spark, sf)
-    return dedupe_cross_only(rows, save(key_summary(rows))).select("file", "pos", "line")
+    return dedupe_cross_only(rows, _summary(rows)).select("file", "pos", "line")
 
 
 def q_dedupe_all(spark, sf):
@@ -457,7 +463,7 @@ def q_line_numbers(spark, sf):
 
 
 def q_report_text(spark, sf):
-    return render_report(save(_entries(document_rows(spark, sf))))
+    return render_report(_entries(document_rows(spark, sf)))
 
 
 def q_report_empty(spark, sf):
@@ -465,16 +471,16 @@ def q_report_empty(spark, sf):
     unique = rows_from_table(
         orders, F.col("o_orderpriority"), F.col("o_orderkey"), ["o_orderkey"], F.col("o_orderkey").cast("string")
     )
-    return render_report(save(_entries(unique))).select("text")
+    return render_report(_entries(unique)).select("text")
 
 
 def q_report_after_delete(spark, sf):
-    entries = save(_entries(document_rows(spark, sf)))
+    entries = _entries(document_rows(spark, sf))
     return render_report(annotate_entries(entries, save(deletion_stats(entries))))
 
 
 def q_unlisted_files(spark, sf):
-    entries = save(_entries(document_rows(spark, sf)))
+    entries = _entries(document_rows(spark, sf))
     listed = entries.filter(F.col("scope") == "cross")
     return unlisted_files(listed, deletion_stats(entries)).select("prefix", "file", "n", "shown")
 
@@ -489,8 +495,7 @@ def q_cleaned_rows(spark, sf):
 
 def q_rewrite_files(spark, sf):
     lines = marked_lines(spark, sf)
-    summary = save(key_summary(keyed(lines, **TEXT_ARGS)))
-    fates = row_fate(key_lines(lines, **TEXT_ARGS), summary)
+    fates = row_fate(key_lines(lines, **TEXT_ARGS), _summary(keyed(lines, **TEXT_ARGS)))
     out = scratch_dir(spark)
     rewrite(fates.filter(F.col("fate") == KEPT), out)
     return line_numbers(read_rewritten(spark, out)).select("file", "line_no", "value")

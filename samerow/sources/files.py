@@ -101,25 +101,28 @@ def mark_headers(
     )
 
 
-def key_lines(
-    marked: DataFrame,
+def key_lines(marked: DataFrame, **options) -> DataFrame:
+    """All lines with ``key`` and ``prefix``. Headers and blank lines have no key."""
+    takes_part, columns = _key_columns(**options)
+    return marked.withColumns({**columns, "key": F.when(takes_part, columns["key"])})
+
+
+def keyed(marked: DataFrame, **options) -> DataFrame:
+    """The rows that take part in detection, those of ``key_lines`` with a key."""
+    takes_part, columns = _key_columns(**options)
+    return marked.filter(takes_part).withColumns(columns)
+
+
+def _key_columns(
     delimiter: str = DELIMITER,
     n_fields: int = N_FIELDS,
     prefix_len: int = PREFIX_LEN,
     drop_empty_keys: bool = False,
     tabs_to_spaces: bool = False,
-) -> DataFrame:
-    """All lines with ``key`` and ``prefix``. Headers and blank lines have no key."""
+) -> tuple[Column, dict[str, Column]]:
     line = F.col("line")
     key = key_fields(line, delimiter, n_fields)
     takes_part = ~F.col("is_header") & ~F.col("is_blank")
     if drop_empty_keys:
         takes_part &= key != ""
-    return marked.withColumns(
-        {"key": F.when(takes_part, key), "prefix": line_prefix(line, prefix_len, tabs_to_spaces)}
-    )
-
-
-def keyed(marked: DataFrame, **options) -> DataFrame:
-    """The rows that take part in detection, those of ``key_lines`` with a key."""
-    return key_lines(marked, **options).filter(F.col("key").isNotNull())
+    return takes_part, {"key": key, "prefix": line_prefix(line, prefix_len, tabs_to_spaces)}

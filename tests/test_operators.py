@@ -23,16 +23,19 @@ from samerow.operators import (
     duplicates,
     file_lists,
     keep_file,
+    key_files,
     key_summary,
     line_numbers,
     remove_rows,
     render_report,
+    repeated_keys,
     report_entries,
     row_fate,
     rows_by_prefix,
     unlisted_files,
     within_surplus,
 )
+from samerow.operators import skew
 from samerow.operators.skew import join_on_key
 from samerow.session import save
 from samerow.sources import chunked, rows_from_lines, rows_from_table
@@ -62,12 +65,16 @@ def tuples(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
 
-@pytest.fixture(params=["broadcast", "shuffle", "salted"])
-def strategy(request, conf):
-    """Join by broadcast, by shuffle, and by shuffle with every repeated key split by salts."""
+@pytest.fixture(params=["broadcast", "shuffle", "salted", "filtered", "unfiltered"])
+def strategy(request, conf, monkeypatch):
+    """Join by broadcast, by shuffle, with repeated keys split by salts, with and without a filter by hash."""
+    if request.param == "filtered":
+        monkeypatch.setattr(skew, "MIN_FILTER_KEYS", 0)
+    if request.param == "unfiltered":
+        monkeypatch.setattr(skew, "MAX_FILTER_KEYS", 0)
     if request.param != "broadcast":
         conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
-    return 1 if request.param == "salted" else 1_000_000
+    return 1 if request.param in ("salted", "filtered") else 1_000_000
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -75,9 +82,10 @@ def test_report_fates_and_survivors(spark, strategy, seed):
     files = random_files(seed, hot=0.35)
     expected = model.keyed(files, n=2, header=False)
     rows = as_rows(spark, files)
-    summary = save(key_summary(rows))
+    found = save(key_files(rows, save(repeated_keys(rows))))
+    summary = save(key_summary(found))
 
-    entries = save(report_entries(rows, summary, strategy))
+    entries = save(report_entries(found, summary, strategy))
     wanted = model.entries(expected)
     assert sorted(tuples(entries, "prefix", "key", "scope", "n_rows", "file", "n")) == sorted(wanted)
     firsts = entries.groupBy("key").agg(F.count_if("is_first").alias("c"))
@@ -165,7 +173,8 @@ def test_counts(spark, seed):
 def test_prefix_shared_by_two_keys(spark):
     files = {"a": ["same;1;x", "same;1;y", "same;2;x"], "b": ["same;2;z", "other;1;q"]}
     rows = as_rows(spark, files, prefix_len=4)
-    entries = save(report_entries(rows, save(key_summary(rows))))
+    found = save(key_files(rows))
+    entries = save(report_entries(found, save(key_summary(found))))
     assert entries.select("key").distinct().count() == 2
     assert sorted(tuples(distinct_prefixes(entries), "prefix", "file")) == [("same", "a"), ("same", "b")]
 
@@ -202,17 +211,18 @@ def test_join_splits_a_hot_key(spark, conf):
 
 def test_keys_of_one_hash_are_told_apart(spark, conf, monkeypatch):
     """Also if all keys had the same hash, they are compared as keys."""
-    from samerow.operators import counts, dedupe, skew
+    from samerow.operators import dedupe, entries
 
     conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
     same = lambda *key: F.lit(7).cast("long").alias("key_hash")
-    for module in (skew, counts, dedupe):
+    for module in (skew, entries, dedupe):
         monkeypatch.setattr(module, "key_hash", same)
     files = random_files(9, hot=0.3)
     expected = model.keyed(files, n=2, header=False)
     rows = as_rows(spark, files)
+    monkeypatch.setattr(skew, "MIN_FILTER_KEYS", 0)
     for rows_per_salt in (1, 1_000_000):
-        got = tuples(row_fate(rows, save(key_summary(rows)), rows_per_salt), "file", "pos", "fate")
+        got = tuples(row_fate(rows, save(key_summary(key_files(rows))), rows_per_salt), "file", "pos", "fate")
         assert sorted(got) == sorted((f, i, v) for (f, i), v in model.fates(expected).items())
 
 
@@ -247,7 +257,8 @@ def test_line_numbers_and_sample_in_a_big_file(spark):
 def test_unlisted_files(spark):
     files = {"a": ["k;1;x", "k;1;y", "k;1;z"], "b": ["m;1;x"], "c": ["m;1;x", "n;1", "n;1"]}
     rows = as_rows(spark, files)
-    entries = save(report_entries(rows, save(key_summary(rows))))
+    found = save(key_files(rows))
+    entries = save(report_entries(found, save(key_summary(found))))
     cross = entries.filter(F.col("scope") == "cross")
     stats = deletion_stats(entries)
     assert tuples(unlisted_files(cross, stats), "prefix", "shown") == [
