@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # A key with more rows than this is spread over several join partitions.
@@ -10,7 +11,7 @@ ROWS_PER_SALT = 1_000_000
 MAX_HOT_KEYS = 1_000
 # Hashes of at most this many keys, about 200 MB in memory, are broadcast to find the rows worth shuffling.
 # Below the lower number the planner mostly broadcasts the whole keys, and nothing is shuffled anyway.
-MIN_FILTER_KEYS, MAX_FILTER_KEYS = 10_000, 4_000_000
+MIN_FILTER_KEYS, MAX_FILTER_KEYS = 100_000, 4_000_000
 
 
 def key_hash(*key: str) -> Column:
@@ -30,7 +31,7 @@ def rows_to_compare(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """
     if keys.count() > MAX_FILTER_KEYS:
         return join_on_key(rows, keys, "left_semi")
-    hashes = F.broadcast(keys.select(key_hash()).distinct())
+    hashes = F.broadcast(keys.select(key_hash()))
     return rows.join(hashes, key_hash() == F.col("key_hash"), "left_semi")
 
 
@@ -58,7 +59,7 @@ def join_on_key(
 
     rest = None
     if MIN_FILTER_KEYS < n_keys <= MAX_FILTER_KEYS:
-        hashes = F.broadcast(right.select("key_hash").distinct())
+        hashes = F.broadcast(right.select("key_hash"))
         if how in ("left", "left_anti"):
             rest = left.join(hashes, "key_hash", "left_anti")
         left = left.join(hashes, "key_hash", "left_semi")
@@ -90,4 +91,4 @@ def _hot_keys(keys: DataFrame, weight: str, rows_per_salt: int) -> DataFrame:
     salts: dict[int, int] = {}
     for row in largest:
         salts[row["key_hash"]] = max(row["salts"], salts.get(row["key_hash"], 0))
-    return keys.sparkSession.createDataFrame(list(salts.items()), "key_hash long, salts long")
+    return keys.sparkSession.createDataFrame(pa.table({"key_hash": list(salts.keys()), "salts": list(salts.values())}))

@@ -34,6 +34,7 @@ from samerow.operators import (
     remove_rows,
     render_report,
     repeated_keys,
+    report_entries,
     row_fate,
     rows_by_prefix,
     run_summary,
@@ -41,7 +42,6 @@ from samerow.operators import (
     within_surplus,
 )
 from samerow.operators.dedupe import CROSS_DELETED, KEPT
-from samerow.plans.jobs import find_in_rows
 from samerow.session import configure, save, scratch_dir
 from samerow.sources import (
     LINE_SUFFIXES,
@@ -179,12 +179,17 @@ def marked_lines(spark: SparkSession, sf: str) -> DataFrame:
 # ---- shared steps ---------------------------------------------------------------------------------------
 
 
-def _summary(rows: DataFrame) -> DataFrame:
-    return save(key_summary(key_files(rows, save(repeated_keys(rows)))))
+def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = save(key_files(rows, save(repeated_keys(rows))))
+    return found, save(key_summary(found))
 
 
 def _entries(rows: DataFrame) -> DataFrame:
-    return find_in_rows(rows).entries
+    return report_entries(*_found(rows))
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    return save(key_summary(key_files(rows, save(repeated_keys(rows)))))
 
 
 def _report(rows: DataFrame) -> DataFrame:
@@ -463,7 +468,7 @@ def q_line_numbers(spark, sf):
 
 
 def q_report_text(spark, sf):
-    return render_report(_entries(document_rows(spark, sf)))
+    return render_report(save(_entries(document_rows(spark, sf))))
 
 
 def q_report_empty(spark, sf):
@@ -471,16 +476,16 @@ def q_report_empty(spark, sf):
     unique = rows_from_table(
         orders, F.col("o_orderpriority"), F.col("o_orderkey"), ["o_orderkey"], F.col("o_orderkey").cast("string")
     )
-    return render_report(_entries(unique)).select("text")
+    return render_report(save(_entries(unique))).select("text")
 
 
 def q_report_after_delete(spark, sf):
-    entries = _entries(document_rows(spark, sf))
+    entries = save(_entries(document_rows(spark, sf)))
     return render_report(annotate_entries(entries, save(deletion_stats(entries))))
 
 
 def q_unlisted_files(spark, sf):
-    entries = _entries(document_rows(spark, sf))
+    entries = save(_entries(document_rows(spark, sf)))
     listed = entries.filter(F.col("scope") == "cross")
     return unlisted_files(listed, deletion_stats(entries)).select("prefix", "file", "n", "shown")
 

@@ -7,6 +7,7 @@ a file without a shuffle.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from samerow.functions import (
@@ -72,7 +73,7 @@ def list_inputs(
     )
     meta = F.col("_metadata")
     sizes = files.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"))
-    listing = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    listing = spark.createDataFrame(pa.table({"path": pa.array(files.inputFiles(), pa.string())}))
     names = listing.select(F.regexp_replace("path", "^file:///", "file:/").alias("path"))
     return names.join(sizes, "path", "left").select(
         "path",
