@@ -36,7 +36,7 @@ from samerow.operators.report import (
     unlisted_files,
 )
 from samerow.operators.skew import join_on_key
-from samerow.operators.stats import deletion_stats, deletion_totals, line_counts, run_summary
+from samerow.operators.stats import deletion_stats, deletion_totals, input_totals, line_counts, run_summary
 
 __all__ = [
     "ENGLISH",
@@ -60,6 +60,7 @@ __all__ = [
     "duplicates",
     "file_lists",
     "index_blocks",
+    "input_totals",
     "join_on_key",
     "keep_file",
     "key_files",

@@ -16,6 +16,17 @@ def line_counts(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return counts.select("path", "file", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).alias("n_lines"))
 
 
+def input_totals(files: DataFrame) -> DataFrame:
+    """Number and bytes of the input files, and the largest one; ``files`` is a ``list_inputs`` result."""
+    order = F.struct(-F.col("size"), F.col("file"), F.col("path"))
+    return files.agg(
+        F.count("*").alias("n_files"),
+        F.coalesce(F.sum("size"), F.lit(0).cast("long")).alias("total_size"),
+        F.min_by("file", order).alias("largest_file"),
+        F.max("size").alias("largest_size"),
+    )
+
+
 def deletion_stats(entries: DataFrame) -> DataFrame:
     """``path, file, n_keys, n_cross_deleted, n_within_deleted`` of every file with duplicate keys.
 

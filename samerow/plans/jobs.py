@@ -15,6 +15,7 @@ from samerow.operators import (
     dedupe_within,
     deletion_stats,
     index_blocks,
+    input_totals,
     key_files,
     key_summary,
     line_counts,
@@ -131,8 +132,7 @@ class _Scan:
 
 def _scan(spark: SparkSession, path: str, options: Options) -> _Scan:
     files = list_inputs(spark, path, options.pattern, options.recursive)
-    (total,) = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
-    configure(spark, total)
+    configure(spark, input_totals(files).first()["total_size"])
     lines = read_lines(spark, path, options.pattern, options.recursive)
     blocks = index_blocks(lines)
     return _Scan(files, blocks, mark_headers(lines, blocks))

@@ -130,6 +130,12 @@ kept AS (
         "read_lines": f"{folder} SELECT file, line_no, value FROM lines",
         "read_lines_suffix": f"{folder} SELECT file, count(*) AS n FROM lines GROUP BY file",
         "list_inputs": f"{folder} SELECT file, CAST(sum(strlen(value) + 1) AS BIGINT) AS size FROM lines GROUP BY file",
+        "inputs_by_size": f"""{folder} SELECT file, CAST(sum(strlen(value) + 1) AS BIGINT) AS size
+            FROM lines GROUP BY file ORDER BY size, file""",
+        "input_totals": f"""{folder}, sizes AS (
+              SELECT file, CAST(sum(strlen(value) + 1) AS BIGINT) AS size FROM lines GROUP BY file)
+            SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_size,
+                   arg_min(file, (-size, file)) AS largest_file, max(size) AS largest_size FROM sizes""",
         "decode_ignore": "SELECT doc_id, text FROM documents",
         "skip_header": f"{folder} SELECT file, line_no, value FROM lines WHERE line_no > 1",
         "skip_header_rows": f"{docs} SELECT file, pos, value FROM lines WHERE pos > 0",

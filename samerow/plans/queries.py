@@ -26,6 +26,7 @@ from samerow.operators import (
     duplicates,
     file_lists,
     index_blocks,
+    input_totals,
     keep_file,
     key_files,
     key_summary,
@@ -226,6 +227,15 @@ def q_list_inputs(spark, sf):
     return _named(files).select("file", "size")
 
 
+def q_inputs_by_size(spark, sf):
+    files = list_inputs(spark, document_folder(spark, sf), "*.txt", recursive=True)
+    return _named(files).orderBy("size", "file").select("size", "file")
+
+
+def q_input_totals(spark, sf):
+    return input_totals(_named(list_inputs(spark, document_folder(spark, sf), "*.txt", recursive=True)))
+
+
 def q_decode_ignore(spark, sf):
     # Put bytes that are never valid UTF-8 behind every blank; what is left must be the text itself.
     damaged = F.replace(F.col("text"), F.lit(" "), F.expr("cast(X'20FFC3FE' AS string)"))
