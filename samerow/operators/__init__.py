@@ -4,7 +4,6 @@ from samerow.operators.counts import (
     count_keys,
     dup_summary,
     duplicates,
-    repeated_keys,
     within_surplus,
 )
 from samerow.operators.dedupe import (
@@ -35,7 +34,7 @@ from samerow.operators.report import (
     render_report,
     unlisted_files,
 )
-from samerow.operators.skew import join_on_key
+from samerow.operators.skew import join_on_key, repeated_hashes
 from samerow.operators.stats import deletion_stats, deletion_totals, input_totals, line_counts, run_summary
 
 __all__ = [
@@ -69,7 +68,7 @@ __all__ = [
     "line_numbers",
     "remove_rows",
     "render_report",
-    "repeated_keys",
+    "repeated_hashes",
     "report_entries",
     "row_fate",
     "rows_by_prefix",

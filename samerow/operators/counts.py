@@ -42,11 +42,3 @@ def dup_summary(totals: DataFrame) -> DataFrame:
 def within_surplus(counts: DataFrame) -> DataFrame:
     """Per file, the rows beyond the first of each key inside that file."""
     return counts.groupBy("path", "file").agg(F.sum(F.col("n") - 1).alias("surplus"))
-
-
-def repeated_keys(rows: DataFrame, min_rows: int = 2) -> DataFrame:
-    """``key, n_rows`` of the keys that occur at least ``min_rows`` times, without a look at files.
-
-    The cheapest pass over all rows: it is aggregated by hash and shuffles nothing but keys and numbers.
-    """
-    return rows.groupBy("key").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= min_rows)

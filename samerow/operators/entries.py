@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash, rows_to_compare
+from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash, rows_with_hash
 
 # Longest list file_lists builds in one row.
 LIST_SIZE = 10_000
 
 
-def key_files(rows: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+def key_files(
+    rows: DataFrame, repeated: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """``key, path, file, n, block, pos, prefix``: rows of a key in a file, and place and prefix of the first.
 
-    ``repeated``, the stored ``repeated_keys`` of the rows, leaves out nearly all unique keys before anything
+    ``repeated``, the stored ``repeated_hashes`` of the rows, leaves out nearly all unique keys before anything
     is shuffled. The aggregate is combined in the scan tasks, so a hot key is one row per task and file.
     """
     if repeated is not None:
-        rows = rows_to_compare(rows, repeated)
+        rows = rows_with_hash(rows, repeated, rows_per_salt)
     first = F.min(F.struct("block", "pos", "prefix"))
     return (
         rows.groupBy(key_hash(), "key", "path", "file")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,8 +13,9 @@ ROWS_PER_SALT = 1_000_000
 # Only the largest keys need it: after 1000 of them, no other key can hold more than 0.1 % of the rows.
 MAX_HOT_KEYS = 1_000
 # Hashes of at most this many keys, about 200 MB in memory, are broadcast to find the rows worth shuffling.
-# Below the lower number the planner mostly broadcasts the whole keys, and nothing is shuffled anyway.
-MIN_FILTER_KEYS, MAX_FILTER_KEYS = 100_000, 4_000_000
+MAX_FILTER_KEYS = 4_000_000
+# Keys with less text than this the planner broadcasts whole, so there is nothing to filter for.
+MIN_FILTER_CHARS = 2_000_000
 
 
 def key_hash(*key: str) -> Column:
@@ -23,16 +27,27 @@ def key_hash(*key: str) -> Column:
     return F.xxhash64(*(key or ("key",))).alias("key_hash")
 
 
-def rows_to_compare(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows that may have their ``key`` in ``keys``, a stored table; next to them at most a few others.
+def repeated_hashes(rows: DataFrame, min_rows: int = 2) -> DataFrame:
+    """``hash, n_rows`` of the key hashes that occur at least ``min_rows`` times.
+
+    The cheapest pass over all rows: two numbers per key are shuffled, however wide the keys are. Every key that
+    is repeated has its hash here; a hash may also stand for several keys.
+    """
+    hashes = rows.groupBy(F.xxhash64("key").alias("hash")).agg(F.count("*").alias("n_rows"))
+    return hashes.filter(F.col("n_rows") >= min_rows)
+
+
+def rows_with_hash(rows: DataFrame, hashes: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """The rows whose key hash is in ``hashes``, a stored ``repeated_hashes`` result.
 
-    Up to ``MAX_FILTER_KEYS`` keys, their hashes are broadcast and no row is shuffled. Beyond, rows and keys
-    are joined for good. Either way the caller still has to compare keys.
+    Up to ``MAX_FILTER_KEYS`` hashes are broadcast, and no row is shuffled. Beyond, rows and hashes are joined.
     """
-    if keys.count() > MAX_FILTER_KEYS:
-        return join_on_key(rows, keys, "left_semi")
-    hashes = F.broadcast(keys.select(key_hash()))
-    return rows.join(hashes, key_hash() == F.col("key_hash"), "left_semi")
+    hashed = rows.withColumn("hash", F.xxhash64("key"))
+    if hashes.count() > MAX_FILTER_KEYS:
+        found = join_on_key(hashed, hashes, "left_semi", on="hash", rows_per_salt=rows_per_salt)
+    else:
+        found = hashed.join(F.broadcast(hashes.select("hash")), "hash", "left_semi")
+    return found.drop("hash")
 
 
 def join_on_key(
@@ -55,17 +70,18 @@ def join_on_key(
     position = F.xxhash64(*[c for c in ("path", "block", "pos", "key") if c in rows.columns])
     left = rows.withColumn("key_hash", F.when(F.col(on[0]).isNotNull(), key_hash(*on)).otherwise(position))
     right = keys.select("*", key_hash(*on))
-    n_keys, largest = keys.agg(F.count("*"), F.max(weight)).first()
+    n_chars = F.sum(reduce(add, [F.length(F.col(c).cast("string")) for c in on]))
+    n_keys, n_chars, largest = keys.agg(F.count("*"), n_chars, F.max(weight)).first()
 
     rest = None
-    if MIN_FILTER_KEYS < n_keys <= MAX_FILTER_KEYS:
+    if n_keys <= MAX_FILTER_KEYS and (n_chars or 0) > MIN_FILTER_CHARS:
         hashes = F.broadcast(right.select("key_hash"))
         if how in ("left", "left_anti"):
             rest = left.join(hashes, "key_hash", "left_anti")
         left = left.join(hashes, "key_hash", "left_semi")
 
     by = ["key_hash", *on]
-    if largest is not None and largest > rows_per_salt:
+    if (largest or 0) > rows_per_salt:
         by.append("salt")
         hot = F.broadcast(_hot_keys(right, weight, rows_per_salt))
         spread = F.coalesce(F.pmod(position, F.col("salts")), F.lit(0))

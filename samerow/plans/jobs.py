@@ -20,7 +20,7 @@ from samerow.operators import (
     key_summary,
     line_counts,
     render_report,
-    repeated_keys,
+    repeated_hashes,
     report_entries,
     row_fate,
     run_summary,
@@ -70,11 +70,11 @@ class Cleaned:
 def find_in_rows(rows: DataFrame, options: Options = Options()) -> Found:
     """Duplicates of any keyed rows, from files or tables.
 
-    All rows are read twice: to count keys, and to collect the files of the repeated ones. Everything after
+    All rows are read twice: to count key hashes, and to collect the files of the repeated keys. Everything after
     that works on stored tables of duplicates.
     """
     configure(rows.sparkSession)
-    found = save(key_files(rows, save(repeated_keys(rows))))
+    found = save(key_files(rows, save(repeated_hashes(rows))))
     summary = save(key_summary(found))
     entries = save(report_entries(found, summary))
     listed = entries.filter(F.col("scope") == "cross") if options.cross_only else entries

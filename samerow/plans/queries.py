@@ -34,7 +34,7 @@ from samerow.operators import (
     line_numbers,
     remove_rows,
     render_report,
-    repeated_keys,
+    repeated_hashes,
     report_entries,
     row_fate,
     rows_by_prefix,
@@ -181,7 +181,7 @@ def marked_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = save(key_files(rows, save(repeated_keys(rows))))
+    found = save(key_files(rows, save(repeated_hashes(rows))))
     return found, save(key_summary(found))
 
 
@@ -190,7 +190,7 @@ def _entries(rows: DataFrame) -> DataFrame:
 
 
 def _summary(rows: DataFrame) -> DataFrame:
-    return save(key_summary(key_files(rows, save(repeated_keys(rows)))))
+    return save(key_summary(key_files(rows, save(repeated_hashes(rows)))))
 
 
 def _report(rows: DataFrame) -> DataFrame:
@@ -417,7 +417,7 @@ def q_run_summary(spark, sf):
 
 def q_duplicate_rows(spark, sf):
     rows = document_rows(spark, sf)
-    return duplicate_rows(rows, save(repeated_keys(rows))).select("file", "pos", "line")
+    return duplicate_rows(rows, save(duplicates(_totals(rows)))).select("file", "pos", "line")
 
 
 def q_rows_by_prefix(spark, sf):

@@ -28,7 +28,7 @@ from samerow.operators import (
     line_numbers,
     remove_rows,
     render_report,
-    repeated_keys,
+    repeated_hashes,
     report_entries,
     row_fate,
     rows_by_prefix,
@@ -69,7 +69,7 @@ def tuples(df, *columns):
 def strategy(request, conf, monkeypatch):
     """Join by broadcast, by shuffle, with repeated keys split by salts, with and without a filter by hash."""
     if request.param == "filtered":
-        monkeypatch.setattr(skew, "MIN_FILTER_KEYS", 0)
+        monkeypatch.setattr(skew, "MIN_FILTER_CHARS", -1)
     if request.param == "unfiltered":
         monkeypatch.setattr(skew, "MAX_FILTER_KEYS", 0)
     if request.param != "broadcast":
@@ -82,7 +82,7 @@ def test_report_fates_and_survivors(spark, strategy, seed):
     files = random_files(seed, hot=0.35)
     expected = model.keyed(files, n=2, header=False)
     rows = as_rows(spark, files)
-    found = save(key_files(rows, save(repeated_keys(rows))))
+    found = save(key_files(rows, save(repeated_hashes(rows)), strategy))
     summary = save(key_summary(found))
 
     entries = save(report_entries(found, summary, strategy))
@@ -220,7 +220,7 @@ def test_keys_of_one_hash_are_told_apart(spark, conf, monkeypatch):
     files = random_files(9, hot=0.3)
     expected = model.keyed(files, n=2, header=False)
     rows = as_rows(spark, files)
-    monkeypatch.setattr(skew, "MIN_FILTER_KEYS", 0)
+    monkeypatch.setattr(skew, "MIN_FILTER_CHARS", -1)
     for rows_per_salt in (1, 1_000_000):
         got = tuples(row_fate(rows, save(key_summary(key_files(rows))), rows_per_salt), "file", "pos", "fate")
         assert sorted(got) == sorted((f, i, v) for (f, i), v in model.fates(expected).items())
