@@ -27,7 +27,7 @@ def rewrite(lines: DataFrame, out_dir: str, root: str | None = None) -> None:
         )
     # Not nullable, so that the writer keeps the order of the sort.
     placed = lines.select(
-        F.coalesce(source, F.lit("")).alias("source"),
+        F.coalesce(percent_decoded(source), F.lit("")).alias("source"),
         F.coalesce(F.lpad(F.col("block").cast("string"), BLOCK_DIGITS, "0"), F.lit("")).alias("block"),
         "pos",
         "value",

@@ -39,7 +39,7 @@ def written(folder: Path):
     """Text of every source, its blocks put together in name order."""
     parts = {}
     for p in sorted(folder.glob("source=*/block=*/part-*")):
-        source = unquote(unquote(p.parent.parent.name[len("source=") :]))
+        source = unquote(p.parent.parent.name[len("source=") :])
         parts[source] = parts.get(source, "") + p.read_text(encoding="utf-8")
     return parts
 
@@ -231,7 +231,32 @@ def test_same_name_in_two_folders(spark, tmp_path):
     found = find_duplicates(spark, str(tmp_path / "in"), options)
     assert {(r["key"], r["scope"]) for r in found.entries.collect()} == {("k;1", "cross"), ("m;1", "cross")}
     clean(spark, str(tmp_path / "in"), str(tmp_path / "out"), options=options)
-    assert written(tmp_path / "out") == {"a.csv": "h\nk;1\n", "sub/a.csv": "h\n", "sub 2%/a.csv": "h\nm;1\n"}
+    expected = {"a.csv": "h\nk;1\n", "sub/a.csv": "h\n", "sub 2%/a.csv": "h\nm;1\n"}
+    assert written(tmp_path / "out") == expected
+    back = read_rewritten(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["file"], r["value"]) for r in back) == sorted(
+        (name, line) for name, text in expected.items() for line in text.splitlines()
+    )
+
+
+def test_clean_without_files(spark, tmp_path):
+    put(tmp_path / "in", **{"a.csv": "h\nk\nk\n"})
+    result = clean(spark, str(tmp_path / "in"), str(tmp_path / "out"), options=Options(pattern="*.none"))
+    assert written(tmp_path / "out") == {}
+    (total,) = result.summary.collect()
+    assert total.asDict() == {"n_before": 0, "n_deleted": 0, "n_after": 0}
+    assert [r["text"] for r in result.text.collect()] == ["No duplicates found."]
+
+
+def test_file_that_only_has_repeats_of_its_own(spark, tmp_path):
+    """With a report of keys in several files only, its deletions get an entry of their own."""
+    put(tmp_path / "in", **{"a.csv": "h\nk\nk\n", "b.csv": "h\nm\n", "c.csv": "h\nm\n"})
+    result = clean(spark, str(tmp_path / "in"), str(tmp_path / "out"), options=Options(cross_only=True))
+    assert report_of(result.text, tmp_path / "report") == (
+        "(Within-file duplicates only - a.csv)\n"
+        "    - (Within-file duplicates) a.csv -> Deleted 1 rows\n"
+        "m\n    - b.csv\n    - c.csv -> Deleted 1 rows\n"
+    )
 
 
 def test_empty_keys(spark, tmp_path):

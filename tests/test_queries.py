@@ -79,3 +79,33 @@ def test_rows_join_the_stored_duplicates_without_a_hint(spark, conf):
     assert "BroadcastHashJoin" in small and "Exchange hashpartitioning" not in small
     conf(autoBroadcastJoinThreshold="1000")
     assert "SortMergeJoin" in plan(queries["row_fate"](spark, SF))
+
+
+def test_a_hot_key_is_combined_before_the_shuffle(spark, capsys):
+    """A key on a third of all rows reaches the shuffle as one row per scan task and file."""
+    from pyspark.sql import functions as F
+
+    from samerow.operators import key_files, key_summary, repeated_hashes
+    from samerow.session import save
+
+    n, tasks = 60_000, 6
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id")))
+    rows = spark.range(0, n, 1, tasks).select(
+        key.alias("key"),
+        F.lit("f").alias("path"),
+        F.lit("f").alias("file"),
+        F.lit(0).cast("long").alias("block"),
+        F.col("id").alias("pos"),
+        key.alias("prefix"),
+    )
+    hashes = save(repeated_hashes(rows))
+    assert [r["n_rows"] for r in hashes.collect()] == [n // 3]
+    found = key_files(rows, hashes)
+    found.collect()
+    found.explain("formatted")
+    final = capsys.readouterr().out.split("Initial Plan")[0]
+    assert "BroadcastHashJoin LeftSemi" in final
+    (shuffled,) = re.findall(r"ShuffleQueryStage.*rowCount=([\d.E+]+)", final)
+    assert float(shuffled) <= tasks
+    (first,) = key_summary(found).collect()
+    assert (first["key"], first["n_rows"], first["keep_pos"], first["prefix"]) == ("hot", n // 3, 0, "hot")
