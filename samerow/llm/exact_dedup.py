@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from samerow.session import save, shuffle_partitions
+from samerow.session import pin_splits, save, shuffle_partitions
 
 FAN_IN = 16
 DIGEST = ["sha", "n_bytes", "check"]
@@ -26,6 +26,7 @@ DIGEST = ["sha", "n_bytes", "check"]
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store ``row, id, sha, n_bytes, check`` of every row; ``row`` is its position in ``docs``."""
+    pin_splits(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return save(
         docs.select(
