@@ -24,6 +24,7 @@ from samerow.operators.entries import (
     key_files,
     key_summary,
     report_entries,
+    surplus_rows,
 )
 from samerow.operators.numbering import avg_line_length, index_blocks, line_numbers
 from samerow.operators.report import (
@@ -31,10 +32,11 @@ from samerow.operators.report import (
     HUNGARIAN,
     Labels,
     annotate_entries,
+    number_report,
     render_report,
     unlisted_files,
 )
-from samerow.operators.skew import join_on_key, repeated_hashes
+from samerow.operators.skew import join_on_key
 from samerow.operators.stats import deletion_stats, deletion_totals, input_totals, line_counts, run_summary
 
 __all__ = [
@@ -66,13 +68,14 @@ __all__ = [
     "key_summary",
     "line_counts",
     "line_numbers",
+    "number_report",
     "remove_rows",
     "render_report",
-    "repeated_hashes",
     "report_entries",
     "row_fate",
     "rows_by_prefix",
     "run_summary",
+    "surplus_rows",
     "unlisted_files",
     "within_surplus",
 ]

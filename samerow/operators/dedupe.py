@@ -35,11 +35,11 @@ def dedupe_cross_only(rows: DataFrame, summary: DataFrame, rows_per_salt: int =
     return fates.filter(F.col("fate") != CROSS_DELETED).drop("keep_file", "fate")
 
 
-def keep_file(rows: DataFrame) -> DataFrame:
-    """``key, keep_file, keep_path``: the file each key stays in."""
+def keep_file(counts: DataFrame) -> DataFrame:
+    """``key, keep_file, keep_path``: the file each key stays in, from a ``count_by_file`` result."""
     smallest = F.min(F.struct("file", "path")).alias("smallest")
     return (
-        rows.groupBy(key_hash(), "key")
+        counts.groupBy(key_hash(), "key")
         .agg(smallest)
         .select("key", F.col("smallest.file").alias("keep_file"), F.col("smallest.path").alias("keep_path"))
     )

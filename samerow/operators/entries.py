@@ -6,52 +6,50 @@ is then many rows that any number of tasks can sort and print, never one huge li
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash, rows_with_hash
+from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash
 
-# Longest list file_lists builds in one row.
-LIST_SIZE = 10_000
 
+def key_files(rows: DataFrame, min_rows: int = 2) -> DataFrame:
+    """``key, path, file, n, block, pos, n_rows, n_files, keep_*`` of every duplicate key and file.
 
-def key_files(
-    rows: DataFrame, repeated: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT
-) -> DataFrame:
-    """``key, path, file, n, block, pos, prefix``: rows of a key in a file, and place and prefix of the first.
-
-    ``repeated``, the stored ``repeated_hashes`` of the rows, leaves out nearly all unique keys before anything
-    is shuffled. The aggregate is combined in the scan tasks, so a hot key is one row per task and file.
+    ``n`` rows of the key are in the file, the first at ``block, pos``; ``n_rows`` and ``n_files`` are of the whole key,
+    and ``keep_file, keep_path, keep_block, keep_pos`` place its first row. One pass over the rows: numbers are
+    added up by hash in the scan tasks, so a hot key is one row per task and file when it is shuffled, and no
+    row is sorted. ``pos`` must grow along a file, over its blocks too.
     """
-    if repeated is not None:
-        rows = rows_with_hash(rows, repeated, rows_per_salt)
-    first = F.min(F.struct("block", "pos", "prefix"))
-    return (
-        rows.groupBy(key_hash(), "key", "path", "file")
-        .agg(F.count("*").alias("n"), first.alias("first"))
-        .select("key", "path", "file", "n", "first.*")
+    counts = rows.groupBy(key_hash(), "key", "path", "file").agg(
+        F.count("*").alias("n"), F.min("block").alias("block"), F.min("pos").alias("pos")
+    )
+    of_key = Window.partitionBy("key_hash", "key")
+    first = F.min(F.struct("file", "path", "block", "pos")).over(of_key)
+    found = counts.select(
+        "*", F.sum("n").over(of_key).alias("n_rows"), F.count("*").over(of_key).alias("n_files"), first.alias("first")
+    )
+    return found.filter(F.col("n_rows") >= min_rows).select(
+        "key",
+        "path",
+        "file",
+        "n",
+        "block",
+        "pos",
+        "n_rows",
+        "n_files",
+        *[F.col(f"first.{c}").alias(f"keep_{c}") for c in ("file", "path", "block", "pos")],
     )
 
 
-def key_summary(found: DataFrame, min_rows: int = 2) -> DataFrame:
-    """One row per duplicate key: ``n_rows``, its first row in file order, and that row's prefix.
+def key_summary(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per duplicate key: ``n_rows, n_files``, its first row in file order, and that row's prefix.
 
-    ``found`` is a ``key_files`` result. The first row is the one deduplication keeps.
+    ``found`` is the stored ``key_files`` result of the same rows. The first row is the one deduplication keeps.
+    Prefixes are looked up for first rows only.
     """
-    first = F.min(F.struct("file", "path", "block", "pos", "prefix"))
-    return (
-        found.groupBy(key_hash(), "key")
-        .agg(F.sum("n").alias("n_rows"), first.alias("first"))
-        .filter(F.col("n_rows") >= min_rows)
-        .select(
-            "key",
-            "n_rows",
-            F.col("first.file").alias("keep_file"),
-            F.col("first.path").alias("keep_path"),
-            F.col("first.block").alias("keep_block"),
-            F.col("first.pos").alias("keep_pos"),
-            F.col("first.prefix").alias("prefix"),
-        )
-    )
+    first = found.filter(F.col("path") == F.col("keep_path"))
+    return rows.select("path", "block", "pos", "prefix").join(
+        first.drop("file", "n"), ["path", "block", "pos"]
+    ).select("key", "n_rows", "n_files", "keep_file", "keep_path", "keep_block", "keep_pos", "prefix")
 
 
 def report_entries(found: DataFrame, summary: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -60,8 +58,9 @@ def report_entries(found: DataFrame, summary: DataFrame, rows_per_salt: int = RO
     ``found`` is a ``key_files`` result and ``summary`` the stored ``key_summary`` of it. A key is ``within``
     if one file holds all its rows. ``is_first`` marks one file per key, the one with its first row.
     """
-    keys = summary.select("key", "n_rows", "prefix", "keep_path")
-    joined = join_on_key(found.drop("prefix"), keys, "inner", rows_per_salt=rows_per_salt)
+    keys = summary.select("key", "n_files", "prefix")
+    entries = found.select("key", "path", "file", "n", "pos", "n_rows", "keep_path")
+    joined = join_on_key(entries, keys, "inner", weight="n_files", rows_per_salt=rows_per_salt)
     return joined.select(
         "prefix",
         "key",
@@ -74,6 +73,23 @@ def report_entries(found: DataFrame, summary: DataFrame, rows_per_salt: int = RO
     )
 
 
+def surplus_rows(
+    rows: DataFrame, found: DataFrame, mode: str = "all", rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """``path, block, pos`` of the rows a deletion drops.
+
+    ``found`` is the stored ``key_files`` result of ``rows``. ``all`` keeps the first row of a key, ``cross`` all rows in
+    the file of the first, ``within`` the first row in each file.
+    """
+    first_in_file = F.col("pos") == F.col("first_pos")
+    in_keep_file = F.col("path") == F.col("keep_path")
+    kept = {"all": in_keep_file & first_in_file, "cross": in_keep_file, "within": first_in_file}[mode]
+    keys = found.select("key", "path", "n", F.col("pos").alias("first_pos"), "keep_path")
+    places = rows.select("key", "path", "block", "pos")
+    joined = join_on_key(places, keys, "inner", on=["key", "path"], weight="n", rows_per_salt=rows_per_salt)
+    return joined.filter(~kept).select("path", "block", "pos")
+
+
 def cross_prefixes(entries: DataFrame) -> DataFrame:
     """``prefix, n_rows``: displayed prefixes of keys in several files, with the rows of these keys."""
     cross = entries.filter((F.col("scope") == "cross") & F.col("is_first"))
@@ -85,25 +101,12 @@ def distinct_prefixes(entries: DataFrame) -> DataFrame:
     return entries.select("prefix", "path", "file").distinct()
 
 
-def file_lists(counts: DataFrame, totals: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
-    """Sorted files, and file counts, per duplicate key: ``key, part, n_parts, files, file_counts``.
+def file_lists(counts: DataFrame, totals: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``key, place, path, file, n``: the files of every duplicate key, numbered from 1 in the order of their names.
 
-    ``totals`` holds the duplicate keys with ``n_files``. A key in more than ``list_size`` files gets several
-    rows, each with the files whose hash falls in that part, so no task builds an unbounded list.
+    ``totals`` holds the duplicate keys with ``n_files``. The list is in long form, one row per key and file, so a
+    key in very many files is many rows and never one.
     """
-    placed = join_on_key(counts, totals, "inner", weight="n_files").withColumn(
-        "n_parts", F.ceil(F.col("n_files") / list_size)
-    )
-    entry = F.struct("file", "path", "n")
-    lists = (
-        placed.withColumn("part", F.pmod(F.xxhash64("path"), F.col("n_parts")))
-        .groupBy("key", "part", "n_parts")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    )
-    return lists.select(
-        "key",
-        "part",
-        "n_parts",
-        F.col("entries.file").alias("files"),
-        F.map_from_arrays(F.col("entries.path"), F.col("entries.n")).alias("file_counts"),
-    )
+    found = join_on_key(counts, totals.select("key", "n_files"), "inner", weight="n_files", rows_per_salt=rows_per_salt)
+    place = F.row_number().over(Window.partitionBy(key_hash(), "key").orderBy("file", "path"))
+    return found.select("key", place.cast("long").alias("place"), "path", "file", "n")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from samerow.operators.ranks import ranked
 from samerow.operators.skew import join_on_key
 
 
@@ -90,6 +91,12 @@ def render_report(entries: DataFrame, labels: Labels = ENGLISH) -> DataFrame:
     return text.unionByName(_empty_report(entries, labels))
 
 
+def number_report(text: DataFrame) -> DataFrame:
+    """Add ``line_no``, from 1, to the lines of a report; the sort ranges over all tasks."""
+    numbered = ranked(text, ["prefix", "key", "seq", "file"], "line_no")
+    return numbered.withColumn("line_no", F.col("line_no") + 1)
+
+
 def _empty_report(entries: DataFrame, labels: Labels) -> DataFrame:
     entry_count = entries.limit(1).agg(F.count("*").alias("n"))
     return entry_count.filter(F.col("n") == 0).select(

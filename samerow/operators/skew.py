@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key with more rows than this is spread over several join partitions.
+# Rows of one key that a join task takes; a key with more is spread over several tasks.
 ROWS_PER_SALT = 1_000_000
-# Only the largest keys need it: after 1000 of them, no other key can hold more than 0.1 % of the rows.
-MAX_HOT_KEYS = 1_000
-# Hashes of at most this many keys, about 200 MB in memory, are broadcast to find the rows worth shuffling.
-MAX_FILTER_KEYS = 4_000_000
-# Keys with less text than this the planner broadcasts whole, so there is nothing to filter for.
-MIN_FILTER_CHARS = 2_000_000
 
 
 def key_hash(*key: str) -> Column:
@@ -27,29 +17,6 @@ def key_hash(*key: str) -> Column:
     return F.xxhash64(*(key or ("key",))).alias("key_hash")
 
 
-def repeated_hashes(rows: DataFrame, min_rows: int = 2) -> DataFrame:
-    """``hash, n_rows`` of the key hashes that occur at least ``min_rows`` times.
-
-    The cheapest pass over all rows: two numbers per key are shuffled, however wide the keys are. Every key that
-    is repeated has its hash here; a hash may also stand for several keys.
-    """
-    hashes = rows.groupBy(F.xxhash64("key").alias("hash")).agg(F.count("*").alias("n_rows"))
-    return hashes.filter(F.col("n_rows") >= min_rows)
-
-
-def rows_with_hash(rows: DataFrame, hashes: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """The rows whose key hash is in ``hashes``, a stored ``repeated_hashes`` result.
-
-    Up to ``MAX_FILTER_KEYS`` hashes are broadcast, and no row is shuffled. Beyond, rows and hashes are joined.
-    """
-    hashed = rows.withColumn("hash", F.xxhash64("key"))
-    if hashes.count() > MAX_FILTER_KEYS:
-        found = join_on_key(hashed, hashes, "left_semi", on="hash", rows_per_salt=rows_per_salt)
-    else:
-        found = hashed.join(F.broadcast(hashes.select("hash")), "hash", "left_semi")
-    return found.drop("hash")
-
-
 def join_on_key(
     rows: DataFrame,
     keys: DataFrame,
@@ -58,53 +25,26 @@ def join_on_key(
     weight: str = "n_rows",
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Join ``rows`` with ``keys``, which has one row per key and, in ``weight``, its number of rows.
+    """Join ``rows`` with ``keys``, which has one row per key and, in ``weight``, its number of rows in ``rows``.
 
     ``keys`` should be a stored table (``session.save``): the planner then broadcasts it if its files are below
-    the broadcast threshold. Otherwise both sides are shuffled, and three things keep that small and even. Rows
-    whose key hash is not among the hashes of ``keys`` have no match and are not shuffled, if the hashes are few
-    enough to broadcast. The rows of a hot key are split by a salt from their position, while its row in
-    ``keys`` is repeated once per salt. Rows without a key are spread by position. None is lost or doubled.
+    the broadcast threshold. Otherwise both sides are shuffled, and the rows of a key with more than
+    ``rows_per_salt`` are split by a salt from their position, while its row in ``keys`` is repeated once per
+    salt. Only the hashes of such keys are broadcast, at most one for every ``rows_per_salt`` rows there are.
+    Rows without a key are spread by position. ``rows`` is evaluated once; no row is lost or doubled.
     """
     on = [on] if isinstance(on, str) else on
     position = F.xxhash64(*[c for c in ("path", "block", "pos", "key") if c in rows.columns])
     left = rows.withColumn("key_hash", F.when(F.col(on[0]).isNotNull(), key_hash(*on)).otherwise(position))
     right = keys.select("*", key_hash(*on))
-    n_chars = F.sum(reduce(add, [F.length(F.col(c).cast("string")) for c in on]))
-    n_keys, n_chars, largest = keys.agg(F.count("*"), n_chars, F.max(weight)).first()
-
-    rest = None
-    if n_keys <= MAX_FILTER_KEYS and (n_chars or 0) > MIN_FILTER_CHARS:
-        hashes = F.broadcast(right.select("key_hash"))
-        if how in ("left", "left_anti"):
-            rest = left.join(hashes, "key_hash", "left_anti")
-        left = left.join(hashes, "key_hash", "left_semi")
-
-    by = ["key_hash", *on]
-    if (largest or 0) > rows_per_salt:
-        by.append("salt")
-        hot = F.broadcast(_hot_keys(right, weight, rows_per_salt))
-        spread = F.coalesce(F.pmod(position, F.col("salts")), F.lit(0))
-        each = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
-        left = left.join(hot, "key_hash", "left").withColumn("salt", spread).drop("salts")
-        right = right.join(hot, "key_hash", "left").withColumn("salt", F.explode(each)).drop("salts")
-    joined = left.join(right, by, how).drop("salt")
-    if rest is not None:
-        joined = joined.unionByName(rest, allowMissingColumns=True)
-    return joined.drop("key_hash")
-
-
-def _hot_keys(keys: DataFrame, weight: str, rows_per_salt: int) -> DataFrame:
-    """``key_hash, salts`` of the largest keys, at most ``MAX_HOT_KEYS`` rows of two numbers."""
-    largest = (
-        keys.filter(F.col(weight) > rows_per_salt)
-        .select("key_hash", F.ceil(F.col(weight) / rows_per_salt).alias("salts"))
-        .orderBy(F.desc("salts"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
     # Two keys may share a hash. Both sides look the salts up by hash, so the larger number serves both.
-    salts: dict[int, int] = {}
-    for row in largest:
-        salts[row["key_hash"]] = max(row["salts"], salts.get(row["key_hash"], 0))
-    return keys.sparkSession.createDataFrame(pa.table({"key_hash": list(salts.keys()), "salts": list(salts.values())}))
+    hot = F.broadcast(
+        right.filter(F.col(weight) > rows_per_salt)
+        .groupBy("key_hash")
+        .agg(F.max(F.ceil(F.col(weight) / rows_per_salt)).alias("salts"))
+    )
+    spread = F.coalesce(F.pmod(position, F.col("salts")), F.lit(0).cast("long"))
+    each = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)
+    left = left.join(hot, "key_hash", "left").withColumn("salt", spread).drop("salts")
+    right = right.join(hot, "key_hash", "left").withColumn("salt", F.explode(each)).drop("salts")
+    return left.join(right, ["key_hash", *on, "salt"], how).drop("salt", "key_hash")

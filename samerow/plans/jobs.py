@@ -11,8 +11,6 @@ from samerow.operators import (
     ENGLISH,
     Labels,
     annotate_entries,
-    dedupe_cross_only,
-    dedupe_within,
     deletion_stats,
     index_blocks,
     input_totals,
@@ -20,15 +18,13 @@ from samerow.operators import (
     key_summary,
     line_counts,
     render_report,
-    repeated_hashes,
     report_entries,
-    row_fate,
     run_summary,
+    surplus_rows,
     unlisted_files,
 )
-from samerow.operators.dedupe import KEPT
-from samerow.session import configure, save
-from samerow.sources import key_lines, keyed, list_inputs, mark_headers, read_lines, rewrite
+from samerow.session import delete_folder, input_size, job_folder, job_settings, save
+from samerow.sources import keyed, list_inputs, mark_headers, read_lines, rewrite
 from samerow.sources.files import FILE_PATTERN
 
 
@@ -49,41 +45,59 @@ class Options:
         return {name: getattr(self, name) for name in names}
 
 
+class _Stored:
+    """A result whose tables lie in a folder of its own; close it, or leave its ``with`` block, to delete them."""
+
+    def close(self) -> None:
+        delete_folder(self.spark, self.folder)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 @dataclass(frozen=True)
-class Found:
-    """``summary`` and ``entries`` are stored tables of the duplicates only; ``listed`` are the reported entries."""
+class Found(_Stored):
+    """``found``, ``summary`` and ``entries`` are stored tables of the duplicates only; ``listed`` are the reported entries."""
 
     rows: DataFrame
+    found: DataFrame
     summary: DataFrame
     entries: DataFrame
     listed: DataFrame
     text: DataFrame
+    spark: SparkSession
+    folder: str
 
 
 @dataclass(frozen=True)
-class Cleaned:
+class Cleaned(_Stored):
     stats: DataFrame
     summary: DataFrame
     text: DataFrame
+    spark: SparkSession
+    folder: str
 
 
 def find_in_rows(rows: DataFrame, options: Options = Options()) -> Found:
     """Duplicates of any keyed rows, from files or tables.
 
-    All rows are read twice: to count key hashes, and to collect the files of the repeated keys. Everything after
+    All rows are read twice: to count keys by file, and to look up the prefixes of first rows. Everything after
     that works on stored tables of duplicates.
     """
-    configure(rows.sparkSession)
-    found = save(key_files(rows, save(repeated_hashes(rows))))
-    summary = save(key_summary(found))
-    entries = save(report_entries(found, summary))
-    listed = entries.filter(F.col("scope") == "cross") if options.cross_only else entries
-    return Found(rows, summary, entries, listed, render_report(listed, options.labels))
+    spark = rows.sparkSession
+    with job_settings(spark, input_size(rows)), job_folder(spark) as folder:
+        return _find(rows, options, folder)
 
 
 def find_duplicates(spark: SparkSession, path: str, options: Options = Options()) -> Found:
     """Duplicates of the text files below ``path``."""
-    return _find(_scan(spark, path, options), options)
+    files = list_inputs(spark, path, options.pattern, options.recursive)
+    with job_settings(spark, input_totals(files).first()["total_size"]), job_folder(spark) as folder:
+        marked, _ = _scan(spark, path, options)
+        return _find(keyed(marked, **options.keys()), options, folder)
 
 
 def clean(
@@ -96,47 +110,38 @@ def clean(
     """
     if mode not in ("all", "cross", "within"):
         raise ValueError(f"mode must be all, cross or within, not {mode!r}")
-    scan = _scan(spark, path, options)
-    found = _find(scan, options)
-    lines = key_lines(scan.marked, **options.keys())
-
-    stats = deletion_stats(found.entries)
-    none = F.lit(0).cast("long")
-    if mode == "within":
-        kept = dedupe_within(found.rows).unionByName(lines.filter(F.col("key").isNull()))
-        surplus = found.entries.groupBy("path", "file").agg(
-            F.count("*").alias("n_keys"), F.sum(F.col("n") - 1).alias("n_within_deleted")
-        )
-        stats = surplus.withColumn("n_cross_deleted", none)
-    elif mode == "cross":
-        kept = dedupe_cross_only(lines, found.summary)
-        stats = stats.withColumn("n_within_deleted", none)
-    else:
-        kept = row_fate(lines, found.summary).filter(F.col("fate") == KEPT)
-    stats = save(stats)
-    rewrite(kept, out_dir, root=path)
-
-    shown = annotate_entries(found.listed, stats, options.labels, cross_only=mode == "cross")
-    everything = save(shown.unionByName(unlisted_files(shown, stats, options.labels)))
-    return Cleaned(
-        stats, run_summary(line_counts(scan.blocks, scan.files), stats), render_report(everything, options.labels)
-    )
-
-
-@dataclass(frozen=True)
-class _Scan:
-    files: DataFrame
-    blocks: DataFrame
-    marked: DataFrame
-
-
-def _scan(spark: SparkSession, path: str, options: Options) -> _Scan:
     files = list_inputs(spark, path, options.pattern, options.recursive)
-    configure(spark, input_totals(files).first()["total_size"])
+    with job_settings(spark, input_totals(files).first()["total_size"]), job_folder(spark) as folder:
+        marked, blocks = _scan(spark, path, options)
+        found = _find(keyed(marked, **options.keys()), options, folder)
+        rewrite(marked, out_dir, root=path, surplus=save(surplus_rows(found.rows, found.found, mode)))
+
+        stats = deletion_stats(found.entries)
+        none = F.lit(0).cast("long")
+        if mode == "within":
+            surplus = found.entries.groupBy("path", "file").agg(
+                F.count("*").alias("n_keys"), F.sum(F.col("n") - 1).alias("n_within_deleted")
+            )
+            stats = surplus.withColumn("n_cross_deleted", none)
+        elif mode == "cross":
+            stats = stats.withColumn("n_within_deleted", none)
+        stats = save(stats)
+        shown = annotate_entries(found.listed, stats, options.labels, cross_only=mode == "cross")
+        everything = save(shown.unionByName(unlisted_files(shown, stats, options.labels)))
+        summary = save(run_summary(line_counts(blocks, files), stats))
+        return Cleaned(stats, summary, render_report(everything, options.labels), spark, folder)
+
+
+def _scan(spark: SparkSession, path: str, options: Options) -> tuple[DataFrame, DataFrame]:
     lines = read_lines(spark, path, options.pattern, options.recursive)
     blocks = index_blocks(lines)
-    return _Scan(files, blocks, mark_headers(lines, blocks))
+    return mark_headers(lines, blocks), blocks
 
 
-def _find(scan: _Scan, options: Options) -> Found:
-    return find_in_rows(keyed(scan.marked, **options.keys()), options)
+def _find(rows: DataFrame, options: Options, folder: str) -> Found:
+    found = save(key_files(rows))
+    summary = save(key_summary(found, rows))
+    entries = save(report_entries(found, summary))
+    listed = entries.filter(F.col("scope") == "cross") if options.cross_only else entries
+    text = render_report(listed, options.labels)
+    return Found(rows, found, summary, entries, listed, text, rows.sparkSession, folder)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from samerow.functions import WHITESPACE
-from samerow.plans.queries import DOCS_PER_FILE
+# Fixed value: the characters that count as white space at the ends of a line.
+WHITESPACE = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+)
 
 # ---- tables as rows -------------------------------------------------------------------------------------
 
@@ -48,8 +50,8 @@ totals AS (
 
 FOLDER_LINES = f"""
 lines AS (
-  SELECT source || '-' || CAST(doc_id // {DOCS_PER_FILE} AS VARCHAR) AS file, value,
-         row_number() OVER (PARTITION BY source, doc_id // {DOCS_PER_FILE} ORDER BY doc_id, i) AS line_no
+  SELECT source || '-' || CAST(doc_id // 1000 AS VARCHAR) AS file, value,
+         row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id, i) AS line_no
   FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS value,
                generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 stripped AS (SELECT *, line_no AS pos, trim(value, '{WHITESPACE}') AS line FROM lines),
@@ -128,6 +130,7 @@ kept AS (
   FROM entries e LEFT JOIN stats s USING (file))"""
     return {
         "read_lines": f"{folder} SELECT file, line_no, value FROM lines",
+        "read_lines_endings": f"{folder} SELECT file, line_no, value FROM lines",
         "read_lines_suffix": f"{folder} SELECT file, count(*) AS n FROM lines GROUP BY file",
         "list_inputs": f"{folder} SELECT file, CAST(sum(strlen(value) + 1) AS BIGINT) AS size FROM lines GROUP BY file",
         "inputs_by_size": f"""{folder} SELECT file, CAST(sum(strlen(value) + 1) AS BIGINT) AS size
@@ -160,12 +163,10 @@ kept AS (
         "dup_scope_lineitem": f"""{lineitem} SELECT *, CASE WHEN n_files > 1 THEN 'cross' ELSE 'within' END AS scope
             FROM totals WHERE n_rows > 1""",
         "cross_only": f"{docs}, {COUNTS} SELECT key, n_files, n_rows FROM totals WHERE n_files > 1",
-        "dup_files": f"""{docs}, {COUNTS} SELECT key, CAST(0 AS BIGINT) AS part,
-            string_agg(file, ',' ORDER BY file) AS files
-            FROM counts WHERE key IN (SELECT key FROM dups) GROUP BY key""",
-        "dup_file_map": f"""{docs}, {COUNTS} SELECT key, CAST(0 AS BIGINT) AS part,
-            string_agg(file || ':' || n, ',' ORDER BY file) AS file_counts
-            FROM counts WHERE key IN (SELECT key FROM dups) GROUP BY key""",
+        "dup_files": f"""{docs}, {COUNTS} SELECT key, file,
+            row_number() OVER (PARTITION BY key ORDER BY file) AS place
+            FROM counts WHERE key IN (SELECT key FROM dups)""",
+        "dup_file_map": f"{docs}, {COUNTS} SELECT key, file, n FROM counts WHERE key IN (SELECT key FROM dups)",
         "first_prefix": f"""{docs} SELECT key, count(*) AS n_rows, arg_min(prefix, (file, pos)) AS prefix
             FROM keyed GROUP BY key HAVING count(*) > 1""",
         "dup_report": f"{docs}, {ENTRIES} {_REPORT}",
@@ -184,12 +185,14 @@ kept AS (
         "within_surplus_lineitem": """SELECT l_returnflag AS file,
             count(*) - count(DISTINCT (l_partkey, l_suppkey, l_linestatus)) AS surplus
             FROM lineitem GROUP BY l_returnflag""",
-        "avg_line_length": f"""{_with(LANG_LINES)}, texts AS (
-              SELECT file, length(trim(value, '{WHITESPACE}')) AS len,
-                     row_number() OVER (PARTITION BY file ORDER BY line_no) AS rn
-              FROM lines WHERE trim(value, '{WHITESPACE}') <> '')
+        "avg_line_length": f"""{folder}
+            SELECT file, round(coalesce(avg(length(line)) FILTER (line <> '' AND line_no > 1), 150.0), 4) AS avg_len
+            FROM stripped GROUP BY file""",
+        "avg_line_length_sample": f"""{folder}, texts AS (
+              SELECT file, length(line) AS len, row_number() OVER (PARTITION BY file ORDER BY line_no) AS rn
+              FROM stripped WHERE line <> '' AND line_no > 1)
             SELECT l.file, round(coalesce(avg(len), 150.0), 4) AS avg_len
-            FROM (SELECT DISTINCT file FROM lines) l LEFT JOIN texts t ON t.file = l.file AND rn <= 10000
+            FROM (SELECT DISTINCT file FROM lines) l LEFT JOIN texts t ON t.file = l.file AND rn <= 100
             GROUP BY l.file""",
         "deletion_stats": f"{docs}, {STATS} SELECT * FROM stats",
         "deletion_totals": f"""{docs}, {STATS} SELECT
@@ -220,6 +223,9 @@ kept AS (
         "row_fate_orders": f"{orders}, {FATES} SELECT file, pos, keep_file, fate FROM fates",
         "line_numbers": f"{_with(LANG_LINES)} SELECT file, line_no, value FROM lines",
         "report_text": f"{docs}, {ENTRIES} {_TEXT.format(source='(SELECT *, file AS shown FROM entries)')}",
+        "report_lines": f"""{docs}, {ENTRIES}, report AS (
+            {_TEXT.format(source='(SELECT *, file AS shown FROM entries)')})
+            SELECT row_number() OVER (ORDER BY prefix, key, seq, file) AS line_no, text FROM report""",
         "report_empty": """SELECT CASE WHEN max(n) > 1 THEN 'duplicates' ELSE 'No duplicates found.' END AS text
             FROM (SELECT o_orderkey, count(*) AS n FROM orders GROUP BY o_orderkey)""",
         "report_after_delete": f"{docs}, {ENTRIES}, {STATS}, {annotated} {_TEXT.format(source='shown')}",

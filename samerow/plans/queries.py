@@ -32,18 +32,19 @@ from samerow.operators import (
     key_summary,
     line_counts,
     line_numbers,
+    number_report,
     remove_rows,
     render_report,
-    repeated_hashes,
     report_entries,
     row_fate,
     rows_by_prefix,
     run_summary,
+    surplus_rows,
     unlisted_files,
     within_surplus,
 )
 from samerow.operators.dedupe import CROSS_DELETED, KEPT
-from samerow.session import configure, save, scratch_dir
+from samerow.session import configure, input_size, save, scratch_dir
 from samerow.sources import (
     LINE_SUFFIXES,
     chunked,
@@ -70,7 +71,9 @@ TEXT_ARGS = {"delimiter": " ", "n_fields": 6}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf}/{name}.parquet")
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    configure(spark, input_size(table))
+    return table
 
 
 def document_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +152,6 @@ def document_folder(spark: SparkSession, sf: str) -> str:
 
     Next to the ``.txt`` files lie ``.json`` ones, which the file patterns must leave out.
     """
-    configure(spark)
     known = (spark.sparkContext.applicationId, sf)
     if known not in _folders:
         folder = scratch_dir(spark)
@@ -162,6 +164,22 @@ def document_folder(spark: SparkSession, sf: str) -> str:
     return _folders[known]
 
 
+def mixed_endings(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of text files in which documents end their lines in one of the three ways."""
+    folder = scratch_dir(spark)
+    # A last empty line would make one end of line out of two.
+    end = F.when(F.endswith("text", F.lit("\n")), "\n").otherwise(
+        F.element_at(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r")), (F.col("doc_id") % 3 + 1).cast("int"))
+    )
+    name = F.concat_ws("-", "source", F.expr(f"doc_id div {DOCS_PER_FILE}"))
+    docs = _table(spark, sf, "documents").select(
+        name.alias("name"), "doc_id", F.replace("text", F.lit("\n"), end).alias("text")
+    )
+    placed = docs.repartition("name").sortWithinPartitions("name", "doc_id")
+    placed.select("name", "text").write.partitionBy("name").text(folder)
+    return _named(read_lines(spark, folder, "*.txt", recursive=True))
+
+
 def _named(df: DataFrame) -> DataFrame:
     """Spark picks the file names, so the folder's name stands for the file."""
     name = F.regexp_extract("path", "/name=([^/]+)/", 1)
@@ -181,8 +199,8 @@ def marked_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = save(key_files(rows, save(repeated_hashes(rows))))
-    return found, save(key_summary(found))
+    found = save(key_files(rows))
+    return found, save(key_summary(found, rows))
 
 
 def _entries(rows: DataFrame) -> DataFrame:
@@ -190,7 +208,7 @@ def _entries(rows: DataFrame) -> DataFrame:
 
 
 def _summary(rows: DataFrame) -> DataFrame:
-    return save(key_summary(key_files(rows, save(repeated_hashes(rows)))))
+    return _found(rows)[1]
 
 
 def _report(rows: DataFrame) -> DataFrame:
@@ -217,6 +235,10 @@ def q_read_lines(spark, sf):
     return line_numbers(_named(folder_lines(spark, sf))).select("file", "line_no", "value")
 
 
+def q_read_lines_endings(spark, sf):
+    return line_numbers(mixed_endings(spark, sf)).select("file", "line_no", "value")
+
+
 def q_read_lines_suffix(spark, sf):
     lines = read_lines(spark, document_folder(spark, sf), LINE_SUFFIXES, recursive=True)
     return _named(lines).groupBy("file").agg(F.count("*").alias("n"))
@@ -330,14 +352,11 @@ def _file_lists(spark, sf):
 
 
 def q_dup_files(spark, sf):
-    return _file_lists(spark, sf).select("key", "part", F.array_join("files", ",").alias("files"))
+    return _file_lists(spark, sf).select("key", "place", "file")
 
 
 def q_dup_file_map(spark, sf):
-    pairs = F.transform(
-        F.array_sort(F.map_entries("file_counts")), lambda e: F.concat_ws(":", e["key"], e["value"])
-    )
-    return _file_lists(spark, sf).select("key", "part", F.array_join(pairs, ",").alias("file_counts"))
+    return _file_lists(spark, sf).select("key", "file", "n")
 
 
 def q_first_prefix(spark, sf):
@@ -396,10 +415,18 @@ def q_within_surplus_lineitem(spark, sf):
     return within_surplus(count_by_file(lineitem_rows(spark, sf))).select("file", "surplus")
 
 
+def _avg_line_length(spark, sf, limit=None):
+    lines = marked_lines(spark, sf).filter(~F.col("is_header"))
+    files = _named(list_inputs(spark, document_folder(spark, sf), "*.txt", recursive=True))
+    return avg_line_length(lines, files, limit).select("file", F.round("avg_len", 4).alias("avg_len"))
+
+
 def q_avg_line_length(spark, sf):
-    lines = language_lines(spark, sf)
-    means = avg_line_length(lines, lines.select("path", "file").distinct())
-    return means.select("file", F.round("avg_len", 4).alias("avg_len"))
+    return _avg_line_length(spark, sf)
+
+
+def q_avg_line_length_sample(spark, sf):
+    return _avg_line_length(spark, sf, limit=100)
 
 
 def q_deletion_stats(spark, sf):
@@ -445,7 +472,7 @@ def q_dedupe_within_orders(spark, sf):
 
 
 def q_keep_file(spark, sf):
-    return keep_file(document_rows(spark, sf)).select("key", "keep_file")
+    return keep_file(count_by_file(document_rows(spark, sf))).select("key", "keep_file")
 
 
 def q_dedupe_cross_only(spark, sf):
@@ -481,6 +508,10 @@ def q_report_text(spark, sf):
     return render_report(save(_entries(document_rows(spark, sf))))
 
 
+def q_report_lines(spark, sf):
+    return number_report(render_report(save(_entries(document_rows(spark, sf))))).select("line_no", "text")
+
+
 def q_report_empty(spark, sf):
     orders = _table(spark, sf, "orders")
     unique = rows_from_table(
@@ -501,18 +532,16 @@ def q_unlisted_files(spark, sf):
 
 
 def q_cleaned_rows(spark, sf):
-    lines = line_numbers(marked_lines(spark, sf))
-    kept = dedupe_all(keyed(lines, **TEXT_ARGS))
-    rest = lines.filter(F.col("is_header") | F.col("is_blank"))
-    columns = ["file", "line_no", "value"]
-    return kept.select(columns).unionByName(rest.select(columns))
+    lines = key_lines(line_numbers(marked_lines(spark, sf)), **TEXT_ARGS)
+    fates = row_fate(lines, _summary(keyed(lines, **TEXT_ARGS)))
+    return fates.filter(F.col("fate") == KEPT).select("file", "line_no", "value")
 
 
 def q_rewrite_files(spark, sf):
     lines = marked_lines(spark, sf)
-    fates = row_fate(key_lines(lines, **TEXT_ARGS), _summary(keyed(lines, **TEXT_ARGS)))
+    rows = keyed(lines, **TEXT_ARGS)
     out = scratch_dir(spark)
-    rewrite(fates.filter(F.col("fate") == KEPT), out)
+    rewrite(lines, out, surplus=save(surplus_rows(rows, save(key_files(rows)))))
     return line_numbers(read_rewritten(spark, out)).select("file", "line_no", "value")
 
 

@@ -2,34 +2,70 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 # Input bytes per shuffle partition before adaptive execution joins small ones.
 PARTITION_BYTES = 128 * 1024 * 1024
-MAX_PARTITIONS = 100_000
 
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SPLITS = "spark.sql.files.minPartitionNum"
+# forceOptimizeSkewedJoin: skewed joins are split also where that costs one more shuffle.
+_OPTIONS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+# The number of partitions last set here, per application.
+_wanted: dict[str, str] = {}
+_folder: ContextVar[str | None] = ContextVar("job folder", default=None)
 
 
 def configure(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
-    """Switch on adaptive execution with skew-join splitting, also where the split costs one more shuffle.
+    """Switch on adaptive execution with skew-join splitting, and size shuffles for an input of that many bytes.
 
-    With ``input_bytes`` shuffles start with enough partitions for data of that size to fit into memory.
-    Adaptive execution joins those that turn out small.
+    Shuffles of large inputs start with enough partitions for each to fit into memory; adaptive execution joins
+    those that turn out small. The next call with a small input takes that back.
     """
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    wanted = min(input_bytes // PARTITION_BYTES, MAX_PARTITIONS)
+    for name, value in _OPTIONS.items():
+        spark.conf.set(name, value)
+    application = spark.sparkContext.applicationId
+    ours = _wanted.pop(application, None)
+    if ours is not None and spark.conf.get(_INITIAL, None) == ours:
+        spark.conf.unset(_INITIAL)
+    wanted = -(-input_bytes // PARTITION_BYTES)
     if wanted > shuffle_partitions(spark):
         spark.conf.set(_INITIAL, str(wanted))
+        _wanted[application] = str(wanted)
     return spark
 
 
+@contextmanager
+def job_settings(spark: SparkSession, input_bytes: int = 0) -> Iterator[None]:
+    """``configure`` and ``pin_splits`` for the time of a job; then every option is as it was."""
+    before = {name: spark.conf.get(name, None) for name in [*_OPTIONS, _INITIAL, _SPLITS]}
+    try:
+        configure(spark, input_bytes)
+        pin_splits(spark)
+        yield
+    finally:
+        _wanted.pop(spark.sparkContext.applicationId, None)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def input_size(df: DataFrame) -> int:
+    """Bytes that the scans below ``df`` read, from the statistics of the plan; unknown sizes count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -40,19 +76,40 @@ def pin_splits(spark: SparkSession) -> None:
     Spark derives the split size from the cores it has at planning time. With dynamic allocation that can
     differ between two scans of one job, and row positions taken from both would not match.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    if spark.conf.get(_SPLITS, None) is None:
+        spark.conf.set(_SPLITS, str(spark.sparkContext.defaultParallelism))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor can reach."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which the driver and every executor can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="samerow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/samerow-{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below the shared one, inside the folder of the current job if there is one."""
+    return f"{_folder.get() or shared_folder(spark)}/samerow-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all tables that are stored until the block ends. They stay, unless the block fails."""
+    path = f"{shared_folder(spark)}/samerow-job-{uuid.uuid4().hex}"
+    token = _folder.set(path)
+    try:
+        yield path
+    except BaseException:
+        delete_folder(spark, path)
+        raise
+    finally:
+        _folder.reset(token)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def save(df: DataFrame) -> DataFrame:

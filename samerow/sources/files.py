@@ -7,7 +7,8 @@ a file without a shuffle.
 
 from __future__ import annotations
 
-import pyarrow as pa
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from samerow.functions import (
@@ -26,33 +27,69 @@ from samerow.session import pin_splits
 FILE_PATTERN = "*.csv"
 LINE_SUFFIXES = "*.{csv,CSV,txt,TXT}"
 
-# One header position takes about 32 bytes in a broadcast table, so this many files stay near 130 MB.
-MAX_BROADCAST_FILES = 4_000_000
-
 
 def read_lines(
     spark: SparkSession, path: str, pattern: str = FILE_PATTERN, recursive: bool = False
 ) -> DataFrame:
     """One row per physical line of every file below ``path`` whose name matches ``pattern``.
 
-    The text source ends lines at LF, CR LF and lone CR. Files are split, so one big file is read in parallel.
+    ``path`` is taken literally. ``pattern`` may name folders below it (``2024/*.csv``, ``*/part?.csv``); ``**/`` in front
+    or ``recursive`` looks into all of them. The text source ends lines at LF, CR LF and lone CR. Files are
+    split, so one big file is read in parallel. Spark leaves out names that begin with ``.`` or ``_``; if one
+    matches, that is an error.
     """
     pin_splits(spark)
     meta = F.col("_metadata")
-    return (
-        spark.read.option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .text(path)
-        .select(
-            meta["file_path"].alias("path"),
-            percent_decoded(meta["file_name"]).alias("file"),
-            meta["file_block_start"].alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-            decode_ignore(F.col("value")).alias("value"),
-        )
+    return _matching(spark, "text", path, pattern, recursive).select(
+        meta["file_path"].alias("path"),
+        percent_decoded(meta["file_name"]).alias("file"),
+        meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+        decode_ignore(F.col("value")).alias("value"),
     )
 
 
+def _matching(spark: SparkSession, source: str, path: str, pattern: str, recursive: bool) -> DataFrame:
+    """A scan of the matching files and nothing else: Spark never gets a folder to infer partitions from."""
+    folder = re.sub(r"([\\*?\[\]{}])", r"\\\1", path.rstrip("/"))
+    if pattern.startswith("**/"):
+        recursive, pattern = True, pattern[3:]
+    if recursive and "/" in pattern:
+        raise ValueError("a pattern for all folders is one on file names")
+    _refuse_hidden(spark, folder, pattern, recursive)
+    everywhere = spark.read.format(source).option("recursiveFileLookup", "true")
+    if recursive:
+        return everywhere.option("pathGlobFilter", pattern).load(folder)
+    found = _glob(spark, f"{folder}/{pattern}")
+    files = [s for s in found if s.isFile()] if any(s.isDirectory() for s in found) else found
+    if not len(files):
+        return everywhere.option("pathGlobFilter", "\x01").load(folder)  # no name is that
+    if files is found:
+        return spark.read.format(source).load(f"{folder}/{pattern}")
+    # A folder has a name like the files wanted: name these.
+    names = [re.sub(r"([\\*?\[\]{}])", r"\\\1", s.getPath().toString()) for s in files]
+    return spark.read.format(source).load(names)
+
+
+def _glob(spark: SparkSession, pattern: str):
+    """Statuses of the paths that match, still in the JVM."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
+
+
+def _refuse_hidden(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> None:
+    parent, _, name = pattern.rpartition("/")
+    level = f"{folder}/{parent}" if parent else folder
+    wanted = spark._jvm.org.apache.hadoop.fs.GlobPattern(name)
+    while True:
+        for status in _glob(spark, f"{level}/[._]*"):
+            if status.isFile() and wanted.matches(status.getPath().getName()):
+                raise ValueError(f"Spark does not read hidden files, but {status.getPath()} matches {pattern}")
+        if not recursive or not len(_glob(spark, f"{level}/*/*")):
+            return
+        level += "/*"
+
+
 def percent_decoded(col: Column) -> Column:
     """Spark gives paths and names as in URIs; undo that where it changed anything."""
     return F.when(F.contains(col, F.lit("%")), F.url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))).otherwise(col)
@@ -61,20 +98,19 @@ def percent_decoded(col: Column) -> Column:
 def list_inputs(
     spark: SparkSession, path: str, pattern: str = FILE_PATTERN, recursive: bool = False
 ) -> DataFrame:
-    """``path, file, size`` of the matching files, empty ones too.
+    """``path, file, size`` of the files ``read_lines`` reads, empty ones too.
 
-    File scans leave empty files out, so these come from the listing the driver has made for the scan.
+    File scans leave empty files out, so the names come from the listing the JVM has made for the scan.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
-    )
+    files = _matching(spark, "binaryFile", path, pattern, recursive)
     meta = F.col("_metadata")
     sizes = files.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"))
-    listing = spark.createDataFrame(pa.table({"path": pa.array(files.inputFiles(), pa.string())}))
-    names = listing.select(F.regexp_replace("path", "^file:///", "file:/").alias("path"))
+    listed = spark._jvm.java.util.Collections.singletonList(files._jdf.inputFiles())
+    session = spark._jsparkSession
+    listing = DataFrame(session.createDataset(listed, session.implicits().newStringArrayEncoder()).toDF(), spark)
+    names = listing.select(F.explode("value").alias("path")).select(
+        F.regexp_replace("path", "^file:///", "file:/").alias("path")
+    )
     return names.join(sizes, "path", "left").select(
         "path",
         percent_decoded(F.substring_index("path", "/", -1)).alias("file"),
@@ -82,19 +118,15 @@ def list_inputs(
     )
 
 
-def mark_headers(
-    lines: DataFrame, blocks: DataFrame, max_broadcast_files: int = MAX_BROADCAST_FILES
-) -> DataFrame:
+def mark_headers(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add ``is_header``, ``line`` (the stripped text) and ``is_blank``.
 
-    The header is the first line of the block at offset 0; ``blocks`` is the ``index_blocks`` result of the
-    same lines. Only the positions of the headers, one number per file, are joined; they are broadcast after
-    a check of their number.
+    The header is the first line of the block at offset 0; ``blocks`` is the ``index_blocks`` result of the same
+    lines. Only the positions of the headers are joined: one number per file, of which the scan itself keeps
+    more on the driver, so they are broadcast and no line is moved.
     """
     headers = blocks.filter(F.col("block") == 0).select(F.col("start").alias("header_pos"))
-    if headers.count() <= max_broadcast_files:
-        headers = F.broadcast(headers)
-    return lines.join(headers, F.col("pos") == F.col("header_pos"), "left").select(
+    return lines.join(F.broadcast(headers), F.col("pos") == F.col("header_pos"), "left").select(
         *lines.columns,
         F.col("header_pos").isNotNull().alias("is_header"),
         strip_py(F.col("value")).alias("line"),

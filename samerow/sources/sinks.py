@@ -6,19 +6,35 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from samerow.operators.ranks import ROW_BITS
+from samerow.session import input_size
 from samerow.sources.files import percent_decoded, read_lines
 
 # Wide enough for any offset, so that folders in name order are in file order.
 BLOCK_DIGITS = 19
 
 
-def rewrite(lines: DataFrame, out_dir: str, root: str | None = None) -> None:
-    """Write the lines that stay, headers and blank ones among them, to ``out_dir``; inputs are left untouched.
+def rewrite(lines: DataFrame, out_dir: str, root: str | None = None, surplus: DataFrame | None = None) -> None:
+    """Write ``lines`` without the ``surplus`` to ``out_dir``, headers and blank ones too; inputs are left untouched.
 
-    Output is one folder ``source=<path below root>/block=<offset>`` per split of an input file. Its lines keep
-    their order, and the blocks in name order make up the file. One huge file is written by many tasks, and
-    no sampling pass over the lines is needed, as a total sort would.
+    ``lines`` are in scan order, as ``read_lines`` and columns added to it leave them. ``surplus`` is a stored table
+    with the ``pos`` of the lines to leave out. Output is one folder ``source=<path below root>/block=<offset>`` per
+    split of an input file. Its lines keep their order, and the blocks in name order make up the file.
+
+    Lines are written by the task that reads them. Only if the surplus is above the planner's broadcast
+    threshold are they moved, once, by split, which serves the join and the write.
     """
+    spark = lines.sparkSession
+    together = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(together)
+    if surplus is not None:
+        split = F.shiftright("pos", ROW_BITS).alias("split")
+        gone = surplus.select("pos", split)
+        if input_size(gone) <= _broadcast_limit(spark):
+            lines = lines.join(F.broadcast(gone), "pos", "left_anti")
+        else:
+            spark.conf.set(together, "false")  # the partitioning by split alone will do for the join
+            lines = lines.select("*", split).repartition("split").join(gone, ["split", "pos"], "left_anti")
     source = F.col("path")
     if root is not None:
         folder = "/" + quote(root.split(":", 1)[-1].strip("/"), safe="/=+,!$&'()*:;@") + "/"
@@ -32,13 +48,19 @@ def rewrite(lines: DataFrame, out_dir: str, root: str | None = None) -> None:
         "pos",
         "value",
     )
-    (
-        placed.repartition("source", "block")
-        .sortWithinPartitions("source", "block", "pos")
-        .select("source", "block", "value")
-        .write.partitionBy("source", "block")
-        .text(out_dir)
-    )
+    try:
+        (
+            placed.sortWithinPartitions("source", "block", "pos")
+            .select("source", "block", "value")
+            .write.partitionBy("source", "block")
+            .text(out_dir)
+        )
+    finally:
+        spark.conf.set(together, before)
+
+
+def _broadcast_limit(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
 def read_rewritten(spark: SparkSession, out_dir: str) -> DataFrame:

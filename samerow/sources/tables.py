@@ -59,23 +59,23 @@ def rows_from_table(
 
 
 def drop_first_rows(lines: DataFrame) -> DataFrame:
-    """Leave out the header, the first row of every file, for lines made by ``split_lines`` or ``chunked``."""
-    start = lines.groupBy("path").agg(F.min(F.struct("block", "pos")).alias("start"))
-    first = save(start.select("path", "start.block", "start.pos"))
-    return lines.join(first, ["path", "block", "pos"], "left_anti")
+    """Leave out the header, the first row of every file, for lines made by ``split_lines``."""
+    return lines.filter(F.col("pos") > 0)
 
 
 def chunked(lines: DataFrame, *order: str) -> DataFrame:
     """Give lines of few big files a ``block`` and a ``pos`` by sorting them over all tasks.
 
-    The sort ranges over file and order columns, so a file that holds most rows is spread over many blocks.
-    The result is stored: block numbers must not change when a task is run again.
+    The sort ranges over file and order columns, which must tell all lines apart, so a file that holds most rows is
+    spread over many blocks. What is sorted and stored are these columns with their places, since block numbers
+    must not change when a task is run again; the lines find their places by them.
     """
-    parts = shuffle_partitions(lines.sparkSession)
-    placed = (
-        lines.repartitionByRange(parts, "path", *order)
-        .sortWithinPartitions("path", *order)
+    columns = ["path", *order]
+    placed = save(
+        lines.select(*columns)
+        .repartitionByRange(shuffle_partitions(lines.sparkSession), *columns)
+        .sortWithinPartitions(*columns)
         .withColumn("block", F.spark_partition_id().cast("long"))
         .withColumn("pos", F.monotonically_increasing_id())
     )
-    return save(placed)
+    return lines.join(placed, columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from samerow import Options, clean, find_duplicates
 from samerow.operators import HUNGARIAN, index_blocks, line_counts, line_numbers, run_summary
+from samerow.session import shared_folder
 from samerow.sources import LINE_SUFFIXES, keyed, list_inputs, mark_headers, read_lines, read_rewritten, write_report
 from tests import model
 
@@ -69,7 +70,7 @@ def test_lines_are_those_python_reads(spark, tmp_path):
 
 def test_listing_and_patterns(spark, tmp_path):
     put(tmp_path, **EDGE)
-    put(tmp_path, **{"E.CSV": "h\nx\n", "n.txt": "h\nx\n", "o.TXT": "h\nx\n", ".hid.csv": "h\nx\n", "sub/a.csv": "h\nx\n"})
+    put(tmp_path, **{"E.CSV": "h\nx\n", "n.txt": "h\nx\n", "o.TXT": "h\nx\n", ".hid.log": "h\nx\n", "sub/a.csv": "h\nx\n"})
     files = {r["file"]: r["size"] for r in list_inputs(spark, str(tmp_path)).collect()}
     assert files == {n: len(c if isinstance(c, bytes) else c.encode()) for n, c in EDGE.items()}
     names = lambda df: {r["file"] for r in df.select("file").distinct().collect()}
@@ -90,15 +91,80 @@ def test_line_counts_and_lines_of_empty_files(spark, tmp_path):
     assert got == {n: max(len(python_lines(tmp_path / n)) - 1, 0) for n in EDGE}
 
 
-def test_headers_without_broadcast(spark, tmp_path, conf):
+def test_headers_without_broadcast_by_size(spark, tmp_path, conf):
     conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
     put(tmp_path, **EDGE)
-    lines = marked_lines(read_lines(spark, str(tmp_path)), max_broadcast_files=2)
-    assert "SortMergeJoin" in lines._jdf.queryExecution().toString()
-    headers = lines.filter("is_header").select("file", "value").collect()
+    headers = marked_lines(read_lines(spark, str(tmp_path))).filter("is_header").select("file", "value").collect()
     assert {tuple(h) for h in headers} == {(n, python_lines(tmp_path / n)[0]) for n in EDGE if EDGE[n]}
 
 
+LAID_OUT = {"top.csv": "h\nk\nk\n", "year=2024/a.csv": "h\nk\n", "year=2024/b.csv": "h\nm\n"}
+
+
+@pytest.mark.parametrize("recursive", [False, True])
+def test_no_file_is_lost_beside_folders_of_partitions(spark, tmp_path, recursive):
+    put(tmp_path / "in", **LAID_OUT)
+    wanted = {n: t for n, t in LAID_OUT.items() if recursive or "/" not in n}
+    folder = str(tmp_path / "in")
+    lines = read_lines(spark, folder, recursive=recursive)
+    assert lines.count() == sum(t.count("\n") for t in wanted.values())
+    assert {r["file"] for r in list_inputs(spark, folder, recursive=recursive).collect()} == {Path(n).name for n in wanted}
+    with find_duplicates(spark, folder, Options(recursive=recursive)) as found:
+        assert [r["n_rows"] for r in found.summary.collect()] == [3 if recursive else 2]
+    with clean(spark, folder, str(tmp_path / "out"), options=Options(recursive=recursive)) as result:
+        (total,) = result.summary.collect()
+        assert total["n_before"] == sum(t.count("\n") - 1 for t in wanted.values())
+    assert written(tmp_path / "out") == ({"top.csv": "h\n", "year=2024/a.csv": "h\nk\n", "year=2024/b.csv": "h\nm\n"} if recursive else {"top.csv": "h\nk\n"})
+
+
+def test_only_folders_of_partitions(spark, tmp_path):
+    put(tmp_path, **{"year=2024/a.csv": "h\nk\n"})
+    assert read_lines(spark, str(tmp_path)).count() == 0
+    assert list_inputs(spark, str(tmp_path)).count() == 0
+
+
+def test_folder_names_are_literal_and_patterns_may_name_folders(spark, tmp_path):
+    put(tmp_path / "in[3]{a,b}", **{"a.csv": "h\n", "sub/b.csv": "h\n", "sub/c1.csv": "h\n", "2024/d1.csv": "h\n", "x.csv/e.csv": "h\n"})
+    folder = str(tmp_path / "in[3]{a,b}")
+    names = lambda *a, **k: sorted(r["file"] for r in read_lines(spark, folder, *a, **k).select("file").distinct().collect())
+    assert names() == ["a.csv"]
+    assert names("sub/*.csv") == ["b.csv", "c1.csv"]
+    assert names("*/?1.csv") == ["c1.csv", "d1.csv"]
+    assert names("**/*.csv") == names(recursive=True) == ["a.csv", "b.csv", "c1.csv", "d1.csv", "e.csv"]
+    with pytest.raises(ValueError, match="file names"):
+        names("sub/*.csv", recursive=True)
+
+
+def test_hidden_files_that_match_are_refused(spark, tmp_path):
+    put(tmp_path, **{"a.csv": "h\n", "_b.txt": "h\n", "sub/.c.log": "h\n", "sub/_d.csv": "h\n"})
+    assert read_lines(spark, str(tmp_path)).count() == 1
+    for pattern, recursive, name in (("*.txt", False, "_b.txt"), ("*.log", True, ".c.log"), ("sub/*.csv", False, "_d.csv")):
+        with pytest.raises(ValueError, match=name):
+            read_lines(spark, str(tmp_path), pattern, recursive)
+
+
+def test_jobs_leave_no_tables_and_no_settings(spark, tmp_path, conf):
+    put(tmp_path / "in", **{"a.csv": "h\nk\nk\n"})
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    stored = set(shared.iterdir())
+    options = ("spark.sql.files.minPartitionNum", "spark.sql.adaptive.forceOptimizeSkewedJoin")
+    before = {k: spark.conf.get(k, None) for k in options}
+    with find_duplicates(spark, str(tmp_path / "in")) as found:
+        assert found.entries.count() == 1 and set(shared.iterdir()) > stored
+    with clean(spark, str(tmp_path / "in"), str(tmp_path / "out")) as result:
+        assert result.summary.count() == 1
+    assert set(shared.iterdir()) == stored
+    assert before == {k: spark.conf.get(k, None) for k in options}
+
+
+def test_a_large_surplus_moves_lines_once(spark, tmp_path, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1", files__maxPartitionBytes="4096", files__openCostInBytes="0", files__minPartitionNum="1")
+    lines = ["header"] + [f"{i % 700};x;{i}" for i in range(5000)]
+    put(tmp_path / "in", **{"a.csv": "\n".join(lines) + "\n", "b.csv": "\n".join(lines[:300]) + "\n"})
+    clean(spark, str(tmp_path / "in"), str(tmp_path / "out"), options=Options(n_fields=1)).close()
+    assert written(tmp_path / "out") == {"a.csv": "\n".join(lines[:701]) + "\n", "b.csv": "header\n"}
+
+
 @pytest.mark.parametrize("split", ["4096", "134217728"])
 def test_split_size_changes_nothing(spark, tmp_path, conf, split):
     conf(files__maxPartitionBytes=split, files__openCostInBytes="0", files__minPartitionNum="1")
@@ -271,7 +337,7 @@ def test_report_in_the_layout_of_real_exports(spark, tmp_path):
     """Six quoted key fields of 46 characters: the default prefix shows the key and one delimiter."""
 
     def row(number, tail):
-        return f'"010";"HO";"1O01";"2024";"{number:010}";"{number % 1000:06}";{tail}\n'
+        return f'"207";"XA";"9B77";"1999";"{number:010}";"{number % 1000:06}";{tail}\n'
 
     put(
         tmp_path / "in",

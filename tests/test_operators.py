@@ -28,10 +28,10 @@ from samerow.operators import (
     line_numbers,
     remove_rows,
     render_report,
-    repeated_hashes,
     report_entries,
     row_fate,
     rows_by_prefix,
+    surplus_rows,
     unlisted_files,
     within_surplus,
 )
@@ -65,16 +65,12 @@ def tuples(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
 
-@pytest.fixture(params=["broadcast", "shuffle", "salted", "filtered", "unfiltered"])
-def strategy(request, conf, monkeypatch):
-    """Join by broadcast, by shuffle, with repeated keys split by salts, with and without a filter by hash."""
-    if request.param == "filtered":
-        monkeypatch.setattr(skew, "MIN_FILTER_CHARS", -1)
-    if request.param == "unfiltered":
-        monkeypatch.setattr(skew, "MAX_FILTER_KEYS", 0)
+@pytest.fixture(params=["broadcast", "shuffle", "salted"])
+def strategy(request, conf):
+    """Join by broadcast, by shuffle, and with repeated keys split by salts."""
     if request.param != "broadcast":
         conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
-    return 1 if request.param in ("salted", "filtered") else 1_000_000
+    return 1 if request.param == "salted" else 1_000_000
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -82,8 +78,8 @@ def test_report_fates_and_survivors(spark, strategy, seed):
     files = random_files(seed, hot=0.35)
     expected = model.keyed(files, n=2, header=False)
     rows = as_rows(spark, files)
-    found = save(key_files(rows, save(repeated_hashes(rows)), strategy))
-    summary = save(key_summary(found))
+    found = save(key_files(rows))
+    summary = save(key_summary(found, rows))
 
     entries = save(report_entries(found, summary, strategy))
     wanted = model.entries(expected)
@@ -106,6 +102,10 @@ def test_report_fates_and_survivors(spark, strategy, seed):
         first_in_file.setdefault((f, key), (f, i))
     assert sorted(tuples(dedupe_within(rows), "file", "pos")) == sorted(first_in_file.values())
 
+    for mode, stay in (("all", kept), ("cross", not_cross), ("within", sorted(first_in_file.values()))):
+        gone = tuples(surplus_rows(rows, found, mode, strategy), "path", "pos")
+        assert sorted(gone) == sorted({(f, i) for f, i, _, _ in expected} - set(stay))
+
     # Deleting once more changes nothing.
     again = dedupe_all(dedupe_all(rows))
     assert sorted(tuples(again, "file", "pos")) == kept
@@ -164,7 +164,7 @@ def test_counts(spark, seed):
         f: sum(n - 1 for (_, g), n in per_file.items() if g == f) for f in {f for _, f in per_file}
     }
     smallest = {key: min(f for k, f in per_file if k == key) for key, _ in per_file}
-    assert dict(tuples(keep_file(rows), "key", "keep_file")) == smallest
+    assert dict(tuples(keep_file(counts), "key", "keep_file")) == smallest
     assert {k for (k,) in tuples(duplicates(totals, min_rows=3), "key")} == {
         k for k in found if sum(n for (j, _), n in per_file.items() if j == k) >= 3
     }
@@ -174,23 +174,20 @@ def test_prefix_shared_by_two_keys(spark):
     files = {"a": ["same;1;x", "same;1;y", "same;2;x"], "b": ["same;2;z", "other;1;q"]}
     rows = as_rows(spark, files, prefix_len=4)
     found = save(key_files(rows))
-    entries = save(report_entries(found, save(key_summary(found))))
+    entries = save(report_entries(found, save(key_summary(found, rows))))
     assert entries.select("key").distinct().count() == 2
     assert sorted(tuples(distinct_prefixes(entries), "prefix", "file")) == [("same", "a"), ("same", "b")]
 
 
-def test_long_file_lists_come_in_parts(spark):
-    files = {f"f{i:02}": ["everywhere;1;x", f"own{i};1;x"] for i in range(40)}
+def test_file_lists_are_in_order_of_names(spark):
+    files = {f"f{i:02}": ["everywhere;1;x", f"own{i};1;x", "everywhere;1;y"] for i in range(40)}
     rows = as_rows(spark, files)
     counts = save(count_by_file(rows))
     totals = save(duplicates(count_keys(counts)))
-    (whole,) = file_lists(counts, totals).collect()
-    assert (whole["part"], whole["n_parts"], whole["files"]) == (0, 1, sorted(files))
-    assert whole["file_counts"] == {f: 1 for f in files}
-    parts = file_lists(counts, totals, list_size=10).collect()
-    assert {p["n_parts"] for p in parts} == {4}
-    assert all(p["files"] == sorted(p["files"]) for p in parts)
-    assert sorted(f for p in parts for f in p["files"]) == sorted(files)
+    for rows_per_salt in (1_000_000, 10):
+        listed = file_lists(counts, totals, rows_per_salt)
+        expected = [("everywhere;1", i + 1, f, 2) for i, f in enumerate(sorted(files))]
+        assert sorted(tuples(listed, "key", "place", "file", "n")) == expected
 
 
 def test_join_splits_a_hot_key(spark, conf):
@@ -209,20 +206,32 @@ def test_join_splits_a_hot_key(spark, conf):
     assert largest_task(500) < 6_000
 
 
+def test_any_number_of_hot_keys_is_split(spark, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    rows = spark.range(0, 60_000, 1, 4).selectExpr(
+        "'f' as path", "'f' as file", "0L as block", "id as pos", "concat('k', id % 1500) as key"
+    )
+    keys = save(rows.groupBy("key").agg(F.count("*").alias("n_rows")))
+    joined = join_on_key(rows, keys, "inner", rows_per_salt=5)
+    assert joined.count() == 60_000
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 1.5 * min(sizes)
+
+
 def test_keys_of_one_hash_are_told_apart(spark, conf, monkeypatch):
     """Also if all keys had the same hash, they are compared as keys."""
-    from samerow.operators import dedupe, entries
+    from samerow.operators import entries
 
     conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
     same = lambda *key: F.lit(7).cast("long").alias("key_hash")
-    for module in (skew, entries, dedupe):
+    for module in (skew, entries):
         monkeypatch.setattr(module, "key_hash", same)
     files = random_files(9, hot=0.3)
     expected = model.keyed(files, n=2, header=False)
     rows = as_rows(spark, files)
-    monkeypatch.setattr(skew, "MIN_FILTER_CHARS", -1)
+    summary = save(key_summary(save(key_files(rows)), rows))
     for rows_per_salt in (1, 1_000_000):
-        got = tuples(row_fate(rows, save(key_summary(key_files(rows))), rows_per_salt), "file", "pos", "fate")
+        got = tuples(row_fate(rows, summary, rows_per_salt), "file", "pos", "fate")
         assert sorted(got) == sorted((f, i, v) for (f, i), v in model.fates(expected).items())
 
 
@@ -248,7 +257,7 @@ def test_line_numbers_and_sample_in_a_big_file(spark):
     got = {(p, i): n for p, i, n in tuples(line_numbers(lines), "path", "i", "line_no")}
     assert got == expected
     files = spark.createDataFrame([(p, p) for p in [*counter, "none"]], "path string, file string")
-    for limit in (1, 50, 700, 10_000):
+    for limit in (1, 50, 700, None):
         means = dict(tuples(avg_line_length(lines, files, limit), "file", "avg_len"))
         want = {p: sum(v[:limit]) / len(v[:limit]) for p, v in sample.items()}
         assert means == pytest.approx({**want, "none": 150.0})
@@ -258,7 +267,7 @@ def test_unlisted_files(spark):
     files = {"a": ["k;1;x", "k;1;y", "k;1;z"], "b": ["m;1;x"], "c": ["m;1;x", "n;1", "n;1"]}
     rows = as_rows(spark, files)
     found = save(key_files(rows))
-    entries = save(report_entries(found, save(key_summary(found))))
+    entries = save(report_entries(found, save(key_summary(found, rows))))
     cross = entries.filter(F.col("scope") == "cross")
     stats = deletion_stats(entries)
     assert tuples(unlisted_files(cross, stats), "prefix", "shown") == [

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from samerow.plans import oracle, queries as registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -27,13 +28,15 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(registry.queries()) == set(oracle.oracle_sql())
+    assert set(registry.queries()) <= set(entry_points.queries())
+    assert set(oracle.oracle_sql()) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_sql(spark, duck, name):
-    df = entry_points.queries()[name](spark, SF)
-    cursor = duck.execute(entry_points.oracle_sql()[name])
+    df = registry.queries()[name](spark, SF)
+    cursor = duck.execute(oracle.oracle_sql()[name])
     types = {d[0]: str(d[1]) for d in cursor.description}
     assert {f.name: SQL_TYPES[f.dataType.simpleString()] for f in df.schema} == types
     columns = sorted(types)
@@ -51,22 +54,22 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_python_and_no_cross_join(spark, name):
-    text = plan(entry_points.queries()[name](spark, SF))
+    text = plan(registry.queries()[name](spark, SF))
     assert not re.search("Python|Arrow|CartesianProduct|NestedLoop", text)
 
 
 @pytest.mark.parametrize("name", ["dedupe_all", "dedupe_within"])
 def test_groups_are_limited_before_the_shuffle(spark, name):
-    text = plan(entry_points.queries()[name](spark, SF))
+    text = plan(registry.queries()[name](spark, SF))
     assert text.count("Exchange hashpartitioning") == 1
     assert re.search(r"Final.*Exchange.*Partial", text, re.DOTALL)
 
 
 @pytest.mark.parametrize("name, shuffles", [("key_file_counts_lineitem", 1), ("key_totals_lineitem", 2)])
 def test_counting_is_combined_in_the_scan_tasks(spark, name, shuffles):
-    text = plan(entry_points.queries()[name](spark, SF))
+    text = plan(registry.queries()[name](spark, SF))
     assert text.count("Exchange") == shuffles
     assert "SortAggregate" not in text and "partial_count" in text
     (schema,) = re.findall("ReadSchema: (.*)", text)
@@ -74,7 +77,7 @@ def test_counting_is_combined_in_the_scan_tasks(spark, name, shuffles):
 
 
 def test_rows_join_the_stored_duplicates_without_a_hint(spark, conf):
-    queries = entry_points.queries()
+    queries = registry.queries()
     small = plan(queries["row_fate"](spark, SF))
     assert "BroadcastHashJoin" in small and "Exchange hashpartitioning" not in small
     conf(autoBroadcastJoinThreshold="1000")
@@ -85,11 +88,10 @@ def test_a_hot_key_is_combined_before_the_shuffle(spark, capsys):
     """A key on a third of all rows reaches the shuffle as one row per scan task and file."""
     from pyspark.sql import functions as F
 
-    from samerow.operators import key_files, key_summary, repeated_hashes
-    from samerow.session import save
+    from samerow.operators import key_files
 
     n, tasks = 60_000, 6
-    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id")))
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 5))
     rows = spark.range(0, n, 1, tasks).select(
         key.alias("key"),
         F.lit("f").alias("path"),
@@ -98,14 +100,40 @@ def test_a_hot_key_is_combined_before_the_shuffle(spark, capsys):
         F.col("id").alias("pos"),
         key.alias("prefix"),
     )
-    hashes = save(repeated_hashes(rows))
-    assert [r["n_rows"] for r in hashes.collect()] == [n // 3]
-    found = key_files(rows, hashes)
+    found = key_files(rows)
+    hot = found.filter("key = 'hot'").collect()
+    assert [(r["n"], r["n_rows"], r["n_files"], r["pos"]) for r in hot] == [(n // 3, n // 3, 1, 0)]
     found.collect()
     found.explain("formatted")
     final = capsys.readouterr().out.split("Initial Plan")[0]
-    assert "BroadcastHashJoin LeftSemi" in final
-    (shuffled,) = re.findall(r"ShuffleQueryStage.*rowCount=([\d.E+]+)", final)
-    assert float(shuffled) <= tasks
-    (first,) = key_summary(found).collect()
-    assert (first["key"], first["n_rows"], first["keep_pos"], first["prefix"]) == ("hot", n // 3, 0, "hot")
+    assert "SortAggregate" not in final
+    shuffled = re.findall(r"ShuffleQueryStage.*rowCount=([\d.E+]+)", final)
+    assert shuffled and max(map(float, shuffled)) <= 6 * tasks
+
+
+@pytest.mark.parametrize("name", ["dup_report", "keep_file", "key_file_counts"])
+def test_no_row_is_sorted_to_be_counted(spark, name):
+    from samerow.operators import key_files
+    from samerow.plans.queries import document_rows
+
+    text = plan(key_files(document_rows(spark, SF)) if name == "dup_report" else registry.queries()[name](spark, SF))
+    below = text[text.rindex("Exchange hashpartitioning") :]
+    assert "HashAggregate" in below and "Sort" not in below
+
+
+def _scans(text, of):
+    return len(re.findall(rf"Scan {of}", text))
+
+
+@pytest.mark.parametrize("name", ["row_fate", "remove_rows", "duplicate_rows"])
+def test_rows_are_evaluated_once_in_a_join(spark, conf, name):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+    text = plan(registry.queries()[name](spark, SF))
+    assert text.count("posexplode") == 1
+
+
+@pytest.mark.parametrize("name", ["skip_header", "skip_header_rows", "read_lines"])
+def test_lines_are_not_moved_for_headers_and_numbers(spark, conf, name):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+    text = plan(registry.queries()[name](spark, SF))
+    assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text

@@ -1,6 +1,6 @@
 import pytest
 
-from samerow.session import PARTITION_BYTES, configure, pin_splits, save, scratch_dir, shuffle_partitions
+from samerow.session import PARTITION_BYTES, configure, input_size, job_settings, pin_splits, save, scratch_dir, shuffle_partitions
 
 
 @pytest.fixture
@@ -12,16 +12,27 @@ def keep_options(spark):
         spark.conf.unset("spark.sql." + name) if value is None else spark.conf.set("spark.sql." + name, value)
 
 
-def test_shuffles_grow_with_the_input(spark, keep_options):
+def test_shuffles_follow_the_input(spark, keep_options):
     configure(spark)
     assert shuffle_partitions(spark) == 8
     configure(spark, 7 * PARTITION_BYTES)
     assert shuffle_partitions(spark) == 8
-    configure(spark, 5000 * PARTITION_BYTES)
-    assert shuffle_partitions(spark) == 5000
     configure(spark, 100 * 10**12)
-    assert shuffle_partitions(spark) == 100_000
+    assert shuffle_partitions(spark) == -(-100 * 10**12 // PARTITION_BYTES)
+    configure(spark, PARTITION_BYTES)
+    assert shuffle_partitions(spark) == 8
     assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+    with job_settings(spark, 5000 * PARTITION_BYTES):
+        assert shuffle_partitions(spark) == 5000
+    assert shuffle_partitions(spark) == 8
+
+
+def test_input_size_is_that_of_the_scans(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = input_size(table)
+    assert size == sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert input_size(table.crossJoin(table)) == 2 * size
 
 
 def test_splits_are_pinned_once(spark, keep_options):
