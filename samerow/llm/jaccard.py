@@ -9,34 +9,39 @@ A band's bits are kept as one number: the exclusive or of a random word per bit.
 bands, as many as the bound for its own size leaves spare; a linked pair still agrees in a band both kept. Sets
 that share a band are joined, and the full sets of a pair decide.
 
-Links inside one component need not all be found. In a first round each set is verified against the smallest set
-of each of its bands; in a second one, all pairs of sets that share a band but are still in different components.
-Both rounds together miss no link between components, and a group of near copies costs as many checks as it has
-members, not pairs.
+Links inside one component need not all be found. In a first round each set is verified against one set of each
+of its bands, the one that shares most bands with others; in a group of near copies that is the text they come
+from. In a second round all pairs of sets that share a band but are still in different components are compared by
+a short sketch of the whole set, bits against bits; only pairs whose Hamming distance allows a link go on to be
+verified. Both rounds together miss no link between components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window, functions as F
 
 from samerow.llm.components import components
 from samerow.llm.tasks import map_batches, slices, text_column
-from samerow.session import save
+from samerow.session import pin_splits, save
 
 # The white space that ends a word, and letters folded to lower case.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
 _FOLD[65:91] += 32
 
-SETS = "row bigint, doc_id bigint, node bigint, other bigint, n_shingles bigint"
+# Words of 64 bits in the sketch of a whole set.
+SKETCH = 16
+SKETCH_WORDS = [f"s{i}" for i in range(SKETCH)]
+SETS = "row bigint, doc_id bigint, node bigint, other bigint, n_shingles bigint, " + ", ".join(f"{w} bigint" for w in SKETCH_WORDS)
 KEYS = "key bigint, node bigint"
 
 
@@ -130,6 +135,20 @@ def _sums(values: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return mix(total[ends] - total[ends - sizes])
 
 
+def sketches(grams: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The words of each set's sketch: every gram toggles one of its bits."""
+    bits = 64 * SKETCH
+    bit = (mix(grams ^ np.uint64(0x2545F491)) % np.uint64(bits)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    words = np.zeros((len(sizes), SKETCH), np.int64)
+    for first in range(0, len(sizes), 1024):  # a byte per bit and set is held for so many sets
+        some = sizes[first : first + 1024]
+        cells = np.repeat(np.arange(len(some)) * bits, some) + bit[ends[first] - sizes[first] : ends[first + len(some) - 1]]
+        odd = (np.bincount(cells, minlength=len(some) * bits) & 1).astype(np.uint8)
+        words[first : first + 1024] = np.packbits(odd).view(np.int64).reshape(len(some), SKETCH)
+    return [np.ascontiguousarray(words[:, i]) for i in range(SKETCH)]
+
+
 def band_keys(grams: np.ndarray, sizes: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the kept bands of all sets, and the number of the set that each belongs to."""
     firsts = similarity.classes(int(sizes.max(initial=0)))
@@ -185,8 +204,10 @@ def number_sets(docs: DataFrame, id_col: str, text_col: str, similarity: Similar
                 node, other = set_numbers(grams, sizes)
                 none = sizes == 0
                 arrays = [b.column(0), b.column(1), pa.array(node, mask=none), pa.array(other, mask=none), pa.array(sizes)]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "node", "other", "n_shingles"])
+                arrays += [pa.array(w) for w in sketches(grams, sizes)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "node", "other", "n_shingles", *SKETCH_WORDS])
 
+    pin_splits(docs.sparkSession)
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
@@ -194,7 +215,10 @@ def number_sets(docs: DataFrame, id_col: str, text_col: str, similarity: Similar
 
 
 def shared_bands(docs: DataFrame, text_col: str, similarity: Similarity) -> DataFrame:
-    """Store ``key, node, lead`` of all bands that more than one set has; ``lead`` is the smallest of its sets."""
+    """Store ``key, node, lead`` of all bands that more than one set has.
+
+    ``lead`` is that set of the band which has most company in all its bands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets of this task: copies are sent on once
@@ -212,8 +236,12 @@ def shared_bands(docs: DataFrame, text_col: str, similarity: Similarity) -> Data
 
     keyed = map_batches(docs.select(F.col(text_col).alias("text")), run, KEYS)
     same = Window.partitionBy("key")
-    found = keyed.select("key", "node", F.min("node").over(same).alias("lead"), F.max("node").over(same).alias("last"))
-    return save(found.filter(F.col("lead") < F.col("last")).select("key", "node", "lead").distinct())
+    ends = keyed.select("key", "node", F.min("node").over(same).alias("least"), F.max("node").over(same).alias("most"))
+    shared = save(ends.filter(F.col("least") < F.col("most")).select("key", "node").distinct())
+    company = shared.groupBy("key").agg(F.count("*").alias("n"))
+    known = shared.join(company, "key").groupBy("node").agg(F.sum("n").alias("known"))
+    leads = shared.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node"))["node"].alias("lead"))
+    return save(shared.join(leads, "key"))
 
 
 def set_texts(docs: DataFrame, text_col: str, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -231,6 +259,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Data
         for each in batches:
             for b in slices(each, "text_a"):
                 grams, sizes = gram_sets(text_column(b, "text_a"), similarity)
+                if (set_numbers(grams, sizes)[0] != b.column(0).to_numpy()).any():
+                    raise RuntimeError("rows changed their places between two scans: store the documents first")
                 ends = np.cumsum(sizes).tolist()
                 keep = []
                 for i, (other, end, size) in enumerate(zip(b.column(1).to_pylist(), ends, sizes.tolist())):
@@ -248,16 +278,31 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Data
     return save(map_batches(joined, run, "a bigint, b bigint"))
 
 
+def _end(known: DataFrame, end: str) -> DataFrame:
+    """Size and sketch of the sets at one end of a pair, with names of that end."""
+    return known.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ["n_shingles", *SKETCH_WORDS]])
+
+
+def _may_link(similarity: Similarity):
+    """Sizes and sketches of a pair leave room for a link: no more bits differ than grams may."""
+    a, b = F.col("n_shingles_a"), F.col("n_shingles_b")
+    near = F.least(a, b) * similarity.whole >= F.greatest(a, b) * similarity.part
+    differing = reduce(add, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in SKETCH_WORDS])
+    return near & (differing * (similarity.whole + similarity.part) <= (a + b) * (similarity.whole - similarity.part))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Similarity = Similarity()
 ) -> DataFrame:
     """One row per row of ``docs``: ``row, doc_id, n_shingles, component, component_id``.
 
     ``component_id`` is the smallest ``doc_id`` that links lead to, the own one included; ``component`` numbers the
-    components apart from ids and is null for a text without words; ``row`` is the position in ``docs``. A null text, and one without words, is empty, linked with nothing and alone in its component. A
-    text of fewer words than a gram has one gram, all its words. Texts with one set are linked whatever their
+    components apart from ids and is null for a text without words; ``row`` is the position in ``docs``.
+
+    A null text, and one without words, is empty, linked with nothing and alone in its component. A text of fewer words than a gram has one gram, all its words. Texts with one set are linked whatever their
     number; null ids count only where no other is there. An empty table gives an empty result. Columns of
-    ``docs`` other than the two named are not read.
+    ``docs`` other than the two named are not read. ``docs`` must be a stored table, whose rows keep their
+    places from scan to scan; the operator fails if they don't.
     """
     sets = number_sets(docs, id_col, text_col, similarity)
     clash = sets.groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b")
@@ -266,19 +311,21 @@ def near_duplicates(
         return near_duplicates(docs, id_col, text_col, again)
     bands = shared_bands(docs, text_col, similarity)
     texts = set_texts(docs, text_col, sets, bands.select("node").distinct())
-    star = save(bands.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    known = sets.join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    known = save(known.select("node", "n_shingles", *SKETCH_WORDS))
+    star = bands.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    star = save(star.join(_end(known, "a"), "a").join(_end(known, "b"), "b").filter(_may_link(similarity)).select("a", "b"))
     links = verified(star, texts, similarity)
     found = save(components(links))
 
     part = F.coalesce("component", "node")
     labelled = bands.join(found, "node", "left").select("key", "node", part.alias("part"))
-    sizes = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("size"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
-    open_bands = save(labelled.join(mixed.select("key"), "key").join(sizes, "node"))
-    one = open_bands.select("key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a"))
-    two = open_bands.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"))
-    close = (F.least("size_a", "size_b") * similarity.whole) >= (F.greatest("size_a", "size_b") * similarity.part)
-    rest = one.join(two, "key").filter((F.col("part_a") < F.col("part_b")) & close).select("a", "b").distinct()
+    unmerged = save(labelled.join(mixed.select("key"), "key"))
+    one = unmerged.select("key", F.col("node").alias("a"), F.col("part").alias("part_a")).join(_end(known, "a"), "a")
+    two = unmerged.select("key", F.col("node").alias("b"), F.col("part").alias("part_b")).join(_end(known, "b"), "b")
+    apart = (one["key"] == two["key"]) & (F.col("part_a") < F.col("part_b")) & _may_link(similarity)
+    rest = one.join(two, apart).select("a", "b").distinct()
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = verified(save(rest.join(tried, ["a", "b"], "left_anti")), texts, similarity)
     whole = save(components(links.unionByName(more)))
