@@ -39,7 +39,8 @@ def keep_file(counts: DataFrame) -> DataFrame:
     """``key, keep_file, keep_path``: the file each key stays in, from a ``count_by_file`` result."""
     smallest = F.min(F.struct("file", "path")).alias("smallest")
     return (
-        counts.groupBy(key_hash(), "key")
+        counts.filter(F.col("n") > 0)  # always so; else the optimizer drops the counting and sorts all rows instead
+        .groupBy(key_hash(), "key")
         .agg(smallest)
         .select("key", F.col("smallest.file").alias("keep_file"), F.col("smallest.path").alias("keep_path"))
     )
