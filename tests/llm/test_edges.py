@@ -294,6 +294,23 @@ def test_more_secrets(spark):
         assert list(found)[r["doc_id"]] in r["spans"]
 
 
+@pytest.mark.parametrize("label", ["RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+def test_private_keys_are_redacted_whole(spark, label):
+    import base64
+    import random
+
+    rng = random.Random(3)
+    body = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(400)]
+    key = "\n".join([f"-----BEGIN {label}-----", *body, f"-----END {label}-----"])
+    cut = key[: key.index("-----END")]
+    texts = [f"before\n{key}\nbetween\n{key}\nafter", f"before\n{cut}", key.replace("\n", "\\n"), f"-----BEGIN CERTIFICATE-----\n{body[0][:9]}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r["text"] for r in secrets.redacted(frame).orderBy("doc_id").collect()]
+    assert clean == ["before\n[SECRET]\nbetween\n[SECRET]\nafter", "before\n[SECRET]", "[SECRET]", texts[3]]
+    whole = {r["doc_id"]: r["spans"].split(",") for r in secrets.scan(frame).collect()}
+    assert f"private_key:7:{7 + len(key)}" in whole[0] and f"private_key:7:{len(texts[1])}" in whole[1]
+
+
 @pytest.mark.parametrize("pattern", [r.pattern for r in (*secrets.BASE, *secrets.MORE)] + ["ab(cd|ef)+g", "(abc)?def", "x{3}abc|d.e", "[ab]cde"])
 def test_trigram_formula_misses_no_match(pattern):
     import random
