@@ -4,7 +4,8 @@ Markup is stripped so that every block of the page is a line; elements that are
 notices, forms, scripts and the like) leave an empty line, and the borders of page sections leave as many as a
 window is long. The text length of each window of lines then rises from zero where text begins (a surge) and
 falls back to zero where it ends (a dive). What lies between is kept if its densest window is dense enough, and
-else only the heaviest stretch, so a short article is not lost.
+else only the heaviest stretch, so a short article is not lost. On a page with article or main elements these say
+where its text is: no line inside them is dropped for being short or alone.
 """
 
 from __future__ import annotations
@@ -47,11 +48,18 @@ WORDS = {
 }
 
 
+def has_article(page: str) -> bool:
+    return re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
+
+
 def lines_of(page: str) -> list[str]:
-    """The page as lines of text, one per block; ``""`` stands where something was taken out."""
+    """The page as lines of text, one per block; ``""`` stands where something was taken out.
+
+    Of a page with article or main elements, the lines inside these.
+    """
     lines: list[str] = []
     block: list[str] = []
-    has_article = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
+    anywhere = not has_article(page)
     inside = 0  # open article elements
     at = 0
 
@@ -63,7 +71,7 @@ def lines_of(page: str) -> list[str]:
             lines.append(text)
 
     def take(text: str) -> None:
-        if text and (inside or not has_article):
+        if text and (inside or anywhere):
             block.append(text)
 
     while (m := _TAG.search(page, at)) is not None:
@@ -86,7 +94,7 @@ def lines_of(page: str) -> list[str]:
         if name in INLINE:
             continue
         close()
-        if name in SECTIONS:
+        if name in SECTIONS and not inside:
             lines += [""] * WINDOW
         if name in ARTICLE:
             inside = max(0, inside + (1 if opening else -1))
@@ -144,7 +152,10 @@ def densest(lines: list[str], window: int = WINDOW) -> int:
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page: its blocks in page order, joined by a space."""
-    found = stretches(lines_of(page), window)
+    lines = lines_of(page)
+    if has_article(page):
+        return " ".join(x for x in lines if x)
+    found = stretches(lines, window)
     kept = [s for s in found if densest(s, window) >= surge]
     if not kept and found:
         kept = [max(found, key=lambda s: sum(map(len, s)))]

@@ -142,6 +142,24 @@ def test_html(spark):
     assert html_lines.extract(frame.limit(0)).collect() == []
 
 
+LOREM = "<p>" + "A sentence of the article that is long enough. " * 4 + "</p>"
+SAID = " ".join(("A sentence of the article that is long enough. " * 4).split())
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<nav>n</nav><article><header><h1>Short title</h1></header>{LOREM}</article>", f"Short title {SAID}"),
+        (f"<main><h1>T</h1><article>{LOREM}</article></main><p>out</p>", f"T {SAID}"),
+        (f"<article>{LOREM}</article><article><p>Brief.</p></article><article>{LOREM}</article>", f"{SAID} Brief. {SAID}"),
+        (f"<article>{LOREM}<div class='ad'>a</div><form>f</form><div class='share'>s</div><p>The end.</p></article>", f"{SAID} The end."),
+        (f"<body><div><p>Stray.</p></div><nav>n</nav><footer>f</footer>{LOREM}", SAID),
+    ],
+)
+def test_html_short_parts_of_an_article_stay(page, text):
+    assert html_lines.main_text(page) == text
+
+
 def test_quality(spark, docs, nothing):
     rows = quality.judge(docs, carry=docs.columns).collect()
     names = list(brute.measures(""))
