@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -26,14 +27,17 @@ SURGE = 80
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ARTICLE_TAG = re.compile(r"<(?:article|main)[\s>]", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 # HTML element names and words by their role on a page.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "canvas", "object", "select", "title"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "canvas", "object", "select", "title", "annotation", "annotation-xml"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
     "tt", "u", "var", "wbr",
+    "math", "menclose", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow",
+    "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ARTICLE = {"article", "main"}
@@ -46,20 +50,92 @@ WORDS = {
     "newsletter", "notice", "popup", "promo", "related", "reply", "replies", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+# Before or after a word these tell a state of something else: no-sidebar, has-comments, share-enabled.
+BEFORE = {"no", "not", "non", "has", "have", "with", "without"}
+AFTER = {"enabled", "disabled", "open", "closed", "on", "off", "allowed"}
+# Words that also stand in anchors made from headings (related-work); in an id they count beside layout words only.
+PROSE = {
+    "banner", "comment", "comments", "consent", "cookie", "cookies", "menu", "navigation", "notice", "promo", "related",
+    "reply", "replies", "share", "sharing", "social", "sponsor", "subscribe",
+}
+LAYOUT = {
+    "area", "bar", "block", "bottom", "box", "buttons", "container", "form", "icons", "inner", "left", "links", "list", "main",
+    "outer", "page", "popup", "posts", "primary", "right", "secondary", "section", "site", "thread", "top", "wrap", "wrapper",
+}
+# Elements that an id can name as a part of the page; of others it is an anchor. Inside an article, also a section's is.
+NAMED = {"center", "dl", "div", "fieldset", "ol", "section", "table", "tbody", "td", "tr", "ul"}
 
 
-def has_article(page: str) -> bool:
-    return re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
+class Weights:
+    """Where a page's elements end, and its text is: the text inside article or main elements, if it has such.
 
+    Raw elements, menus, footers and the like don't count as text, unless they hold the article.
+    """
 
-def lines_of(page: str) -> list[str]:
+    def __init__(self, page: str):
+        self.page = page
+        self.closed: dict[str, dict[int, int]] = {}
+        ends: tuple[list[int], list[int]] = ([], [])  # of texts anywhere, inside articles
+        sums: tuple[list[int], list[int]] = ([0], [0])
+        inside = at = 0
+        self.has_article = False
+
+        def take(start: int, end: int) -> None:
+            if size := len("".join(page[start:end].split())):
+                for k in (0, 1) if inside else (0,):
+                    ends[k].append(end)
+                    sums[k].append(sums[k][-1] + size)
+
+        while (m := _TAG.search(page, at)) is not None:
+            take(at, m.start())
+            at = m.end()
+            name = (m[2] or "").lower()
+            if not m[1] and name in RAW:
+                at = _raw_end(page, name, at)
+            elif not m[1] and name in BOILERPLATE and name != "form":
+                end = self.end_of(name, m.start(), at)
+                if end is not None and (inside or not _ARTICLE_TAG.search(page, at, end)):
+                    at = end
+            elif name in ARTICLE:
+                inside = max(0, inside + (-1 if m[1] else 1))
+                self.has_article = self.has_article or not m[1]
+        take(at, len(page))
+        self.ends, self.sums = ends[self.has_article], sums[self.has_article]
+
+    def end_of(self, name: str, start: int, at: int) -> int | None:
+        """Where the element with the tag from ``start`` to ``at`` ends, or None if it is never closed.
+
+        All elements of a name are matched in one pass, since many can be nested.
+        """
+        if name not in self.closed:
+            closed, opened = {}, []
+            for m in _tags(name).finditer(self.page):
+                if m[0].startswith("<!--"):
+                    continue
+                if not m[1]:
+                    opened.append(m.start())
+                    closed[m.start()] = -1
+                elif opened:
+                    closed[opened.pop()] = m.end()
+            self.closed[name] = closed
+        if (end := self.closed[name].get(start)) is None:  # the pass took the tag for part of a comment
+            return _end_of(self.page, name, at)
+        return end if end >= 0 else None
+
+    def most(self, start: int, end: int) -> bool:
+        """Whether more than half of the text is between two tags."""
+        size = self.sums[bisect_left(self.ends, end + 1)] - self.sums[bisect_left(self.ends, start + 1)]
+        return 2 * size > self.sums[-1]
+
+
+def lines_of(page: str, weights: Weights) -> list[str]:
     """The page as lines of text, one per block; ``""`` stands where something was taken out.
 
     Of a page with article or main elements, the lines inside these.
     """
     lines: list[str] = []
     block: list[str] = []
-    anywhere = not has_article(page)
+    anywhere = not weights.has_article
     inside = 0  # open article elements
     at = 0
 
@@ -82,11 +158,10 @@ def lines_of(page: str) -> list[str]:
             continue
         opening = not m[1]
         if opening and name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = _raw_end(page, name, at)
             continue
         if opening and name not in VOID and _is_boilerplate(name, m[3], inside):
-            if (end := _end_of(page, name, at)) is not None:
+            if (end := weights.end_of(name, m.start(), at)) is not None and not weights.most(at, end):
                 close()
                 lines += [""] * (WINDOW if name in SECTIONS and not inside else 1)
                 at = end
@@ -110,7 +185,12 @@ def _is_boilerplate(name: str, attributes: str, inside: int) -> bool:
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(a or b or c).lower()
-        if key in ("class", "id") and not WORDS.isdisjoint(_PARTS.split(value)):
+        if key == "class" and any(_names_boilerplate(x) for x in value.split()):
+            return True
+        if key == "id" and name in NAMED and not (name == "section" and inside):
+            if any(_names_boilerplate(x, PROSE) for x in value.split()):
+                return True
+        if key in ("class", "id") and name == "div" and not inside and not {"header", "site-header"}.isdisjoint(value.split()):
             return True
         if key == "role" and value.strip() in ROLES:
             return True
@@ -121,10 +201,29 @@ def _is_boilerplate(name: str, attributes: str, inside: int) -> bool:
     return False
 
 
+def _names_boilerplate(token: str, prose: frozenset[str] | set[str] = frozenset()) -> bool:
+    """Whether a class or id has one of the words, not as a state, and one of ``prose`` not among other words."""
+    parts = [x for x in _PARTS.split(token) if x]
+    plain = all(x in WORDS or x in LAYOUT or x.isdigit() for x in parts)
+    return any(
+        x in WORDS and (plain or x not in prose) and BEFORE.isdisjoint(parts[:i]) and AFTER.isdisjoint(parts[i + 1 :])
+        for i, x in enumerate(parts)
+    )
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _tags(name: str) -> re.Pattern:
+    return re.compile(rf"<!--.*?-->|<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I | re.S)
+
+
 def _end_of(page: str, name: str, at: int) -> int | None:
     """Where the element opened before ``at`` ends, or None if it is never closed."""
     depth = 1
-    for m in re.compile(rf"<!--.*?-->|<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I | re.S).finditer(page, at):
+    for m in _tags(name).finditer(page, at):
         if m[0].startswith("<!--"):
             continue
         depth += -1 if m[1] else 1
@@ -152,8 +251,9 @@ def densest(lines: list[str], window: int = WINDOW) -> int:
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page: its blocks in page order, joined by a space."""
-    lines = lines_of(page)
-    if has_article(page):
+    weights = Weights(page)
+    lines = lines_of(page, weights)
+    if weights.has_article:
         return " ".join(x for x in lines if x)
     found = stretches(lines, window)
     kept = [s for s in found if densest(s, window) >= surge]

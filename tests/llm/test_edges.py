@@ -160,6 +160,43 @@ def test_html_short_parts_of_an_article_stay(page, text):
     assert html_lines.main_text(page) == text
 
 
+ARTICLE = f"<article>{LOREM}</article>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Whole pages in an element whose name or class is a word: with and without an article.
+        (f"<div class='post no-sidebar'>{ARTICLE}</div>", SAID),
+        (f"<div id='wrap' class='content has-comments'>{LOREM}</div>", SAID),
+        (f"<div class='entry share-enabled'>{ARTICLE}</div><div class='share'>s</div>", SAID),
+        (f"<div class='widget'>{ARTICLE}</div><div class='widget'>w</div>", SAID),
+        (f"<div class='social'>{LOREM}</div><div class='widget'>w</div>", SAID),
+        (f"<form id='aspnetForm'><nav>{LOREM * 2}</nav>{LOREM}</form>", SAID),
+        (f"{ARTICLE}<aside><article>Teaser</article></aside>", SAID),
+        (f"<!-- <article> --><script>'<main>'</script>{LOREM}", SAID),
+        # States beside boilerplate: the small elements are states, no matter how much they hold.
+        (f"<article>{LOREM}<p class='no-ads'>A</p><p class='with-share'>B</p><p class='ads'>C</p></article>", f"{SAID} A B"),
+        # Anchors.
+        (
+            f"<article>{LOREM}<h2 id='related-work'>A</h2><p id='notice-of-motion'>B</p><section id='social-impact'>C</section>"
+            "<div id='related-work'>D</div><a id='comments'>E</a><div id='related-posts'>x</div><div id='ad-slot-3'>x</div>"
+            "<div id='sidebar-foo'>x</div><h2 class='related'>x</h2></article>",
+            f"{SAID} A B C D E",
+        ),
+        (f"<div id='header'>{'Site of many words ' * 6}</div>{LOREM}<section id='comments'>{'me ' * 40}</section>", SAID),
+        (f"<div class='site-header'>{'Site of many words ' * 6}</div>{LOREM}", SAID),
+        (f"<main><div class='header'>Title</div>{LOREM}</main>", f"Title {SAID}"),
+        (
+            "<article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math> be.</p></article>",
+            "Let x=1 be.",
+        ),
+    ],
+)
+def test_html_words_of_boilerplate_in_the_article(page, text):
+    assert html_lines.main_text(page) == text
+
+
 def test_quality(spark, docs, nothing):
     rows = quality.judge(docs, carry=docs.columns).collect()
     names = list(brute.measures(""))
