@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 20
 # Before the first round: share of good texts, how often a rule votes bad on a good text, on a bad text of its own
-# kind, and on one of another kind. The belief in few false alarms weighs as much as all texts do, at any size.
+# kind, and on one of another kind.
 START_GOOD, FALSE_ALARM, HIT, CHANCE = 0.8, 0.002, 0.9, 0.05
 
 
@@ -152,16 +152,20 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(F.get(one, F.lit(0)))
 
 
-def fit(votes: DataFrame, rounds: int = ROUNDS) -> Model:
+def fit(votes: DataFrame, rounds: int = ROUNDS, all_classes: bool = False) -> Model:
     """Estimate the model from the ``votes`` of all rows, a ``score`` result.
 
     Rules are taken as independent inside a class. Counts start with one imagined text per class, so the result
-    is defined for an empty table too. The patterns, at most 3 ** rules, are counted by Spark.
+    is defined for an empty table too, and as many more as there are texts: good ones that say how often a rule is
+    wrong, or with ``all_classes`` texts of all classes by their first shares, that say the same of the shares and
+    of bad texts. The patterns, at most 3 ** rules, are counted by Spark.
     """
     patterns = [(r["votes"], r["n"]) for r in votes.groupBy("votes").agg(F.count("*").alias("n")).collect()]
     first = model = start()
-    belief = sum(n for _, n in patterns)
+    total = sum(n for _, n in patterns)
     classes, m = range(len(first.share)), range(len(RULES))
+    extra = [1 + total * (first.share[c] if all_classes else c == 0) for c in classes]
+    shared = 1 + total * all_classes
     for _ in range(rounds):
         size = [0.0 for _ in classes]
         bad, cast = [[0.0 for _ in m] for _ in classes], [[0.0 for _ in m] for _ in classes]
@@ -173,10 +177,8 @@ def fit(votes: DataFrame, rounds: int = ROUNDS) -> Model:
                 for j, v in enumerate(pattern):
                     cast[c][j] += w * (v != 0)
                     bad[c][j] += w * (v < 0)
-        # Imagined texts: one in each class, and in the good one as many as there are texts.
-        extra = [1 + belief * (c == 0) for c in classes]
         model = Model(
-            tuple((size[c] + first.share[c]) / (sum(size) + 1) for c in classes),
+            tuple((size[c] + shared * first.share[c]) / (sum(size) + shared) for c in classes),
             tuple(
                 tuple((bad[c][j] + extra[c] * first.bad[c][j]) / (cast[c][j] + extra[c]) for j in m) for c in classes
             ),
@@ -196,12 +198,15 @@ def p_good(model: Model) -> Column:
     return joint[0] / reduce(add, joint)
 
 
-def judge(docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+def judge(
+    docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",), all_classes: bool = False
+) -> DataFrame:
     """``score`` with ``p_good``, the probability that a text is good, and ``kept``.
 
     Kept is a text that passes the base and is at least as likely good as bad. An empty table gives an empty
-    result.
+    result. Without ``all_classes``, see ``fit``, texts that one rule alone finds bad are kept while their kind is
+    below 0.3 to 0.4 % of the rows; with it, they are dropped at any share.
     """
     scored = score(docs, text_col, carry)
-    judged = scored.withColumn("p_good", p_good(fit(scored.select("votes"))))
+    judged = scored.withColumn("p_good", p_good(fit(scored.select("votes"), all_classes=all_classes)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))

@@ -224,6 +224,21 @@ def test_quality_rules_are_learned_apart():
     assert bad[0] < sum(bad[1:])
 
 
+WORDS_60 = "array_join(transform(sequence(1, 60), i -> concat('ab', lower(conv(100000 + id * 60 + i, 10, 36)))), ' ')"
+
+
+def test_pipeline_drops_rare_junk(spark):
+    """One text in a thousand of each of two kinds, each bad by one rule alone."""
+    import corpus_pipeline
+
+    path = scratch_dir(spark)
+    frame = spark.range(0, 20_000, 1, 4).selectExpr("id as doc_id", f"{WORDS_60} as text")
+    junk = "case doc_id % 1000 when 0 then upper(text) when 1 then replace(text, 'ab', 'a#') else text end"
+    frame.selectExpr("doc_id", f"{junk} as text").write.parquet(path)
+    kept = [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, spark.read.parquet(path), "").collect()]
+    assert sorted(kept) == [i for i in range(20_000) if i % 1000 > 1]
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_dedup(docs, nothing, keep):
     rows = exact_dedup.exact_dedup(docs, keep=keep).collect()
