@@ -11,7 +11,7 @@ from samerow.session import save
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.judge(docs, carry=docs.columns, all_classes=True)
+    judged = quality.judge(docs, carry=docs.columns, all_classes=True, rules=quality.ANY_LENGTH)
     return judged.filter("kept").select("doc.*")
 
 

@@ -49,6 +49,9 @@ RULES = (
     Rule("length", "n_words > 100000", "n_words >= 100"),
 )
 
+# The same without an upper length: long texts get no vote for it, as short ones get none.
+ANY_LENGTH = (*RULES[:-1], Rule("length", "false", "n_words between 100 and 100000"))
+
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
@@ -78,11 +81,14 @@ def start() -> Model:
     return Model((START_GOOD, *[(1 - START_GOOD) / m] * m), ((FALSE_ALARM,) * m, *kinds))
 
 
-def score(docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+def score(
+    docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES
+) -> DataFrame:
     """Store one row per row of ``docs``: ``doc`` (a struct of ``carry``), the measures, ``votes``, ``base_failed``.
 
-    ``votes`` holds 1 (good), -1 (bad) or 0 (abstains) for every rule. A null text counts as empty: it has no
-    words and fails the base. Columns of ``docs`` only meet each other inside ``doc``, so their names are free.
+    ``votes`` holds 1 (good), -1 (bad) or 0 (abstains) for every one of ``rules``, which are ``RULES`` or
+    ``ANY_LENGTH``. A null text counts as empty: it has no words and fails the base. Columns of ``docs`` only meet
+    each other inside ``doc``, so their names are free.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -111,7 +117,7 @@ def score(docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_
         "n_capitals",
         "n_shouts",
     )
-    votes = [F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0) for r in RULES]
+    votes = [F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0) for r in rules]
     return save(measured.select("*", F.array(*votes).alias("votes"), F.expr(BASE_FAILED).alias("base_failed")))
 
 
@@ -199,7 +205,11 @@ def p_good(model: Model) -> Column:
 
 
 def judge(
-    docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",), all_classes: bool = False
+    docs: DataFrame,
+    text_col: str = "text",
+    carry: Sequence[str] = ("doc_id",),
+    all_classes: bool = False,
+    rules: Sequence[Rule] = RULES,
 ) -> DataFrame:
     """``score`` with ``p_good``, the probability that a text is good, and ``kept``.
 
@@ -207,6 +217,6 @@ def judge(
     result. Without ``all_classes``, see ``fit``, texts that one rule alone finds bad are kept while their kind is
     below 0.3 to 0.4 % of the rows; with it, they are dropped at any share.
     """
-    scored = score(docs, text_col, carry)
+    scored = score(docs, text_col, carry, rules)
     judged = scored.withColumn("p_good", p_good(fit(scored.select("votes"), all_classes=all_classes)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))

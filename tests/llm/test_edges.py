@@ -239,6 +239,17 @@ def test_pipeline_drops_rare_junk(spark):
     assert sorted(kept) == [i for i in range(20_000) if i % 1000 > 1]
 
 
+@pytest.mark.parametrize("n_short", [0, 3, 400])
+def test_pipeline_keeps_clean_long_texts(spark, n_short):
+    import corpus_pipeline
+
+    path = scratch_dir(spark)
+    text = WORDS_60.replace("sequence(1, 60)", "sequence(1, if(id < 3, 100500, 160))").replace("id * 60", "id * 101000")
+    spark.range(0, 3 + n_short, 1, 3).selectExpr("id as doc_id", f"{text} as text").write.parquet(path)
+    kept = [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, spark.read.parquet(path), "").collect()]
+    assert sorted(kept) == list(range(3 + n_short))
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_dedup(docs, nothing, keep):
     rows = exact_dedup.exact_dedup(docs, keep=keep).collect()
