@@ -130,6 +130,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM voted, model{rounds}
 """
 
+# Sources at their limit are those that an equal share of the rest would pass, in the order of limit by weight.
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, source, left(md5('1:' || doc_id), 16) AS rnd,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), weighed AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT AS cycle, 3.0::DOUBLE * source_size AS most FROM sums
+), filled AS (
+  SELECT *, [5.0::DOUBLE, 2.0, 1.0][cycle + 1] AS weight FROM weighed
+), ordered AS (
+  SELECT *, sum(most) OVER o - most AS most_before, sum(weight) OVER o - weight AS weight_before,
+    sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weights
+  FROM filled WINDOW o AS (ORDER BY most / weight, source NULLS LAST)
+), marked AS (
+  SELECT *, most * (all_weights - weight_before) <= (total - most_before) * weight AS is_full FROM ordered
+), rest AS (
+  SELECT any_value(total) - coalesce(sum(most) FILTER (WHERE is_full), 0) AS words,
+    any_value(all_weights) - coalesce(sum(weight) FILTER (WHERE is_full), 0) AS weights
+  FROM marked
+), goals AS (
+  SELECT source, source_size, cycle,
+    CASE WHEN is_full THEN most ELSE words::DOUBLE * weight / CASE WHEN weights = 0 THEN 1 ELSE weights END END AS target
+  FROM marked, rest
+), known AS (
+  SELECT d.*, source_size, cycle, target,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY rnd NULLS FIRST, doc_id NULLS FIRST, size, id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS first
+  FROM d JOIN goals ON d.source IS NOT DISTINCT FROM goals.source
+), copies AS (
+  SELECT id, doc_id, rnd, cycle, target, copy, copy * source_size + first AS start,
+    least(size, floor(target)::BIGINT - copy * source_size - first) AS words
+  FROM known, (SELECT unnest([0, 1, 2]) AS copy)
+  WHERE size > 0 AND copy * source_size + first < floor(target)::BIGINT
+), middles AS (
+  SELECT *, (2 * start + words)::DOUBLE / (2.0::DOUBLE * target) AS middle FROM copies
+), timed AS (
+  -- Weights over time go from 7.5 to 2.5, stay at 2, go from 0.5 to 1.5.
+  SELECT *, CASE cycle
+    WHEN 0 THEN 2.0::DOUBLE * (middle * 5.0::DOUBLE) / (7.5::DOUBLE + sqrt(56.25::DOUBLE + -10.0::DOUBLE * (middle * 5.0::DOUBLE)))
+    WHEN 1 THEN 2.0::DOUBLE * (middle * 2.0::DOUBLE) / 4.0::DOUBLE
+    ELSE 2.0::DOUBLE * middle / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * middle)) END AS time
+  FROM middles
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY time, rnd NULLS FIRST, doc_id NULLS FIRST, copy, words, id) - 1 AS place FROM timed
+), summed AS (
+  SELECT id, sum(words)::BIGINT AS taken, count(*) AS n_copies, min(place) AS first_place FROM placed GROUP BY id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(n_copies, 0) AS n_copies, first_place
+FROM known LEFT JOIN summed USING (id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_perspective_rotation": OP3, "op5_weak_supervision": op5(), "op6_digest_tree": OP6}
+    return {
+        "op3_perspective_rotation": OP3,
+        "op5_weak_supervision": op5(),
+        "op6_digest_tree": OP6,
+        "op11_curriculum_mix": OP11,
+    }

@@ -10,6 +10,7 @@ from samerow.llm import (
     binary_output,
     bpe_fragments,
     chat,
+    curriculum,
     exact_dedup,
     html_lines,
     jaccard,
@@ -22,6 +23,8 @@ from samerow.session import scratch_dir
 
 END_ID = 2
 N_SHARDS = 24
+# Weights of sources over training time: 5 in all, going down; 2; 1 in all, going up.
+SCHEDULES = (((0, 7.5), (1, 2.5)), ((0, 2), (1, 2)), ((0, 0.5), (1, 1.5)))
 
 
 def tokenizer_file(name: str) -> str:
@@ -101,6 +104,12 @@ def op10_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of sources by weights 5, 2, 1 takes of all documents, and when."""
+    documents, _ = curriculum.mix(_table(spark, sf_dir, "documents"), SCHEDULES, max_repeats=3)
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "n_copies", "first_place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_arrow_token_files,
@@ -113,5 +122,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bounded_ring,
         op9_trigram_secrets,
         op10_parity_jaccard,
+        op11_curriculum_mix,
     ]
     return {f.__name__: f for f in named}
