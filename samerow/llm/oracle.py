@@ -183,6 +183,84 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(
 FROM known LEFT JOIN summed USING (id)
 """
 
+OP12 = r"""
+WITH folded AS (
+  SELECT row_number() OVER () AS id, doc_id,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), held AS (
+  SELECT id, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM folded
+), asked AS (
+  SELECT item, item_id, unnest(terms) AS term FROM (
+    SELECT row_number() OVER () AS item, item_id,
+      regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM benchmark)
+), times AS (
+  SELECT item, item_id, term, count(*) AS times FROM asked GROUP BY ALL
+), lengths AS (
+  SELECT id, count(*) AS n FROM held GROUP BY id
+), totals AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths
+), postings AS (
+  SELECT id, doc_id, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM times) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, totals GROUP BY term, docs
+), impacts AS (
+  SELECT id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS impact
+  FROM postings JOIN lengths USING (id) JOIN weights USING (term), totals
+), scored AS (
+  SELECT item, item_id, id, doc_id, sum(times * impact)::BIGINT AS score
+  FROM times JOIN impacts USING (term) GROUP BY ALL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, id)::INT AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+# CRC-32 bit by bit: each byte is mixed in, then eight steps shift it out.
+OP13 = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), steps AS (
+  SELECT c, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda ch : [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS ops
+  FROM (SELECT DISTINCT c FROM t)
+), convs AS (
+  SELECT c, xor(list_reduce(ops, lambda a, x : CASE WHEN x >= 0 THEN xor(a, x)
+    WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 6 AS h
+  FROM steps
+), rebuilt AS (
+  SELECT convs.c, 0 AS part, pos, role, text FROM convs JOIN t ON t.c = convs.c - convs.c % 100 AND pos <= h
+  UNION ALL SELECT t.c, 1, pos, role, text FROM t JOIN convs ON t.c = convs.c AND pos > h
+), prefixes AS (
+  SELECT c, length(text) AS len, row_number() OVER o AS d,
+    string_agg(md5(length(role)::VARCHAR || ':' || role || text), '') OVER (o ROWS UNBOUNDED PRECEDING) AS p
+  FROM rebuilt WINDOW o AS (PARTITION BY c ORDER BY part, pos)
+), members AS (
+  SELECT c, 0 AS len, 0 AS d, '' AS p FROM convs UNION ALL SELECT c, len, d, p FROM prefixes
+), sized AS (
+  SELECT *, max(d) OVER (PARTITION BY c) AS last FROM members
+), nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n, any_value(len) AS len,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = last), '')) AS ends
+  FROM sized GROUP BY p, d
+), children AS (
+  SELECT p, left(p, 32 * (d - 1)) AS parent FROM nodes WHERE d > 0
+), counted AS (
+  SELECT nodes.*, coalesce(k, 0) AS n_children
+  FROM nodes LEFT JOIN (SELECT parent, count(*) AS k FROM children GROUP BY parent) x ON nodes.p = x.parent
+), below AS (
+  SELECT v.p, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n - 1) * u.len)::BIGINT AS saved_tokens
+  FROM counted v JOIN counted u ON u.d >= v.d AND left(u.p, 32 * v.d) = v.p GROUP BY v.p
+)
+SELECT v.conv_id, v.d::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, n_leaves, saved_tokens,
+  v.ends AS ends_sha256
+FROM counted v JOIN below ON below.p = v.p LEFT JOIN counted up ON v.d > 0 AND up.p = left(v.p, 32 * (v.d - 1))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -190,4 +268,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_weak_supervision": op5(),
         "op6_digest_tree": OP6,
         "op11_curriculum_mix": OP11,
+        "op12_interval_search": OP12,
+        "op13_double_array_trie": OP13,
     }

@@ -15,11 +15,13 @@ from samerow.llm import (
     html_lines,
     jaccard,
     packing,
+    prefix_trie,
     quality,
+    ranked_search,
     secrets,
     sharding,
 )
-from samerow.session import scratch_dir
+from samerow.session import save, scratch_dir
 
 END_ID = 2
 N_SHARDS = 24
@@ -110,6 +112,23 @@ def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken", "n_copies", "first_place")
 
 
+def op12_interval_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    docs, items = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return ranked_search.rank_documents(docs, items, k=10)
+
+
+def op13_double_array_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over all conversations, each rebuilt on the beginning of the first one of its hundred."""
+    own = save(prefix_trie.sequences(_table(spark, sf_dir, "conversations")))
+    heads = own.filter("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 5).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    based = own.withColumn("base", F.expr("conv_id - conv_id % 100")).join(heads, "base", "left").withColumn("h", h)
+    begun = F.when(F.col("head").isNull(), F.slice("turns", 1, 0)).otherwise(F.slice("head", F.lit(1), F.col("h")))
+    rebuilt = F.concat(begun, F.slice("turns", F.col("h") + 1, F.size("turns")))
+    return prefix_trie.conversation_trie(based.select("conv_id", rebuilt.alias("turns")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_arrow_token_files,
@@ -123,5 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_trigram_secrets,
         op10_parity_jaccard,
         op11_curriculum_mix,
+        op12_interval_search,
+        op13_double_array_trie,
     ]
     return {f.__name__: f for f in named}
