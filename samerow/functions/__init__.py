@@ -7,6 +7,7 @@ from samerow.functions.text import (
     is_blank,
     key_digest,
     key_fields,
+    key_id,
     line_prefix,
     strip_py,
 )
@@ -20,6 +21,7 @@ __all__ = [
     "is_blank",
     "key_digest",
     "key_fields",
+    "key_id",
     "line_prefix",
     "strip_py",
 ]

@@ -82,5 +82,10 @@ def line_prefix(col: Column, length: int = PREFIX_LEN, tabs_to_spaces: bool = Fa
 
 
 def key_digest(col: Column) -> Column:
-    """SHA-256 of a key in hex, for handing very wide keys around. Detection itself compares whole keys."""
+    """SHA-256 of a key in hex, for handing very wide keys around. Detection compares whole keys or verifies them."""
     return F.sha2(col, 256)
+
+
+def key_id(col: Column) -> Column:
+    """The same as 32 bytes: what wide keys are grouped by before they are compared."""
+    return F.unhex(key_digest(col))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from samerow.operators.bitmaps import is_broadcast, key_filter, may_be_in
 from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash
 from samerow.session import save
 
@@ -67,8 +68,13 @@ def row_fate(rows: DataFrame, summary: DataFrame, rows_per_salt: int = ROWS_PER_
 
 
 def duplicate_rows(rows: DataFrame, keys: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """The rows whose key is in ``keys``, a stored frame with ``key`` and ``n_rows``."""
-    return join_on_key(rows, keys.select("key", "n_rows"), "left_semi", rows_per_salt=rows_per_salt)
+    """The rows whose key is in ``keys``, a stored frame with ``key`` and ``n_rows``.
+
+    If ``keys`` is too large to be broadcast itself, a bitmap of its hashes is, and rows of other keys are left out
+    before the shuffle.
+    """
+    some = rows if is_broadcast(keys) else may_be_in(rows, key_filter(keys, ["key"]), ["key"])
+    return join_on_key(some, keys.select("key", "n_rows"), "left_semi", rows_per_salt=rows_per_salt)
 
 
 def deletion_candidates(rows: DataFrame, totals: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:

@@ -6,9 +6,13 @@ is then many rows that any number of tasks can sort and print, never one huge li
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame, functions as F
+
+from samerow.operators.ranks import ranked
 from samerow.operators.skew import ROWS_PER_SALT, join_on_key, key_hash
+from samerow.session import save
 
 
 def key_files(rows: DataFrame, min_rows: int = 2) -> DataFrame:
@@ -18,16 +22,20 @@ def key_files(rows: DataFrame, min_rows: int = 2) -> DataFrame:
     and ``keep_file, keep_path, keep_block, keep_pos`` place its first row. One pass over the rows: numbers are
     added up by hash in the scan tasks, so a hot key is one row per task and file when it is shuffled, and no
     row is sorted. ``pos`` must grow along a file, over its blocks too.
+
+    Totals are added up from the counts by file, first in the tasks that made these; so a key in very many files is
+    one row per task again. In the join of the totals with the counts adaptive execution splits it.
     """
     counts = rows.groupBy(key_hash(), "key", "path", "file").agg(
         F.count("*").alias("n"), F.min("block").alias("block"), F.min("pos").alias("pos")
     )
-    of_key = Window.partitionBy("key_hash", "key")
-    first = F.min(F.struct("file", "path", "block", "pos")).over(of_key)
-    found = counts.select(
-        "*", F.sum("n").over(of_key).alias("n_rows"), F.count("*").over(of_key).alias("n_files"), first.alias("first")
-    )
-    return found.filter(F.col("n_rows") >= min_rows).select(
+    first = F.min(F.struct("file", "path", "block", "pos"))
+    totals = counts.groupBy("key_hash", "key").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_files"), first.alias("first"))
+    # By another hash than the totals are grouped by: both sides come out of a shuffle of their own then, and only
+    # of such ones does adaptive execution split a hot partition.
+    dups = totals.drop("key_hash").filter(F.col("n_rows") >= min_rows)
+    placed = counts.withColumn("spread", F.hash("key")).join(dups.withColumn("spread", F.hash("key")), ["spread", "key"])
+    return placed.select(
         "key",
         "path",
         "file",
@@ -74,9 +82,13 @@ def report_entries(found: DataFrame, summary: DataFrame, rows_per_salt: int = RO
 
 
 def surplus_rows(
-    rows: DataFrame, found: DataFrame, mode: str = "all", rows_per_salt: int = ROWS_PER_SALT
+    rows: DataFrame,
+    found: DataFrame,
+    mode: str = "all",
+    rows_per_salt: int = ROWS_PER_SALT,
+    places: Sequence[str] = ("path", "block", "pos"),
 ) -> DataFrame:
-    """``path, block, pos`` of the rows a deletion drops.
+    """``path, block, pos``, or other ``places``, of the rows a deletion drops.
 
     ``found`` is the stored ``key_files`` result of ``rows``. ``all`` keeps the first row of a key, ``cross`` all rows in
     the file of the first, ``within`` the first row in each file.
@@ -85,9 +97,9 @@ def surplus_rows(
     in_keep_file = F.col("path") == F.col("keep_path")
     kept = {"all": in_keep_file & first_in_file, "cross": in_keep_file, "within": first_in_file}[mode]
     keys = found.select("key", "path", "n", F.col("pos").alias("first_pos"), "keep_path")
-    places = rows.select("key", "path", "block", "pos")
-    joined = join_on_key(places, keys, "inner", on=["key", "path"], weight="n", rows_per_salt=rows_per_salt)
-    return joined.filter(~kept).select("path", "block", "pos")
+    located = rows.select(*dict.fromkeys(["key", "path", "block", "pos", *places]))
+    joined = join_on_key(located, keys, "inner", on=["key", "path"], weight="n", rows_per_salt=rows_per_salt)
+    return joined.filter(~kept).select(*places)
 
 
 def cross_prefixes(entries: DataFrame) -> DataFrame:
@@ -108,5 +120,9 @@ def file_lists(counts: DataFrame, totals: DataFrame, rows_per_salt: int = ROWS_P
     key in very many files is many rows and never one.
     """
     found = join_on_key(counts, totals.select("key", "n_files"), "inner", weight="n_files", rows_per_salt=rows_per_salt)
-    place = F.row_number().over(Window.partitionBy(key_hash(), "key").orderBy("file", "path"))
-    return found.select("key", place.cast("long").alias("place"), "path", "file", "n")
+    placed = save(ranked(found.select("key", "path", "file", "n", "n_files"), [key_hash(), "key", "file", "path"]))
+    # A key's files have consecutive places in the order of all.
+    first = placed.groupBy("key").agg(F.min("rank").alias("first"), F.first("n_files").alias("n_files"))
+    numbered = join_on_key(placed.drop("n_files"), first, "inner", weight="n_files", rows_per_salt=rows_per_salt)
+    place = (F.col("rank") - F.col("first") + 1).alias("place")
+    return numbered.select("key", place, "path", "file", "n")

@@ -12,13 +12,16 @@ from samerow.session import save
 ROW_BITS = 33
 
 
-def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank", layout: bool = False) -> DataFrame:
     """Add ``name``: the place of each row, from 0, in the order of ``order`` over the whole frame.
 
     The rows are range-partitioned, sorted inside each partition and stored; a row's place is then its place
     in the partition plus the rows of earlier partitions, a table of one row per partition. Rows that are
     equal in ``order`` are spread over partitions by their input position, so a value that a third of the rows
     share is no single task's work. Nulls come first.
+
+    With ``layout``, ``part`` and ``offset`` say which range a row lies in and which split of its file. Rows of a split
+    are read by one task in their order, and the splits by these two are in the order of all rows.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = (
@@ -29,6 +32,9 @@ def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") ->
         .withColumn("_at", F.monotonically_increasing_id())
     )
     stored = save(placed)
+    if layout:
+        where = F.col("_metadata")["file_block_start"]
+        stored = stored.select("*", F.shiftright("_at", ROW_BITS).alias("part"), where.alias("offset"))
     block = F.shiftright("_at", ROW_BITS)
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stored.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))

@@ -92,8 +92,11 @@ def render_report(entries: DataFrame, labels: Labels = ENGLISH) -> DataFrame:
 
 
 def number_report(text: DataFrame) -> DataFrame:
-    """Add ``line_no``, from 1, to the lines of a report; the sort ranges over all tasks."""
-    numbered = ranked(text, ["prefix", "key", "seq", "file"], "line_no")
+    """Add ``line_no``, from 1, to the lines of a report; the sort ranges over all tasks.
+
+    The sorted lines are stored, and ``part, offset`` say where, so that ``write_report`` need not sort them again.
+    """
+    numbered = ranked(text, ["prefix", "key", "seq", "file"], "line_no", layout=True)
     return numbered.withColumn("line_no", F.col("line_no") + 1)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,7 +25,7 @@ from samerow.operators import (
     unlisted_files,
 )
 from samerow.session import delete_folder, input_size, job_folder, job_settings, save
-from samerow.sources import keyed, list_inputs, mark_headers, read_lines, rewrite
+from samerow.sources import keyed, line_scans, list_inputs, mark_headers, require_unchanged, rewrite, snapshot
 from samerow.sources.files import FILE_PATTERN
 
 
@@ -93,11 +94,14 @@ def find_in_rows(rows: DataFrame, options: Options = Options()) -> Found:
 
 
 def find_duplicates(spark: SparkSession, path: str, options: Options = Options()) -> Found:
-    """Duplicates of the text files below ``path``."""
+    """Duplicates of the text files below ``path``. Fails if one of them is changed meanwhile."""
     files = list_inputs(spark, path, options.pattern, options.recursive)
     with job_settings(spark, input_totals(files).first()["total_size"]), job_folder(spark) as folder:
-        marked, _ = _scan(spark, path, options)
-        return _find(keyed(marked, **options.keys()), options, folder)
+        before = snapshot(spark, path, options.pattern, options.recursive)
+        marked, _, _ = _scan(spark, path, options)
+        found = _find(keyed(marked, **options.keys()), options, folder)
+        require_unchanged(spark, before, path, options.pattern, options.recursive)
+        return found
 
 
 def clean(
@@ -106,15 +110,24 @@ def clean(
     """Write copies of the files below ``path`` without their duplicates to the new folder ``out_dir``.
 
     ``mode`` is ``all`` (one row per key), ``cross`` (a key stays in one file, repeats there too) or
-    ``within`` (the first row of a key in each file).
+    ``within`` (the first row of a key in each file). If an input file is changed meanwhile, the job fails and
+    leaves no output.
     """
     if mode not in ("all", "cross", "within"):
         raise ValueError(f"mode must be all, cross or within, not {mode!r}")
     files = list_inputs(spark, path, options.pattern, options.recursive)
     with job_settings(spark, input_totals(files).first()["total_size"]), job_folder(spark) as folder:
-        marked, blocks = _scan(spark, path, options)
+        before = snapshot(spark, path, options.pattern, options.recursive)
+        marked, blocks, n_scans = _scan(spark, path, options)
         found = _find(keyed(marked, **options.keys()), options, folder)
-        rewrite(marked, out_dir, root=path, surplus=save(surplus_rows(found.rows, found.found, mode)))
+        surplus = save(surplus_rows(found.rows, found.found, mode))
+        require_unchanged(spark, before, path, options.pattern, options.recursive)
+        rewrite(marked, out_dir, root=path, surplus=surplus, n_scans=n_scans)
+        try:
+            require_unchanged(spark, before, path, options.pattern, options.recursive)
+        except RuntimeError:
+            delete_folder(spark, out_dir)
+            raise
 
         stats = deletion_stats(found.entries)
         none = F.lit(0).cast("long")
@@ -132,10 +145,11 @@ def clean(
         return Cleaned(stats, summary, render_report(everything, options.labels), spark, folder)
 
 
-def _scan(spark: SparkSession, path: str, options: Options) -> tuple[DataFrame, DataFrame]:
-    lines = read_lines(spark, path, options.pattern, options.recursive)
+def _scan(spark: SparkSession, path: str, options: Options) -> tuple[DataFrame, DataFrame, int]:
+    scans = line_scans(spark, path, options.pattern, options.recursive)
+    lines = reduce(DataFrame.unionByName, scans)
     blocks = index_blocks(lines)
-    return mark_headers(lines, blocks), blocks
+    return mark_headers(lines, blocks), blocks, len(scans)
 
 
 def _find(rows: DataFrame, options: Options, folder: str) -> Found:

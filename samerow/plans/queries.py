@@ -44,6 +44,7 @@ from samerow.operators import (
     within_surplus,
 )
 from samerow.operators.dedupe import CROSS_DELETED, KEPT
+from samerow.operators.wide import dedupe_wide, wide_entries
 from samerow.session import configure, input_size, save, scratch_dir
 from samerow.sources import (
     LINE_SUFFIXES,
@@ -368,7 +369,7 @@ def q_dup_report(spark, sf):
 
 
 def q_dup_report_texts(spark, sf):
-    return _report(text_rows(spark, sf))
+    return wide_entries(text_rows(spark, sf)).select("prefix", "key", "scope", "n_rows", "file", "n")
 
 
 def q_dup_report_orders(spark, sf):
@@ -489,7 +490,7 @@ def q_dedupe_all_orders(spark, sf):
 
 
 def q_dedupe_all_texts(spark, sf):
-    return dedupe_all(text_rows(spark, sf)).select("file", "pos", "line")
+    return dedupe_wide(text_rows(spark, sf)).select("file", "pos", "line")
 
 
 def q_row_fate(spark, sf):

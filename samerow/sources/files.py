@@ -1,13 +1,14 @@
 """Folders of delimited text files as frames of lines.
 
-Line frames have ``path, file, block, pos, value``: the full path, the file name, the byte offset of the
-split, a number that grows inside a split, and the decoded text. ``(path, block, pos)`` orders the lines of
-a file without a shuffle.
+Line frames have ``path, file, block, pos, value, scan``: the full path, the file name, the byte offset of the
+split, a number that grows inside a split, the decoded text, and the number of the scan. ``(path, block, pos)`` orders
+the lines of a file without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,12 +22,19 @@ from samerow.functions import (
     line_prefix,
     strip_py,
 )
-from samerow.session import pin_splits
+from samerow.operators.ranks import ROW_BITS
+from samerow.session import input_size, pin_splits
 
 # The default file pattern, and the suffixes the oldest release took.
 FILE_PATTERN = "*.csv"
 LINE_SUFFIXES = "*.{csv,CSV,txt,TXT}"
 
+# Bytes of the files that one scan reads. A folder with more is read by several scans.
+SCAN_BYTES = 64 << 30
+# A scan has at most this many tasks, in bits; the number of the scan stands above them in a position.
+TASK_BITS = 20
+LINES = "path string, file string, block bigint, pos bigint, value string, scan int"
+
 
 def read_lines(
     spark: SparkSession, path: str, pattern: str = FILE_PATTERN, recursive: bool = False
@@ -38,20 +46,62 @@ def read_lines(
     split, so one big file is read in parallel. Spark leaves out names that begin with ``.`` or ``_``; if one
     matches, that is an error.
     """
+    first, *more = line_scans(spark, path, pattern, recursive)
+    return reduce(DataFrame.unionByName, more, first)
+
+
+def line_scans(
+    spark: SparkSession, path: str, pattern: str = FILE_PATTERN, recursive: bool = False, scan_bytes: int = SCAN_BYTES
+) -> list[DataFrame]:
+    """``read_lines`` in parts: whole files of at most ``scan_bytes`` together, or one file, for each.
+
+    A line has the same ``pos`` in its part as in the union of all, and ``scan`` is the number of the part. So work on
+    the whole can be followed by a job per part, for which Spark reads no other file: a filter on ``scan`` will do.
+    """
     pin_splits(spark)
+    whole = matching_files(spark, "text", path, pattern, recursive)
+    if input_size(whole) <= scan_bytes:
+        return [_lines(whole, 0)]
+    return scans_of(spark, list_inputs(spark, path, pattern, recursive), scan_bytes)
+
+
+def scans_of(spark: SparkSession, files: DataFrame, scan_bytes: int = SCAN_BYTES) -> list[DataFrame]:
+    """``line_scans`` of the files in a table of ``path, size``; their names pass through the driver, as for any scan."""
+    pin_splits(spark)
+    scans, names, held = [], [], 0
+    files = files.filter("size > 0").orderBy("path")
+    for row in files.select(percent_decoded(F.col("path")).alias("path"), "size").toLocalIterator():
+        if names and held + row["size"] > scan_bytes:
+            scans.append(names)
+            names, held = [], 0
+        names.append(_literal(row["path"]))
+        held += row["size"]
+    scans = [each for each in [*scans, names] if each]
+    if not scans:
+        return [spark.createDataFrame([], LINES)]
+    return [_lines(spark.read.text(each), i) for i, each in enumerate(scans)]
+
+
+def _lines(files: DataFrame, scan: int) -> DataFrame:
     meta = F.col("_metadata")
-    return _matching(spark, "text", path, pattern, recursive).select(
+    return files.select(
         meta["file_path"].alias("path"),
         percent_decoded(meta["file_name"]).alias("file"),
         meta["file_block_start"].alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
+        (F.monotonically_increasing_id() + F.lit(scan << (ROW_BITS + TASK_BITS))).alias("pos"),
         decode_ignore(F.col("value")).alias("value"),
+        F.lit(scan).alias("scan"),
     )
 
 
-def _matching(spark: SparkSession, source: str, path: str, pattern: str, recursive: bool) -> DataFrame:
+def _literal(path: str) -> str:
+    """A path in which no character has a meaning for globs."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def matching_files(spark: SparkSession, source: str, path: str, pattern: str, recursive: bool) -> DataFrame:
     """A scan of the matching files and nothing else: Spark never gets a folder to infer partitions from."""
-    folder = re.sub(r"([\\*?\[\]{}])", r"\\\1", path.rstrip("/"))
+    folder = _literal(path.rstrip("/"))
     if pattern.startswith("**/"):
         recursive, pattern = True, pattern[3:]
     if recursive and "/" in pattern:
@@ -67,7 +117,7 @@ def _matching(spark: SparkSession, source: str, path: str, pattern: str, recursi
     if files is found:
         return spark.read.format(source).load(f"{folder}/{pattern}")
     # A folder has a name like the files wanted: name these.
-    names = [re.sub(r"([\\*?\[\]{}])", r"\\\1", s.getPath().toString()) for s in files]
+    names = [_literal(s.getPath().toString()) for s in files]
     return spark.read.format(source).load(names)
 
 
@@ -102,7 +152,7 @@ def list_inputs(
 
     File scans leave empty files out, so the names come from the listing the JVM has made for the scan.
     """
-    files = _matching(spark, "binaryFile", path, pattern, recursive)
+    files = matching_files(spark, "binaryFile", path, pattern, recursive)
     meta = F.col("_metadata")
     sizes = files.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"))
     listed = spark._jvm.java.util.Collections.singletonList(files._jdf.inputFiles())
