@@ -25,15 +25,13 @@ def words(numbers: DataFrame, number: str = "pos") -> DataFrame:
     return save(some.groupBy(F.shiftright(number, WORD_BITS).alias("word")).agg(F.bit_or(bit).alias("bits")))
 
 
-# Is the number of a row among the bits of its word? Null without a word.
-_HELD = "shiftright(bitmap_bits, cast(bitmap_number & 63 as int)) & 1 = 1"
-
-
-def _marked(rows: DataFrame, bitmap: DataFrame, number: Column, how: str, sent: bool) -> DataFrame:
-    known = bitmap.select(F.col("word").alias("bitmap_word"), F.col("bits").alias("bitmap_bits"))
-    numbered = rows.withColumn("bitmap_number", number)
-    at = F.shiftright("bitmap_number", WORD_BITS) == F.col("bitmap_word")
-    return numbered.join(F.broadcast(known) if sent else known, at, how)
+def _marked(rows: DataFrame, bitmap: DataFrame, number: Column, how: str, sent: bool) -> tuple[DataFrame, Column]:
+    """``rows`` with their word of the bitmap, and whether their bit is set in it: null without a word."""
+    word, bits, own = (name + "_" * (1 + max(map(len, rows.columns))) for name in ("word", "bits", "number"))  # no column's name
+    known = bitmap.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    numbered = rows.withColumn(own, number)
+    joined = numbered.join(F.broadcast(known) if sent else known, F.shiftright(own, WORD_BITS) == F.col(word), how)
+    return joined, F.expr(f"shiftright({bits}, cast({own} & 63 as int)) & 1 = 1")
 
 
 def without(rows: DataFrame, bitmap: DataFrame, number: str = "pos", fits: bool = False) -> DataFrame:
@@ -43,8 +41,8 @@ def without(rows: DataFrame, bitmap: DataFrame, number: str = "pos", fits: bool
     likes. A part cut off by ``in_rounds`` always ``fits``.
     """
     sent = fits or bitmap.count() <= BROADCAST_WORDS
-    held = F.coalesce(F.expr(_HELD), F.lit(False))
-    return _marked(rows, bitmap, F.col(number), "left", sent).filter(~held).select(*rows.columns)
+    joined, held = _marked(rows, bitmap, F.col(number), "left", sent)
+    return joined.filter(~F.coalesce(held, F.lit(False))).select(*rows.columns)
 
 
 def in_rounds(bitmap: DataFrame, first: int, end: int) -> list[tuple[int, int]]:
@@ -108,4 +106,5 @@ def may_be_in(rows: DataFrame, held: tuple[DataFrame, int] | None, on: list[str]
     if held is None:
         return rows
     bitmap, buckets = held
-    return _marked(rows, bitmap, _bucket(on, buckets), "inner", True).filter(F.expr(_HELD)).select(*rows.columns)
+    joined, may = _marked(rows, bitmap, _bucket(on, buckets), "inner", True)
+    return joined.filter(may).select(*rows.columns)
