@@ -1,11 +1,14 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped so that every block of the page is a line; elements that are never article text (menus,
-notices, forms, scripts and the like) leave an empty line, and the borders of page sections leave as many as a
-window is long. The text length of each window of lines then rises from zero where text begins (a surge) and
-falls back to zero where it ends (a dive). What lies between is kept if its densest window is dense enough, and
-else only the heaviest stretch, so a short article is not lost. On a page with article or main elements these say
-where its text is: no line inside them is dropped for being short or alone.
+Markup is stripped so that every block of the page is a line with a weight, its length. What the markup says is
+evidence on lines: link text weighs next to nothing; elements that are never article text (menus, notices, forms,
+scripts, reader comments and the like) become an empty line, and the borders of page sections as many as a window
+is long; and if article and main elements hold most of the text that is left, lines inside them weigh more by
+what a surge takes, and lines outside nothing.
+
+The weight of each window of lines then rises from zero where text begins (a surge) and falls back to zero where it
+ends (a dive). What lies between is kept whole if its densest window is dense enough; if no stretch is, the heaviest
+one is kept, so a short article is not lost.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
+from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from samerow.llm.tasks import map_batches, slices, text_column
 
 WINDOW = 3
-# Text that the densest window of a stretch holds at least.
+# Weight that the densest window of a stretch has at least.
 SURGE = 80
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -41,6 +45,8 @@ INLINE = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ARTICLE = {"article", "main"}
+# Elements whose removal ends a stretch; others leave one empty line, however many follow each other.
+BORDERS = {"header", "footer", "head"}
 SECTIONS = {"html", "body", "article", "main", "nav", "footer", "aside", "header", "head"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu"}
@@ -50,6 +56,8 @@ WORDS = {
     "newsletter", "notice", "popup", "promo", "related", "reply", "replies", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+# Of these, reader comments: never article text, however long they are.
+COMMENTS = {"comment", "comments", "disqus", "replies", "reply"}
 # Before or after a word these tell a state of something else: no-sidebar, has-comments, share-enabled.
 BEFORE = {"no", "not", "non", "has", "have", "with", "without"}
 AFTER = {"enabled", "disabled", "open", "closed", "on", "off", "allowed"}
@@ -67,7 +75,7 @@ NAMED = {"center", "dl", "div", "fieldset", "ol", "section", "table", "tbody", "
 
 
 class Weights:
-    """Where a page's elements end, and its text is: the text inside article or main elements, if it has such.
+    """Where a page's elements end, and its text is: the text inside article or main elements, if a good part is.
 
     Raw elements, menus, footers and the like don't count as text, unless they hold the article.
     """
@@ -78,7 +86,6 @@ class Weights:
         ends: tuple[list[int], list[int]] = ([], [])  # of texts anywhere, inside articles
         sums: tuple[list[int], list[int]] = ([0], [0])
         inside = at = 0
-        self.has_article = False
 
         def take(start: int, end: int) -> None:
             if size := len("".join(page[start:end].split())):
@@ -98,9 +105,9 @@ class Weights:
                     at = end
             elif name in ARTICLE:
                 inside = max(0, inside + (-1 if m[1] else 1))
-                self.has_article = self.has_article or not m[1]
         take(at, len(page))
-        self.ends, self.sums = ends[self.has_article], sums[self.has_article]
+        apart = sums[1][-1] > 0 and 10 * sums[1][-1] >= sums[0][-1]
+        self.ends, self.sums = ends[apart], sums[apart]
 
     def end_of(self, name: str, start: int, at: int) -> int | None:
         """Where the element with the tag from ``start`` to ``at`` ends, or None if it is never closed.
@@ -128,27 +135,41 @@ class Weights:
         return 2 * size > self.sums[-1]
 
 
-def lines_of(page: str, weights: Weights) -> list[str]:
-    """The page as lines of text, one per block; ``""`` stands where something was taken out.
+@dataclass(frozen=True)
+class Line:
+    """A block of text, whether it is inside an article element, and how much of it is no link. Empty: a gap."""
 
-    Of a page with article or main elements, the lines inside these.
-    """
-    lines: list[str] = []
+    text: str = ""
+    inside: bool = False
+    plain: int = 0
+
+
+def lines_of(page: str, weights: Weights) -> list[Line]:
+    """The page as lines of text, one per block; empty ones stand where something was taken out."""
+    lines: list[Line] = []
     block: list[str] = []
-    anywhere = not weights.has_article
+    linked = links = 0  # characters of the block in links, and open links
     inside = 0  # open article elements
     at = 0
 
     def close() -> None:
-        # A tag inside a block is no white space, so its parts are joined as they are before decoding.
-        text = " ".join(html.unescape("".join(block)).split())
+        nonlocal linked
+        text = " ".join("".join(block).split())
         block.clear()
         if text:
-            lines.append(text)
+            lines.append(Line(text, inside > 0, max(1, len(text) - linked)))
+        linked = 0
+
+    def gap(n: int) -> None:
+        while n > 0 and not (len(lines) >= n and not any(x.text for x in lines[-n:])):
+            lines.append(Line())
 
     def take(text: str) -> None:
-        if text and (inside or anywhere):
-            block.append(text)
+        # A tag inside a block is no white space, and a reference never reaches over one.
+        nonlocal linked
+        if text:
+            block.append(html.unescape(text))
+            linked += len(block[-1].strip()) if links else 0
 
     while (m := _TAG.search(page, at)) is not None:
         take(page[at : m.start()])
@@ -160,24 +181,62 @@ def lines_of(page: str, weights: Weights) -> list[str]:
         if opening and name in RAW:
             at = _raw_end(page, name, at)
             continue
-        if opening and name not in VOID and _is_boilerplate(name, m[3], inside):
-            if (end := weights.end_of(name, m.start(), at)) is not None and not weights.most(at, end):
+        if opening and name not in VOID and (kind := _boilerplate(name, m[3], inside)):
+            end = weights.end_of(name, m.start(), at)
+            if end is not None and not (_holds_article(page, at, end, inside) if kind == "comments" else weights.most(at, end)):
                 close()
-                lines += [""] * (WINDOW if name in SECTIONS and not inside else 1)
+                gap(WINDOW if name in BORDERS and not inside else 1)
                 at = end
                 continue
+        if name == "a":
+            links = 1 if opening else 0
         if name in INLINE:
             continue
         close()
-        if name in SECTIONS and not inside:
-            lines += [""] * WINDOW
         if name in ARTICLE:
+            # Articles within the text of others belong to it.
+            if not inside or (inside == 1 and not opening):
+                gap(WINDOW)
             inside = max(0, inside + (1 if opening else -1))
+        elif name in SECTIONS - {"nav", "aside"} and not inside:
+            gap(WINDOW)
     take(page[at:])
     close()
     return lines
 
 
+def _holds_article(page: str, start: int, end: int, inside: int) -> bool:
+    """Does an element that is in no article hold one with some text? Then it is no thread of comments."""
+    if inside:
+        return False
+    found = _ARTICLE_TAG.search(page, start, end)
+    return found is not None and found[0].lower().startswith("<main")
+
+
+def weighed(lines: list[Line], surge: int = SURGE) -> list[int]:
+    """Weights of the lines: by the article elements if these hold at least half of the text."""
+    within = sum(len(x.text) for x in lines if x.inside)
+    if within and 2 * within >= sum(len(x.text) for x in lines):
+        return [x.plain + surge if x.inside and x.text else 0 for x in lines]
+    return [x.plain for x in lines]
+
+
+def _boilerplate(name: str, attributes: str, inside: int) -> str:
+    """``comments`` for an element of reader comments, ``other`` for one of other boilerplate, else empty."""
+    if attributes.strip() and name not in ("html", "body", "main", "head") and (name != "article" or inside):
+        for key, a, b, c in _ATTRIBUTE.findall(attributes):
+            if key.lower() in ("class", "id") and any(_names_comments(x) for x in html.unescape(a or b or c).lower().split()):
+                if key.lower() == "class" or (name in NAMED and not (name == "section" and inside)):
+                    return "comments"
+    return "other" if _is_boilerplate(name, attributes, inside) else ""
+
+
+def _names_comments(token: str) -> bool:
+    """Whether a class or id is of a thread of comments: made of such words, layout words and numbers only."""
+    parts = [x for x in _PARTS.split(token) if x]
+    return not COMMENTS.isdisjoint(parts) and all(x in COMMENTS or x in LAYOUT or x.isdigit() for x in parts)
+
+
 def _is_boilerplate(name: str, attributes: str, inside: int) -> bool:
     if name in BOILERPLATE or (name == "header" and not inside):
         return True
@@ -232,34 +291,32 @@ def _end_of(page: str, name: str, at: int) -> int | None:
     return None
 
 
-def stretches(lines: list[str], window: int = WINDOW) -> list[list[str]]:
-    """Lines from each surge to the next dive: where windows of ``window`` lines hold text without a break."""
-    sizes = [len(x) for x in lines] + [0] * window
-    dense = [sum(sizes[i : i + window]) for i in range(len(lines))]
+def windows(weights: list[int], window: int = WINDOW) -> list[int]:
+    """For each line the weight of the window that begins there."""
+    upto = [0, *accumulate(weights)]
+    return [upto[min(i + window, len(weights))] - upto[i] for i in range(len(weights))]
+
+
+def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """First and end of the lines from each surge to the next dive: where windows have weight without a break."""
+    dense = windows(weights, window)
     found = []
-    for filled, group in groupby(range(len(lines)), key=lambda i: dense[i] > 0):
+    for filled, group in groupby(range(len(weights)), key=lambda i: dense[i] > 0):
         if filled:
-            own = [lines[i] for i in group]
-            found.append([x for x in own if x])
+            places = list(group)
+            found.append((places[0], places[-1] + 1))
     return found
 
 
-def densest(lines: list[str], window: int = WINDOW) -> int:
-    sizes = [len(x) for x in lines]
-    return max(sum(sizes[i : i + window]) for i in range(len(sizes)))
-
-
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page: its blocks in page order, joined by a space."""
-    weights = Weights(page)
-    lines = lines_of(page, weights)
-    if weights.has_article:
-        return " ".join(x for x in lines if x)
-    found = stretches(lines, window)
-    kept = [s for s in found if densest(s, window) >= surge]
+    lines = lines_of(page, Weights(page))
+    weights = weighed(lines, surge)
+    found = [(max(windows(weights[a:b], window)), sum(weights[a:b]), a, b) for a, b in stretches(weights, window)]
+    kept = [x for x in found if x[0] >= surge]
     if not kept and found:
-        kept = [max(found, key=lambda s: sum(map(len, s)))]
-    return " ".join(line for s in kept for line in s)
+        kept = [max(found, key=lambda x: x[1])]
+    return " ".join(lines[i].text for _, _, a, b in kept for i in range(a, b) if weights[i])
 
 
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint"
