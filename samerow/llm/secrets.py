@@ -49,8 +49,14 @@ BASE = (
 )
 # Formats of well-known keys and credentials.
 MORE = (
-    # The whole key, up to the END line of the same label, or to the end of the text.
-    Rule("private_key", r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----[\s\S]*?(?:-----END \1-----|\Z)"),
+    # The whole key: its head, and what keys are made of, white space (also spelled out), headers, long runs of base64,
+    # then either short rests of it and the END line of the same label, or one such rest that is a whole line.
+    Rule(
+        "private_key",
+        r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----"
+        r"(?:(?:\s|\\[nrt])++(?:[A-Z][A-Za-z0-9-]*:\x20[^\n\\]*+|[A-Za-z0-9+/=]{24,}+))*+"
+        r"(?:(?:(?:\s|\\[nrt])++[A-Za-z0-9+/=]{1,23}+){0,3}+(?:\s|\\[nrt])*+-----END \1-----|\s++[A-Za-z0-9+/=]{1,23}+(?=[\x20\t\r]*+(?:\n|\Z)))?+",
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -85,9 +91,8 @@ def trigrams(text: str) -> Formula:
 def formula(pattern: str, fold: bool = False) -> Formula:
     """Trigrams that any text matching ``pattern`` must hold.
 
-    A run of literal characters asks for all its trigrams. A choice asks for those of one of its branches. What
-    may be absent or is one of several characters ends a run, except a choice of few literals, whose branches
-    are each joined with the literal before.
+    A run of literal characters asks for all its trigrams. A choice asks for those of one of its branches, each by
+    itself. A choice, what may be absent, and one of several characters end a run.
     """
     return _formula(parser.parse(pattern, re.ASCII | (re.IGNORECASE if fold else 0)))
 
