@@ -44,45 +44,63 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-# Votes of the seven rules on the measures: conditions for bad and for good.
+# Votes of the six rules on the measures: conditions for very bad, bad and good.
 _VOTES = [
-    ("10 * n_symbols > n_words", "20 * n_symbols <= n_words"),
-    ("word_chars < 3 * n_words OR word_chars > 10 * n_words", "2 * word_chars >= 7 * n_words AND word_chars <= 8 * n_words"),
-    ("5 * n_dup_lines > 2 * n_lines", "10 * n_dup_lines <= n_lines"),
-    ("5 * n_repeat_words > 2 * n_words", "10 * n_repeat_words <= n_words"),
-    ("5 * n_capitals > 2 * word_chars", "5 * n_capitals <= word_chars"),
-    ("10 * n_shouts > n_words", "50 * n_shouts <= n_words"),
-    ("n_words > 100000", "n_words >= 100"),
+    ("4 * n_symbols > n_words", "10 * n_symbols > n_words", "20 * n_symbols <= n_words"),
+    (
+        "word_chars < 2 * n_words OR word_chars > 15 * n_words",
+        "word_chars < 3 * n_words OR word_chars > 10 * n_words",
+        "2 * word_chars >= 7 * n_words AND word_chars <= 8 * n_words",
+    ),
+    ("5 * n_dup_lines > 3 * n_lines", "5 * n_dup_lines > 2 * n_lines", "10 * n_dup_lines <= n_lines"),
+    ("5 * n_repeat_words > 3 * n_words", "5 * n_repeat_words > 2 * n_words", "10 * n_repeat_words <= n_words"),
+    ("5 * n_capitals > 3 * word_chars", "5 * n_capitals > 2 * word_chars", "5 * n_capitals <= word_chars"),
+    ("10 * n_shouts > 3 * n_words", "10 * n_shouts > n_words", "50 * n_shouts <= n_words"),
 ]
 
 
-def op5(rounds: int = 20) -> str:
-    """Measures by unnesting words, and one CTE for each round of expectation-maximisation."""
+def op5(rounds: int = 30) -> str:
+    """Measures by unnesting words, and one CTE for each round of expectation-maximisation.
+
+    ``s0`` to ``s6`` are the shares of good texts and of those bad by each rule; ``a`` and ``c`` are how often a rule votes bad
+    on good texts and on texts that are bad by another rule.
+    """
     m = len(_VOTES)
     rules, classes = range(m), range(m + 1)
-    votes = ",\n    ".join(f"CASE WHEN {b} THEN -1 WHEN {g} THEN 1 ELSE 0 END AS v{j}" for j, (b, g) in enumerate(_VOTES))
+    votes = ",\n    ".join(
+        f"CASE WHEN {x} THEN -2 WHEN {b} THEN -1 WHEN {g} THEN 1 ELSE 0 END AS v{j}" for j, (x, b, g) in enumerate(_VOTES)
+    )
     columns = ", ".join(f"v{j}" for j in rules)
 
-    def joint(c: int) -> str:
-        return f"s{c}" + "".join(f" * CASE WHEN v{j} < 0 THEN r{c}_{j} WHEN v{j} > 0 THEN 1 - r{c}_{j} ELSE 1 END" for j in rules)
+    def vote(c: int, j: int) -> str:
+        if c == j + 1:
+            good, bad, very = "0.1::DOUBLE", "0.4::DOUBLE", "0.5::DOUBLE"
+        elif c == 0:
+            good, bad, very = f"(1 - a{j})", f"(a{j} * 0.95::DOUBLE)", f"(a{j} * 0.05::DOUBLE)"
+        else:
+            good, bad, very = f"(1 - c{j})", f"(c{j} * 0.4::DOUBLE / 0.9)", f"(c{j} * 0.5::DOUBLE / 0.9)"
+        return f"CASE v{j} WHEN 1 THEN {good} WHEN -1 THEN {bad} WHEN -2 THEN {very} ELSE 1 END"
 
-    def first(c: int, j: int) -> str:
-        return "0.002::DOUBLE" if c == 0 else "0.9::DOUBLE" if j == c - 1 else "0.05::DOUBLE"
+    def joint(c: int) -> str:
+        return f"s{c}" + "".join(f" * {vote(c, j)}" for j in rules)
 
+    # Beliefs before the first round; later they count as 50 texts.
     shares = ["0.8::DOUBLE", *[f"(0.2::DOUBLE / {m})"] * m]
-    start = ", ".join([*[f"{shares[c]} AS s{c}" for c in classes], *[f"{first(c, j)} AS r{c}_{j}" for c in classes for j in rules]])
+    rates = [*[(f"a{j}", "0.002::DOUBLE", "w0", j) for j in rules]]
+    for j in rules:
+        others = " + ".join(f"w{c}" for c in classes if c not in (0, j + 1))
+        rates.append((f"c{j}", "0.05::DOUBLE", f"({others})", j))
+    start = ", ".join([*[f"{shares[c]} AS s{c}" for c in classes], *[f"{belief} AS {name}" for name, belief, _, _ in rates]])
     steps = [f"model0 AS MATERIALIZED (SELECT {start})"]
     for k in range(rounds):
         joints = ", ".join(f"{joint(c)} AS j{c}" for c in classes)
         total = " + ".join(f"j{c}" for c in classes)
         weights = ", ".join(f"n * j{c} / ({total}) AS w{c}" for c in classes)
-        out = [f"(coalesce(sum(w{c}), 0) + {shares[c]}) / (coalesce(sum(n), 0) + 1) AS s{c}" for c in classes]
-        for c in classes:
-            extra = "(1 + coalesce(sum(n), 0))" if c == 0 else "1"
-            for j in rules:
-                bad = f"coalesce(sum(w{c}) FILTER (WHERE v{j} < 0), 0)"
-                cast = f"coalesce(sum(w{c}) FILTER (WHERE v{j} <> 0), 0)"
-                out.append(f"({bad} + {extra} * {first(c, j)}) / ({cast} + {extra}) AS r{c}_{j}")
+        out = [f"(coalesce(sum(w{c}), 0) + 50 * {shares[c]}) / (coalesce(sum(n), 0) + 50) AS s{c}" for c in classes]
+        for name, belief, weight, j in rates:
+            bad = f"coalesce(sum({weight}) FILTER (WHERE v{j} < 0), 0)"
+            cast = f"coalesce(sum({weight}) FILTER (WHERE v{j} <> 0), 0)"
+            out.append(f"({bad} + 50 * {belief}) / ({cast} + 50) AS {name}")
         steps.append(
             f"model{k + 1} AS MATERIALIZED (SELECT {', '.join(out)} FROM (SELECT *, {weights} FROM"
             f" (SELECT {columns}, n, {joints} FROM patterns, model{k})))"

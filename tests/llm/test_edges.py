@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from samerow.llm import binary_output, bpe_fragments, chat, exact_dedup, html_lines, jaccard, packing, quality, secrets, sharding
@@ -197,6 +198,42 @@ def test_html_words_of_boilerplate_in_the_article(page, text):
     assert html_lines.main_text(page) == text
 
 
+THREAD = "<div>" + "thread of comments by readers " * 40 + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div id=story>{LOREM * 3}</div><article class=card><h3>Other news</h3></article>", " ".join([SAID] * 3)),
+        (f"<article><p>short text</p><section class='comments'>{THREAD}</section></article>", "short text"),
+        (f"<div><p>short text</p></div><section class='comments'>{THREAD}</section>", "short text"),
+        (f"<article>{LOREM}<article class='comment'>{THREAD}</article></article>", SAID),
+        (f"<article>{LOREM}</article><div class='related'>{THREAD}</div>", SAID),
+        (f"{LOREM}<nav>n</nav><div>The end.</div>", f"{SAID} The end."),
+        (f"{LOREM}<div class=ad>a</div><div class=ad>b</div><div class=ad>c</div><div>The end.</div>", f"{SAID} The end."),
+        ("<p>a &<b>lt</b>; b &lt; c</p>", "a &lt; b < c"),
+        ("<ul>" + "<li><a href=x>Menu item</a></li>" * 30 + f"</ul><header>h</header>{LOREM}", SAID),
+        (f"<article>{LOREM}<p><a href=x>All of it is a link</a></p>{LOREM}</article>", f"{SAID} All of it is a link {SAID}"),
+        (f"{LOREM}<p><a href=x>All of it is a link</a></p>{LOREM}", f"{SAID} All of it is a link {SAID}"),
+    ],
+)
+def test_html_by_windows(page, text):
+    assert html_lines.main_text(page) == text
+
+
+def test_html_windows_decide_on_every_page(monkeypatch):
+    pages = [f"<article>{LOREM}</article>", f"<main>{LOREM}</main>", LOREM]
+    assert [html_lines.main_text(p) for p in pages] == [SAID] * 3
+    monkeypatch.setattr(html_lines, "windows", lambda weights, window=3: [0] * len(weights))
+    assert [html_lines.main_text(p) for p in pages] == [""] * 3
+
+
+def test_html_surges_and_dives():
+    weights = [0, 0, 0, 5, 0, 0, 7, 0, 0, 0, 0, 9, 0]
+    assert html_lines.windows(weights) == [0, 5, 5, 5, 7, 7, 7, 0, 0, 9, 9, 9, 0]
+    assert html_lines.stretches(weights) == [(1, 7), (9, 12)]
+
+
 def test_quality(spark, docs, nothing):
     rows = quality.judge(docs, carry=docs.columns).collect()
     names = list(brute.measures(""))
@@ -217,11 +254,45 @@ def test_repeated_words_equal_brute_force(spark):
     assert got == {i: brute.measures(t)["n_repeat_words"] for i, t in enumerate(texts)}
 
 
-def test_quality_rules_are_learned_apart():
-    model = quality.start()
+def lone_votes(share, bad, very_bad, n=100_000):
+    """Is a text good that the fifth rule alone votes bad, or very bad, if this is all it votes on?"""
+    fires = int(share * n)
+    patterns = [((1,) * 6, n - fires)]
+    patterns += [((1, 1, 1, 1, v, 1), int(fires * part)) for v, part in ((-1, bad), (-2, very_bad)) if part]
+    model = quality.estimate(patterns)
     assert abs(sum(model.share) - 1) < 1e-9
-    bad = model.joint([-1, 1, 1, 1, 1, 1, 1])
-    assert bad[0] < sum(bad[1:])
+    joints = [model.joint((1, 1, 1, 1, v, 1)) for v in (-1, -2, 1)]
+    return [j[0] / sum(j) > 0.5 for j in joints]
+
+
+@pytest.mark.parametrize("share", [0.001, 0.01, 0.1])
+def test_quality_trusts_reliable_rules_and_overrules_noisy_ones(share):
+    assert lone_votes(share, 0.5, 0.5) == [False, False, True]
+    assert lone_votes(share, 0.1, 0.9) == [False, False, True]
+    # Hardly ever very bad: false alarms. In between only the very bad ones count.
+    assert lone_votes(share, 0.99, 0.01)[0] and lone_votes(share, 1.0, 0)[0]
+    assert lone_votes(share, 0.8, 0.2) == [True, False, True]
+
+
+def test_quality_of_bad_votes_together():
+    """Two bad votes agree: bad, even if both rules are noisy alone."""
+    noisy = [((1,) * 6, 80_000), ((-1, 1, 1, 1, 1, 1), 8_000), ((1, 1, 1, 1, 1, -1), 8_000), ((-2, -1, 1, 1, 1, 1), 500), ((-1, 1, 1, 1, 1, -2), 500)]
+    model = quality.estimate(noisy)
+    good = lambda v: (lambda j: j[0] / sum(j))(model.joint(v))
+    assert good((-1, 1, 1, 1, 1, 1)) > 0.5 and good((1, 1, 1, 1, 1, -1)) > 0.5 and good((-2, -1, 1, 1, 1, 1)) < 0.5
+    assert quality.estimate([]).share == pytest.approx(quality.start().share)
+
+
+@pytest.mark.parametrize("every", [10, 1000])
+def test_quality_verdicts_do_not_depend_on_how_common_junk_is(spark, every):
+    """Every so many texts one in capitals throughout; as many clean ones with some capitals."""
+    frame = spark.range(0, 20_000, 1, 4).selectExpr("id as doc_id", f"{WORDS_60} as text")
+    some = "concat(upper(substring(text, 1, 150)), substring(text, 151))"
+    kind = f"case doc_id % {every} when 0 then upper(text) when 1 then {some} else text end"
+    path = scratch_dir(spark)
+    frame.selectExpr("doc_id", f"{kind} as text").write.parquet(path)
+    rows = quality.judge(spark.read.parquet(path)).select("doc.doc_id", "kept").collect()
+    assert {r["doc_id"] for r in rows if not r["kept"]} == set(range(0, 20_000, every))
 
 
 WORDS_60 = "array_join(transform(sequence(1, 60), i -> concat('ab', lower(conv(100000 + id * 60 + i, 10, 36)))), ' ')"
@@ -387,9 +458,28 @@ def test_private_keys_are_redacted_whole(spark, label):
     texts = [f"before\n{key}\nbetween\n{key}\nafter", f"before\n{cut}", key.replace("\n", "\\n"), f"-----BEGIN CERTIFICATE-----\n{body[0][:9]}"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     clean = [r["text"] for r in secrets.redacted(frame).orderBy("doc_id").collect()]
-    assert clean == ["before\n[SECRET]\nbetween\n[SECRET]\nafter", "before\n[SECRET]", "[SECRET]", texts[3]]
+    assert clean == ["before\n[SECRET]\nbetween\n[SECRET]\nafter", "before\n[SECRET]\n", "[SECRET]", texts[3]]
     whole = {r["doc_id"]: r["spans"].split(",") for r in secrets.scan(frame).collect()}
-    assert f"private_key:7:{7 + len(key)}" in whole[0] and f"private_key:7:{len(texts[1])}" in whole[1]
+    assert f"private_key:7:{7 + len(key)}" in whole[0] and f"private_key:7:{len(texts[1]) - 1}" in whole[1]
+
+
+def test_a_head_of_a_private_key_takes_no_prose(spark):
+    body = "\n".join("QUJD" * 16 for _ in range(3))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        f"A key starts with {head} and then come many words of prose, which stay.",
+        f"{head}\n{body}\nQUI=\nThis is how it looks.",
+        f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\nQUI=\n{end}\nafter",
+        f"{head}\n{body}\n-----END OTHER PRIVATE KEY-----\nafter",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n{body}\nQUI=\n=njUN\n-----END PGP PRIVATE KEY BLOCK-----",
+        head * 300,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r["text"] for r in secrets.redacted(frame).orderBy("doc_id").collect()]
+    assert clean[0] == "A key starts with [SECRET] and then come many words of prose, which stay."
+    assert clean[1] == "[SECRET]\nThis is how it looks."
+    assert clean[2:5] == ["[SECRET]\nafter", "[SECRET]\n-----END OTHER PRIVATE KEY-----\nafter", "[SECRET]"]
+    assert clean[5] == "[SECRET]"  # one after the other, they are one finding
 
 
 @pytest.mark.parametrize("pattern", [r.pattern for r in (*secrets.BASE, *secrets.MORE)] + ["ab(cd|ef)+g", "(abc)?def", "x{3}abc|d.e", "[ab]cde"])
@@ -442,3 +532,57 @@ def test_near_duplicates_equal_all_pairs(spark, n, part):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute.component_ids(rows, n, part)
 
 
+
+
+# ---- memory of the encoders -----------------------------------------------------------------------------
+
+
+def unspaced(rng, n):
+    return "".join(rng.choice("的一是不了人我在有他abc") for _ in range(n))
+
+
+def test_words_are_remembered_within_bounds():
+    """Ten times the bound in texts without spaces, and in short words, leave the memory at its bound."""
+    import random
+
+    from samerow.llm.tokens import Memory
+
+    rng = random.Random(3)
+    seen = []
+
+    def encode(words):
+        seen.extend(words)
+        return [w.encode("utf-32-le") for w in words]
+
+    memory = Memory(encode, 200_000)
+    for _ in range(40):
+        words = [unspaced(rng, 5000) for _ in range(10)] + [unspaced(rng, rng.randint(1, 9)) for _ in range(3000)]
+        words += words[:5]
+        pool, start, count = memory.find(words)
+        for w, a, n in zip(words, start.tolist(), count.tolist()):
+            assert pool[a : a + n].tobytes() == w.encode("utf-32-le")
+        assert memory.held() < 400_000 and 4 * len(memory.pool) < 3_000_000
+    memory = Memory(encode, 200_000)
+    memory.find(words)
+    again = len(seen)
+    memory.find([w for w in words if len(w) < 10])
+    assert len(seen) == again  # short words are known
+
+
+def test_merging_a_long_word_equals_the_library():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe_fragments.fragment_bpe(path)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (1, 7, 300, 4000)] + ["a" * 999, "ab" * 500, unspaced(rng, 700)]
+    library.no_truncation()
+    for text in texts:
+        assert np.frombuffer(own._pieces([text])[0], np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    begin = time.process_time()
+    own._pieces(["e" * 60_000])
+    assert time.process_time() - begin < 5

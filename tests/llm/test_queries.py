@@ -184,7 +184,7 @@ def test_pipeline(spark, documents, byte_ids):
 
     assert [n for n, _ in corpus_pipeline.STAGES] and 4 <= len(corpus_pipeline.STAGES) <= 5
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = {r["doc_id"] for r in judge(docs).filter("kept").select("doc.doc_id").collect()}
+    good = {r["doc_id"] for r in judge(docs).filter("sound and n_words > 0").select("doc.doc_id").collect()}
     last = {}
     for doc in sorted(good):
         last[documents[doc]] = doc
