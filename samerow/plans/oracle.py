@@ -174,6 +174,7 @@ kept AS (
         "dup_report_orders": f"{orders}, {ENTRIES} {_REPORT}",
         "dup_report_events_day": _event_report("%Y-%m-%d"),
         "dup_report_events_month": _event_report("%Y-%m"),
+        "state_report": f"{folder}, {COUNTS} SELECT key, scope, n_rows, file, n FROM dups JOIN counts USING (key)",
         "report_by_prefix": f"{docs}, {ENTRIES} SELECT DISTINCT prefix, file FROM entries",
         "union_scopes": f"{docs}, {COUNTS} SELECT key, n_files, n_rows, scope FROM dups",
         "dup_summary": f"""{docs}, {COUNTS} SELECT count(*) AS n_keys,

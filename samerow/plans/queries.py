@@ -45,7 +45,9 @@ from samerow.operators import (
 )
 from samerow.operators.dedupe import CROSS_DELETED, KEPT
 from samerow.operators.wide import dedupe_wide, wide_entries
-from samerow.session import configure, input_size, save, scratch_dir
+from samerow.plans.jobs import Options
+from samerow.plans.state import KeyState
+from samerow.session import configure, input_size, save, scratch_dir, shuffle_partitions
 from samerow.sources import (
     LINE_SUFFIXES,
     chunked,
@@ -546,5 +548,17 @@ def q_rewrite_files(spark, sf):
     return line_numbers(read_rewritten(spark, out)).select("file", "line_no", "value")
 
 
+def q_state_report(spark, sf):
+    """The files of some sources are added first and all others later, which reads only these."""
+    folder = document_folder(spark, sf)
+    options = Options(pattern="*.txt", recursive=True, **TEXT_ARGS)
+    state = KeyState(spark, scratch_dir(spark), options, buckets=shuffle_partitions(spark))
+    for source in ("name=src0-0", "name=src1-0", ""):
+        state.add(f"{folder}/{source}")
+    found = state.entries()
+    # Spark picks the file names, so the first file of a key, whose prefix is shown, is any.
+    return _named(found).select("key", "scope", "n_rows", "file", "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
