@@ -12,6 +12,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from samerow.llm.tasks import map_batches, slices, text_column
-from samerow.llm.tokens import Memory, join_pieces, visible_bytes
+from samerow.llm.tokens import LONGEST, Memory, join_pieces, visible_bytes
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string"
 _FINAL_SIGMA = "Σ"
+# Bytes of fragments that a Python worker remembers.
+FRAGMENT_BYTES = 32 << 20
 
 
 class FragmentBpe:
@@ -60,6 +63,7 @@ class FragmentBpe:
         self.tokens = {i: t for t, i in {**self.ids, **special}.items()}
         self.neighbours = self._neighbours()
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.held = 0  # bytes of the fragments remembered
         self.memory = Memory(self._pieces)
         self.token_text = np.array([self.tokens.get(i, "") for i in range(max(self.tokens) + 1)], dtype=object)
 
@@ -85,25 +89,31 @@ class FragmentBpe:
         return out
 
     def _merge(self, fragment: str, at_end: bool) -> tuple[int, ...]:
-        parts = list(fragment)
+        """Merge the pair of lowest rank, the leftmost of equal ones, until none is left to merge.
+
+        The parts are a linked list and the pairs a heap, so a fragment of n symbols takes n log n steps. A heap
+        entry counts only if both its parts still stand as they did.
+        """
+        parts: list[str | None] = list(fragment)
         if at_end:
             parts[-1] += self.end
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: ranks.get((parts[i], parts[i + 1]), 1 << 60))
-            pair = (parts[best], parts[best + 1])
-            if pair not in ranks:
-                break
-            merged, out, i = pair[0] + pair[1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-                    out.append(merged)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return tuple(self.ids[p] for p in parts)
+        ranks, n = self.ranks, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        heapify(heap)
+        while heap:
+            _, i, (left, right) = heappop(heap)
+            j = after[i]
+            if j >= n or parts[i] != left or parts[j] != right:
+                continue
+            parts[i], parts[j] = left + right, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (pair := (parts[a], parts[b])) in ranks:
+                    heappush(heap, (ranks[pair], a, pair))
+        return tuple(self.ids[p] for p in parts if p is not None)
 
     def word(self, word: str) -> list[int]:
         """Ids of a word in the byte alphabet."""
@@ -111,9 +121,13 @@ class FragmentBpe:
         known = self.fragments
         for fragment in self.fragments_of(word):
             if (ids := known.get(fragment)) is None:
-                if len(known) > 400_000:
-                    known.clear()
-                ids = known[fragment] = self._merge(*fragment)
+                ids = self._merge(*fragment)
+                if len(fragment[0]) <= LONGEST:
+                    self.held += 300 + 40 * len(ids)  # with what Python adds
+                    if self.held > FRAGMENT_BYTES:
+                        known.clear()
+                        self.held = 0
+                    known[fragment] = ids
             out += ids
         return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterator
 
@@ -11,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import samerow
 
-# Text handled at once in a task; bounds memory whatever the number of rows in a batch.
-SLICE_BYTES = 8 << 20
+# Text handled at once in a task; bounds memory whatever the number of rows in a batch. The arrays that numpy makes of
+# a slice take some 30 times its bytes.
+SLICE_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,7 +32,23 @@ def ship(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a Python worker for later tasks, which may need less."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:

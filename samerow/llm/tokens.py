@@ -16,9 +16,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-# Words remembered by a Python worker, in two generations of half that size.
-REMEMBERED = 1_200_000
+# Bytes that a Python worker remembers of words and their ids; then it starts again. Longer words, in characters, are
+# not remembered at all.
+REMEMBERED = 48 << 20
+LONGEST = 64
 _BLANK = r"[\x00-\x20\x7f-\x{a0}\x{180e}\x{200b}-\x{200d}\x{feff}\p{Z}]"
 _UNSAFE = f"{_BLANK} ({_BLANK}|$)"
 
@@ -37,29 +40,62 @@ _SPACE = chr(_VISIBLE[0x20])
 
 
 class Memory:
-    """A bounded dictionary: when the younger half is full, it becomes the older one, which is forgotten."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = REMEMBERED):
-        self.encode, self.half = encode, size // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        found = [young.get(w) for w in words]
-        missing = [i for i, x in enumerate(found) if x is None]
-        new = []
-        for i in missing:
-            if (x := old.get(words[i])) is None:
-                new.append(i)
-            else:
-                found[i] = young[words[i]] = x
-        if new:
-            for i, x in zip(new, self.encode([words[i] for i in new])):
-                found[i] = young[words[i]] = x
-        if len(young) > self.half:
-            self.young, self.old = {}, young
-        return found
+    """The ids of words seen before, in a few arrays: 24 bytes a word and four for each of its ids.
+
+    A word is known by 128 bits of its hash, of which the first 64 are sorted and searched.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int | None = None):
+        self.encode, self.size = encode, size or REMEMBERED
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def held(self) -> int:
+        return 24 * len(self.key) + 4 * self.used
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and for each word where its own begin in it and how many they are. Valid until the next call."""
+        if self.held() > self.size:
+            self._forget()
+        digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), np.uint64).reshape(-1, 2)
+        key, check = np.ascontiguousarray(digests[:, 0]), digests[:, 1]
+        at = np.searchsorted(self.key, key)
+        inside = np.minimum(at, max(len(self.key) - 1, 0))
+        known = (self.key[inside] == key) & (self.check[inside] == check) if len(self.key) else np.zeros(len(key), bool)
+        start, count = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        start[known], count[known] = self.start[inside[known]], self.count[inside[known]]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            self._learn(words, missing, key, check, start, count)
+        return self.pool, start, count
+
+    def _learn(self, words: list[str], missing: np.ndarray, key, check, start, count) -> None:
+        ids = self.encode([words[i] for i in missing.tolist()])
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        short = np.fromiter((len(words[i]) <= LONGEST for i in missing.tolist()), bool, len(ids))
+        # Long words go last, where the next call overwrites them.
+        order = np.argsort(~short, kind="stable")
+        joined = np.frombuffer(b"".join([ids[i] for i in order.tolist()]), np.uint32)
+        if self.used + len(joined) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + 2 * len(joined), np.uint32)])
+        self.pool[self.used : self.used + len(joined)] = joined
+        first = np.zeros(len(n), np.int64)
+        first[order] = self.used + np.cumsum(n[order]) - n[order]
+        start[missing], count[missing] = first, n
+        keep = missing[short]
+        _, one = np.unique(key[keep], return_index=True)  # sorted, and each word once
+        keep = keep[one]
+        place = np.searchsorted(self.key, key[keep])
+        fresh = (place == len(self.key)) | (self.key[np.minimum(place, max(len(self.key) - 1, 0))] != key[keep]) if len(self.key) else np.ones(len(keep), bool)
+        keep, place = keep[fresh], place[fresh]
+        self.key, self.check = np.insert(self.key, place, key[keep]), np.insert(self.check, place, check[keep])
+        self.start = np.insert(self.start, place, start[keep].astype(np.int32))
+        self.count = np.insert(self.count, place, count[keep].astype(np.int32))
+        self.used += int(n[short].sum())
 
 
 def join_pieces(texts: pa.Array, memory: Memory, space: str) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +116,7 @@ def join_pieces(texts: pa.Array, memory: Memory, space: str) -> tuple[np.ndarray
         firsts = flat.take(pa.array(offsets[:-1])).to_pylist()
         index[offsets[:-1]] = len(words) + np.arange(len(firsts))
         words = [space + w for w in words] + firsts
-    ids = memory.get(words)
-    word_n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    word_start = np.cumsum(word_n) - word_n
-    pool = np.frombuffer(b"".join(ids), np.uint32)
+    pool, word_start, word_n = memory.find(words)
     piece_n = word_n[index]
     ends = np.cumsum(piece_n)
     total = int(ends[-1])
