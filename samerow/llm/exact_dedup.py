@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from samerow.operators.bitmaps import without, words
 from samerow.session import pin_splits, save, shuffle_partitions
 
 FAN_IN = 16
@@ -95,10 +96,11 @@ def exact_dedup(
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the positions in ``dropped`` (``row``), as counted by ``digests`` on the same frame.
 
-    ``docs`` must be a stored table, whose rows keep their positions from scan to scan.
+    ``docs`` must be a stored table, whose rows keep their positions from scan to scan. The positions go to the tasks
+    that read the rows as a bitmap, so no row is moved. Columns of ``docs`` keep their names, whatever they are.
     """
-    return (
-        docs.withColumn("_row", F.monotonically_increasing_id())
-        .join(dropped.select(F.col("row").alias("_row")), "_row", "left_anti")
-        .drop("_row")
-    )
+    place = "row"
+    while place in docs.columns:
+        place += "_"
+    placed = docs.select("*", F.monotonically_increasing_id().alias(place))
+    return without(placed, words(dropped.select("row"), "row"), place).select(*docs.columns)
