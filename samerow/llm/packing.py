@@ -5,14 +5,16 @@ a sequence each; all others are packed by their lengths. Only the number of piec
 of fewer rows than a sequence has tokens, so the search runs on that table however many documents there are:
 the largest length left is completed by an undominated filling, and that pattern is used as often as the
 counts allow. Waste beyond what the best solution so far could save cuts a branch off; best-fit decreasing
-gives the first solution. Each piece then finds its sequence by its rank among the pieces of its length.
+gives the first solution, and later branches begin where sequences of the best one are not full. Each piece then finds its sequence by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,90 +26,116 @@ from samerow.llm.tokens import byte_encoder, with_end
 from samerow.session import save
 
 SEQUENCE = 1024
-# Patterns tried before the search settles for the best solution found, and steps to list the fillings of one
-# sequence. They bound effort, never what is packed.
-NODES, FILLINGS = 3_000, 60
+# Rounds in which a part of the solution is packed anew, the part of its full sequences that is, and how often a
+# level leaves its first filling for one of the next few. They bound effort, never what is packed.
+ROUNDS, PART, STRAY, NEXT = 100, 0.05, 0.1, 3
+# Steps to list the fillings of one sequence.
+STEPS = 20_000
 
 PIECES = (
     "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint, rank bigint, ids array<int>"
 )
 
 
-def fillings(room: int, counts: list[int], top: int, limit: int) -> Iterator[tuple[int, list[int]]]:
-    """Undominated fillings of ``room`` with available lengths up to ``top``: ``(waste, lengths)``, best first.
+def sums(lengths: list[int], room: int) -> int:
+    """Bit r is set if some lengths, each as often as one likes, add up to r."""
+    reach, every = 1, (1 << (room + 1)) - 1
+    for x in lengths:
+        step = x
+        while step <= room and (more := (reach | reach << step) & every) != reach:
+            reach, step = more, 2 * step
+    return reach
 
-    One length that fits dominates all smaller single ones, and a filling is dominated when one of its lengths,
-    or two of them together, could be replaced by an available length that is larger and still fits.
+
+def exact(target: int, lengths: list[int], counts: list[int], reach: int, effort: list[int]) -> Iterator[list[int]]:
+    """All choices of ``lengths``, in that order of preference, that add up to ``target``, one after the other.
+
+    ``effort`` holds the steps left; without any the listing ends.
     """
-    best: list[tuple[int, int, list[int]]] = []
-    looked = 0
-
-    def largest(most: int) -> int:
-        while most > 0 and not counts[most]:
-            most -= 1
-        return most
-
-    def grow(left: int, most: int, chosen: list[int]) -> bool:
-        nonlocal looked
-        size = largest(min(left, most))
-        if not size:
-            # No length fits below ``most``; a larger one that fits makes this filling dominated.
-            over = largest(min(left, top))
-            if not over and not dominated(left, chosen):
-                best.append((left, len(chosen), list(chosen)))
-            return left == 0
-        while size:
-            looked += 1
-            counts[size] -= 1
-            chosen.append(size)
-            full = grow(left - size, size, chosen)
-            chosen.pop()
-            counts[size] += 1
-            if full or looked >= limit:
-                return full
-            size = largest(size - 1)
-        return False
-
-    def dominated(waste: int, chosen: list[int]) -> bool:
-        used = Counter(chosen)
-        for i, a in enumerate(chosen):
-            if any(counts[x] and x not in used for x in range(a + 1, min(a + waste, top) + 1)):
-                return True
-            for b in chosen[i + 1 :]:
-                if any(counts[x] for x in range(a + b, min(a + b + waste, top) + 1)):
-                    return True
-        return False
-
-    grow(room, top, [])
-    seen = set()
-    for waste, _, chosen in sorted(best):
-        if tuple(chosen) not in seen:
-            seen.add(tuple(chosen))
-            yield waste, chosen
+    for i, a in enumerate(lengths):
+        for k in range(min(counts[a], target // a), 0, -1):
+            rest = target - k * a
+            effort[0] -= 1
+            if effort[0] < 0:
+                return
+            if not rest:
+                yield [a] * k
+            elif reach >> rest & 1:
+                for tail in exact(rest, lengths[i + 1 :], counts, reach, effort):
+                    yield [a] * k + tail
+
+
+def fillings(room: int, counts: list[int], top: int, small_first: bool = False) -> Iterator[tuple[int, list[int]]]:
+    """All undominated fillings of ``room`` with available lengths up to ``top``: ``(waste, lengths)``, least waste first.
+
+    They are listed as they are asked for. A filling is dominated when one of its lengths, or two of them together,
+    could be replaced by an available length that is larger and still fits, or when one more would fit. After
+    ``STEPS`` steps the listing ends with the filling of the largest lengths that fit.
+    """
+    top = min(top, room)
+    lengths = [x for x in range(1, top + 1) if counts[x]]
+    if not lengths:
+        yield room, []
+        return
+    reach, effort = sums(lengths, room), [STEPS]
+    ordered = lengths if small_first else lengths[::-1]
+    for waste in range(room - lengths[0] + 1):
+        if reach >> (room - waste) & 1:
+            for chosen in exact(room - waste, ordered, counts, reach, effort):
+                if not waste or not _dominated(waste, chosen, counts, top):
+                    yield waste, chosen
+        if effort[0] < 0:
+            break
+    greedy, left = [], room
+    for x in reversed(lengths):
+        k = min(counts[x], left // x)
+        greedy += [x] * k
+        left -= k * x
+    yield left, greedy
+
+
+def _dominated(waste: int, chosen: list[int], counts: list[int], top: int) -> bool:
+    used = Counter(chosen)
+
+    def spare(first: int, end: int) -> bool:
+        return any(counts[x] > used[x] for x in range(first, min(end, top) + 1))
+
+    if spare(1, waste):
+        return True
+    for i, a in enumerate(chosen):
+        if spare(a + 1, a + waste) or any(spare(a + b, a + b + waste) for b in chosen[i + 1 :]):
+            return True
+    return False
 
 
 Pattern = tuple[int, tuple[int, ...]]
 
 
 def best_fit(counts: list[int], size: int) -> list[Pattern]:
-    """Best-fit decreasing on counts: ``(times, lengths)`` per pattern."""
-    left = list(counts)
-    patterns = []
-    top = size
-    while True:
-        while top and not left[top]:
-            top -= 1
-        if not top:
-            return patterns
-        chosen, room, most = [], size, top
-        while most:
-            n = min(left[most] - chosen.count(most), room // most)
-            chosen += [most] * n
-            room -= n * most
-            most = min(most - 1, room)
-            while most and not left[most]:
-                most -= 1
-        patterns.append(_use(left, chosen))
+    """Best-fit decreasing on counts: ``(times, lengths)`` per pattern.
+
+    Each piece, the largest first, goes where it leaves the least room. Bins with one content are one entry, and
+    pieces of one length fill one such bin after the other.
+    """
+    bins: dict[int, list[Pattern]] = {}  # by room left
+    for x in range(size, 0, -1):
+        n = counts[x]
+        for room in sorted(r for r in bins if r >= x):
+            found, bins[room] = bins.pop(room), []
+            for times, held in found:
+                each = room // x
+                full = min(times, n // each)
+                rest = (n - full * each) if full < times else 0
+                n -= full * each + rest
+                for t, k in ((full, each), (1 if rest else 0, rest), (times - full - (rest > 0), 0)):
+                    if t:
+                        bins.setdefault(room - k * x, []).append((t, held + (x,) * k))
+        if n:
+            each = size // x
+            for t, k in ((n // each, each), (1 if n % each else 0, n % each)):
+                if t:
+                    bins.setdefault(size - k * x, []).append((t, (x,) * k))
+    return [p for found in bins.values() for p in found]
 
 
 def _use(left: list[int], chosen: list[int]) -> Pattern:
@@ -118,62 +146,68 @@ def _use(left: list[int], chosen: list[int]) -> Pattern:
     return times, tuple(chosen)
 
 
-def complete_bins(counts: list[int], size: int, nodes: int = NODES) -> list[Pattern]:
+def dive(counts: list[int], size: int, waste: int, stray: float, small_first: bool, choose: random.Random) -> list[Pattern] | None:
+    """One way down the tree of completions, or None when more than ``waste`` is lost.
+
+    The largest length left is completed by the first undominated filling, at some levels by one of the next that
+    lose no more, and the pattern is used as often as the counts allow.
+    """
+    left, out, top = list(counts), [], size
+    while True:
+        while top and not left[top]:
+            top -= 1
+        if not top:
+            return out
+        left[top] -= 1
+        skip = choose.randint(1, NEXT) if choose.random() < stray else 0
+        best: tuple[int, list[int]] | None = None
+        for found in islice(fillings(size - top, left, top, small_first), skip + 1):
+            if best is None or found[0] <= best[0]:
+                best = found
+        left[top] += 1
+        pattern = _use(left, [top, *best[1]])
+        waste -= pattern[0] * best[0]
+        if waste < 0:
+            return None
+        out.append(pattern)
+
+
+def complete_bins(counts: list[int], size: int, rounds: int = ROUNDS) -> list[Pattern]:
     """Patterns ``(times, lengths)`` that use every counted length, in as few sequences as the search finds.
 
-    ``counts[x]`` is the number of pieces of length x. Depth-first: the largest length left is completed by each
-    undominated filling in turn. A branch ends when its waste leaves no way to beat the best solution, and the
-    search ends when that meets the bound of the total length.
+    ``counts[x]`` is the number of pieces of length x. Best-fit decreasing is the first solution, and a dive without
+    detours, which is where bin completion begins, the second. Then branches are tried where they can still gain: of
+    the best solution all sequences with waste and some full ones are taken apart, and their pieces are completed
+    anew on a path that strays at some levels. A path ends when its waste leaves no way to be as good as what it is
+    to replace, and the search when the bound of the total length is met.
     """
     total = sum(x * n for x, n in enumerate(counts))
     bound = -(-total // size)
+    choose = random.Random(1)
+
+    def used(patterns: list[Pattern]) -> int:
+        return sum(t for t, _ in patterns)
+
     best = best_fit(counts, size)
-    fewest = sum(t for t, _ in best)
-    left, patterns = list(counts), []
-    spent = 0
-    # A stack of open levels; each holds the fillings not yet tried.
-    stack: list[Iterator[tuple[int, list[int]]]] = []
-
-    def level() -> Iterator[tuple[int, list[int]]] | None:
-        top = max((x for x, n in enumerate(left) if n), default=0)
-        if not top:
-            return None
-        left[top] -= 1
-        found = list(fillings(size - top, left, min(top, size - top), FILLINGS))
-        left[top] += 1
-        return iter([(w, [top, *chosen]) for w, chosen in found[:4]])
-
-    waste = 0
-    undo: list[tuple[Pattern, int]] = []
-    stack.append(level() or iter(()))
-    while stack and fewest > bound and spent < nodes:
-        choice = next(stack[-1], None)
-        if choice is None:
-            stack.pop()
-            if undo:
-                (times, chosen), lost = undo.pop()
-                for x in chosen:
-                    left[x] += times
-                waste -= lost
-                patterns.pop()
-            continue
-        spent += 1
-        lost, chosen = choice
-        pattern = _use(left, chosen)
-        lost *= pattern[0]
-        undo.append((pattern, lost))
-        patterns.append(pattern)
-        waste += lost
-        deeper = level()
-        if deeper is None:
-            used = sum(t for t, _ in patterns)
-            if used < fewest:
-                fewest, best = used, list(patterns)
-            stack.append(iter(()))
-        elif waste > (fewest - 1) * size - total:
-            stack.append(iter(()))
-        else:
-            stack.append(deeper)
+    for stray in (0.0, 0.0, STRAY, STRAY):
+        found = dive(counts, size, used(best) * size - total, stray, stray > 0, choose)
+        if found is not None and used(found) < used(best):
+            best = found
+    fewest = used(best)
+    for _ in range(rounds):
+        if fewest <= bound:
+            break
+        apart = [sum(held) < size or choose.random() < PART for _, held in best]
+        old = [p for p, a in zip(best, apart) if a]
+        some = [0] * (size + 1)
+        for times, held in old:
+            for x in held:
+                some[x] += times
+        room = used(old) * size - sum(x * n for x, n in enumerate(some))
+        found = dive(some, size, room, STRAY, choose.random() < 0.5, choose)
+        if found is not None and used(found) <= used(old):
+            best = [p for p, a in zip(best, apart) if not a] + found
+            fewest += used(found) - used(old)
     return best
 
 
@@ -255,7 +289,7 @@ def cut_pieces(
     return save(map_batches(rows, cut, PIECES))
 
 
-def pack(pieces: DataFrame, size: int = SEQUENCE, nodes: int = NODES) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SEQUENCE, rounds: int = ROUNDS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a ``cut_pieces`` table; drops ``block`` and ``rank``."""
     counted = pieces.groupBy("length", "block").agg(F.count("*").alias("n"))
     counted = save(counted)
@@ -263,7 +297,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, nodes: int = NODES) -> DataFra
     counts = [0] * (size + 1)
     for r in lengths:
         counts[r["length"]] = r["n"]
-    rows = assignment(complete_bins(counts, size, nodes))
+    rows = assignment(complete_bins(counts, size, rounds))
     names = ["_length", "_first", "_end", "_per_bin", "_bin", "_place", "_offset"]
     columns = list(zip(*rows)) or [()] * len(names)
     intervals = pieces.sparkSession.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)}))
@@ -292,7 +326,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_ids: bool = False,
-    nodes: int = NODES,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Pack whole documents, each ended by ``end_id``, into sequences of at most ``size`` tokens.
 
@@ -301,4 +335,4 @@ def pack_documents(
     piece, its end id. Null and repeated ids are documents like others. An empty table gives an empty result.
     Other columns are not read.
     """
-    return pack(cut_pieces(docs, tokenizer_file, end_id, size, id_col, text_col, keep_ids), size, nodes)
+    return pack(cut_pieces(docs, tokenizer_file, end_id, size, id_col, text_col, keep_ids), size, rounds)
