@@ -1,4 +1,4 @@
-"""Mixing, ranked search and the conversation trie against plain models, and their edge cases."""
+"""Mixing, ranked search, the conversation trie and the ring against plain models, and their edge cases."""
 
 import hashlib
 import math
@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from samerow.llm import curriculum, prefix_trie, ranked_search
+from samerow.llm import curriculum, prefix_trie, ranked_search, sharding
 from tests.llm.brute import WORD
 
 SCHEDULES = (((0, 7.5), (1, 2.5)), ((0, 2), (1, 2)), ((0, 0.5), (1, 1.5)))
@@ -159,13 +159,6 @@ def ask(spark, docs, items, k=10, **options):
     return out
 
 
-@pytest.fixture
-def small_slices(monkeypatch):
-    """Slices of a few documents and two intervals at a time, so that all borders occur."""
-    monkeypatch.setattr(ranked_search, "SLICE_POSTINGS", 40)
-    monkeypatch.setattr(ranked_search, "LOOKUPS", 8)
-
-
 def corpus(seed, n=300):
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(60)] + ["Ähre", "ähre", "ÄHRE", "x_y", "42"]
@@ -205,6 +198,41 @@ def test_search_without_spark_splits_intervals():
         assert best.doc.tolist() == order.tolist() and best.score.tolist() == total[order].tolist()
 
 
+def test_search_over_many_small_slices(monkeypatch):
+    """What a task does, with slices of few postings and few lookups at once, so that all borders occur."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ranked_search, "SLICE_POSTINGS", 60)
+    monkeypatch.setattr(ranked_search, "LOOKUPS", 8)
+    docs, items = corpus(5)
+    docs += [(2000 + i, docs[11][1]) for i in range(30)]
+    block = ranked_search._block([i for i, _ in items], [t for _, t in items])
+    held = [(i, Counter(terms(t)), len(terms(t))) for i, t in docs if terms(t)]
+    df = Counter(t for _, c, _ in held for t in c)
+    n = len(held)
+    weights = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in block.numbers])
+    counts = ranked_search.Counts(n, sum(x[2] for x in held), weights)
+    lists = [[(block.numbers[t], k) for t, k in c.items() if t in block.numbers] for _, c, _ in held]
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array([i for i, _, _ in held], pa.int64()),
+            pa.array([m for _, _, m in held], pa.int64()),
+            pa.array([[t for t, _ in x] for x in lists], pa.list_(pa.int32())),
+            pa.array([[k for _, k in x] for x in lists], pa.list_(pa.int32())),
+        ],
+        ["doc_id", "n", "terms", "counts"],
+    )
+    parts = list(ranked_search._bounded(batch))
+    assert len(parts) > 20 and sum(p.num_rows for p in parts) == n
+    best = [ranked_search.Best(10) for _ in items]
+    for p in parts:
+        doc, postings = ranked_search._inverted(p, counts, 10)
+        for q, found in enumerate(best):
+            ranked_search.search(postings, doc, block.terms[q], block.times[q], found)
+    for found, (_, text) in zip(best, items):
+        assert list(zip(range(1, 11), found.doc.tolist(), found.score.tolist())) == ranking(docs, text)
+
+
 def test_range_maximum_table():
     rnd = np.random.default_rng(1)
     impact = rnd.integers(0, 50, 200)
@@ -357,3 +385,45 @@ def test_rebuilt_conversations_of_the_query(spark, tmp_path):
     found = queries()["op13_double_array_trie"](spark, str(tmp_path))
     names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     assert sorted((tuple(r[c] for c in names) for r in found.collect()), key=repr) == trie(rebuilt)
+
+
+# ---- the ring -------------------------------------------------------------------------------------------
+
+
+def walked(ids, n_shards, points, slots):
+    """Shard of every id: row by row to the owner of its arc, then those that found no room on to the next arcs."""
+    import xxhash
+
+    nodes = sharding.ring(n_shards, points, slots)
+    room = [len(ids) // n_shards + (s < len(ids) % n_shards) for s in range(n_shards)]
+
+    def place(i):
+        mixed = np.uint64(xxhash.xxh64_intdigest(np.int64(i).tobytes(), seed=42)).astype(np.int64)
+        slot = int(mixed) % slots
+        arc = next((k for k, (at, _) in enumerate(nodes) if at >= slot), 0)
+        return arc, slot, int(mixed), i
+
+    waiting, found = [], {}
+    for arc, _, _, i in sorted(map(place, ids)):
+        shard = nodes[arc][1]
+        if room[shard]:
+            room[shard] -= 1
+            found[i] = shard
+        else:
+            waiting.append((arc, i))
+    for arc, i in waiting:
+        while not room[nodes[arc][1]]:
+            arc = (arc + 1) % len(nodes)
+        room[nodes[arc][1]] -= 1
+        found[i] = nodes[arc][1]
+    return found
+
+
+@pytest.mark.parametrize("n_shards, points", [(1, 3), (5, 4), (24, 16)])
+def test_ring_equals_walking_row_by_row(spark, n_shards, points):
+    ids = random.Random(n_shards).sample(range(10_000), 700)
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id bigint").repartition(3)
+    found = sharding.shard(frame, n_shards, points=points, slots=1 << 12).collect()
+    assert {r["doc_id"]: r["shard"] for r in found} == walked(ids, n_shards, points, 1 << 12)
+    for s in range(n_shards):
+        assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
