@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -133,3 +133,13 @@ def save(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def save_alone(spark: SparkSession, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """``save`` what ``build`` makes, and delete the tables it stored on the way; also the folder of the result."""
+    path = scratch_dir(spark)
+    with job_folder(spark) as folder:
+        df = build()
+        df.write.parquet(path)
+    delete_folder(spark, folder)
+    return spark.read.schema(df.schema).parquet(path), path
