@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from samerow.llm import exact_dedup, jaccard, packing, quality, secrets
 from samerow.llm.queries import END_ID, tokenizer_file
-from samerow.session import save
+from samerow.session import delete_folder, save_alone
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``, each stored as Parquet before the next."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages in order over ``documents``, each stored as Parquet before the next.
+
+    Tables that a stage stored on its way, and its input, are deleted once its result is stored.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir))
+        docs, path = save_alone(spark, partial(stage, spark, docs, sf_dir))
+        if before is not None:
+            delete_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
