@@ -5,12 +5,14 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
 
 from samerow.llm.oracle import oracle_sql
 from samerow.llm.queries import END_ID, N_SHARDS, queries
+from samerow.session import shared_folder
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -190,7 +192,11 @@ def test_pipeline(spark, documents, byte_ids):
         last[documents[doc]] = doc
     rows = sorted((d, t) for t, d in last.items())
     firsts = {c for _, _, c in brute.component_ids(rows, 5, 80)}
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    stored = set(shared.iterdir())
     packed = corpus_pipeline.run(spark, SF).collect()
+    left = [x for x in shared.iterdir() if x not in stored]
+    assert len(left) <= 4  # the last stage's input and its own tables
     assert {r["doc_id"] for r in packed} == firsts
     for r in packed:
         if not brute.base_spans(documents[r["doc_id"]]) and r["piece"] == 0:
