@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -113,16 +112,6 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, if no DataFrame in use depends on them.
-
-    It does so when the driver collects garbage, which a driver with little to do seldom does by itself; until then
-    the files of all steps of a long operator lie side by side.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
