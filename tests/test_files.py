@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from samerow import Options, clean, find_duplicates
 from samerow.operators import HUNGARIAN, index_blocks, line_counts, line_numbers, run_summary
+from samerow.plans import queries as registry
 from samerow.session import shared_folder
 from samerow.sources import LINE_SUFFIXES, keyed, list_inputs, mark_headers, read_lines, read_rewritten, write_report
 from tests import model
@@ -372,3 +373,20 @@ def test_summary_of_lines_with_blank_ones(spark, tmp_path):
     (total,) = run_summary(line_counts(index_blocks(marked)), none).collect()
     n = sum(max(len(python_lines(tmp_path / "in" / name)) - 1, 0) for name in EDGE)
     assert total.asDict() == {"n_before": n, "n_deleted": 0, "n_after": n}
+
+
+def test_document_files(spark, tmp_path, monkeypatch):
+    """A text file for each source and range, and the decoys whole in a file per scan task."""
+    rows = [(i, f"text {i}\nend", f"s{i % 4}" if i % 9 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(registry, "DOCS_PER_FILE", 10)
+    folder = Path(registry.document_folder(spark, str(tmp_path)).removeprefix("file:"))
+    name = {i: f"{source}-{i // 10}" if source else f"{i // 10}" for i, _, source in rows}
+    texts = {p.parent.name.removeprefix("name="): p.read_text() for p in folder.rglob("*.txt")}
+    assert len(list(folder.rglob("*.txt"))) == len(texts) == len(set(name.values()))
+    assert texts == {n: "".join(f"{text}\n" for i, text, _ in rows if name[i] == n) for n in texts}
+    decoys = list(folder.rglob("*.json"))
+    assert 0 < len(decoys) <= 2
+    known = spark.read.json(str(folder), recursiveFileLookup=True, pathGlobFilter="*.json")
+    assert {r["doc_id"]: r["name"] for r in known.collect()} == name
