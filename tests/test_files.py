@@ -13,6 +13,7 @@ from samerow.operators import HUNGARIAN, index_blocks, line_counts, line_numbers
 from samerow.plans import queries as registry
 from samerow.session import shared_folder
 from samerow.sources import LINE_SUFFIXES, keyed, list_inputs, mark_headers, read_lines, read_rewritten, write_report
+from samerow.sources import files as text_files
 from tests import model
 
 
@@ -375,6 +376,16 @@ def test_summary_of_lines_with_blank_ones(spark, tmp_path):
     assert total.asDict() == {"n_before": n, "n_deleted": 0, "n_after": n}
 
 
+def test_hidden_names_are_sorted_out_where_they_are_listed(spark, tmp_path):
+    """The hidden files that a writer keeps beside the others do not come to the driver's Python."""
+    names = {f"d{i}/{name}": "" for i in range(20) for name in ("a.csv", ".a.csv.tmp", "_b.txt")}
+    put(tmp_path, **names)
+    found = text_files._glob(spark, f"{tmp_path}/*/[._]*", "*.{txt,TXT}")
+    assert [s.getPath().getName() for s in found] == 20 * ["_b.txt"]
+    assert len(text_files._glob(spark, f"{tmp_path}/*/[._]*")) == 40
+    assert list_inputs(spark, str(tmp_path), recursive=True).count() == 20
+
+
 def test_document_files(spark, tmp_path, monkeypatch):
     """A text file for each source and range, and the decoys whole in a file per scan task."""
     rows = [(i, f"text {i}\nend", f"s{i % 4}" if i % 9 else None) for i in range(200)]

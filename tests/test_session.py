@@ -1,6 +1,18 @@
 import pytest
 
-from samerow.session import PARTITION_BYTES, configure, input_size, job_settings, pin_splits, save, scratch_dir, shuffle_partitions
+from samerow.session import (
+    LISTING_TASKS,
+    PARTITION_BYTES,
+    configure,
+    input_size,
+    job_settings,
+    pin_splits,
+    save,
+    scratch_dir,
+    shuffle_partitions,
+)
+from samerow.sources import list_inputs
+from samerow.sources.files import scans_of
 
 
 @pytest.fixture
@@ -69,3 +81,28 @@ def test_a_cluster_must_name_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_dir(Session())
+
+
+@pytest.mark.parametrize("own", [None, "3"])
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path, conf, own):
+    for i in range(150):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.csv").write_text("h\nk\n")
+    name = "sources.parallelPartitionDiscovery.parallelism"
+    if own:
+        conf(**{name.replace(".", "__"): own})
+    context = spark.sparkContext
+    most = int(own or LISTING_TASKS * context.defaultParallelism)
+    context.setJobGroup(f"listing {own}", "")
+    try:
+        assert list_inputs(spark, str(tmp_path), recursive=True).count() == 150
+        listed = list_inputs(spark, str(tmp_path), recursive=True)
+        assert len(scans_of(spark, listed)) == 1
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    jobs = sorted(status.getJobIdsForGroup(f"listing {own}"))
+    tasks = [status.getStageInfo(s).numTasks for j in jobs for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+    assert tasks[0] == most  # the first job lists
+    assert max(tasks) < 150
+    assert spark.conf.get("spark.sql." + name, None) == own
