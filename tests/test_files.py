@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samerow import Options, clean, find_duplicates
-from samerow.operators import HUNGARIAN, index_blocks, line_counts, line_numbers, run_summary
+from samerow.operators import HUNGARIAN, index_blocks, line_counts, line_numbers, numbering, run_summary
 from samerow.plans import queries as registry
 from samerow.session import shared_folder
 from samerow.sources import LINE_SUFFIXES, keyed, list_inputs, mark_headers, read_lines, read_rewritten, write_report
@@ -401,3 +401,16 @@ def test_document_files(spark, tmp_path, monkeypatch):
     assert 0 < len(decoys) <= 2
     known = spark.read.json(str(folder), recursiveFileLookup=True, pathGlobFilter="*.json")
     assert {r["doc_id"]: r["name"] for r in known.collect()} == name
+
+
+def test_headers_are_skipped_with_one_count_of_lines(spark, monkeypatch):
+    counted = []
+
+    def counting(lines):
+        counted.append(lines)
+        return index_blocks(lines)
+
+    monkeypatch.setattr(registry, "index_blocks", counting)
+    monkeypatch.setattr(numbering, "index_blocks", counting)
+    assert registry.q_skip_header(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(counted) == 1
