@@ -15,12 +15,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from samerow.operators import index_blocks, input_totals, render_report
+from samerow.operators import index_blocks, render_report
 from samerow.operators.skew import key_hash
 from samerow.plans.jobs import Options
 from samerow.session import delete_folder, job_folder, job_settings
-from samerow.sources import keyed, list_inputs, mark_headers, require_unchanged, snapshot
+from samerow.sources import keyed, mark_headers, require_unchanged, snapshot
 from samerow.sources.files import scans_of
+from samerow.sources.snapshot import require_same
 
 COUNTS = (
     "key_hash bigint, key string, path string, file string, n bigint, first struct<block: bigint, pos: bigint, prefix: string>, "
@@ -65,24 +66,24 @@ class KeyState:
         error, and so is a new one that is changed while it is read.
         """
         o, spark = self.options, self.spark
-        listed = list_inputs(spark, path, o.pattern, o.recursive)
-        with job_settings(spark, input_totals(listed).first()["total_size"]), job_folder(spark) as scratch:
+        with job_folder(spark) as scratch:
+            # One listing before the lines are read, and one after.
             now = snapshot(spark, path, o.pattern, o.recursive)
-            known = self.files()
-            old = now.select("path").join(known, "path")
-            require_unchanged(spark, old.select("path", "size", "modified"), path, o.pattern, o.recursive)
-            new = now.join(known.select("path"), "path", "left_anti")
-            lines = reduce(DataFrame.unionByName, scans_of(spark, new))
-            marked = mark_headers(lines, index_blocks(lines))
-            batch = uuid.uuid4().hex
-            counts = _counts(keyed(marked, **o.keys())).withColumn("batch", F.lit(batch))
-            self._append(counts.repartition(self.buckets, "key_hash"))
-            require_unchanged(spark, new, path, o.pattern, o.recursive)
-            n_new = new.count()
-            if n_new:
-                new.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{self.folder}/files")
-            delete_folder(spark, scratch)
-            return n_new
+            with job_settings(spark, now.agg(F.sum("size").alias("size")).first()["size"] or 0):
+                known = self.files()
+                require_same(now.select("path").join(known, "path").select("path", "size", "modified"), now)
+                new = now.join(known.select("path"), "path", "left_anti")
+                lines = reduce(DataFrame.unionByName, scans_of(spark, new))
+                marked = mark_headers(lines, index_blocks(lines))
+                batch = uuid.uuid4().hex
+                counts = _counts(keyed(marked, **o.keys())).withColumn("batch", F.lit(batch))
+                self._append(counts.repartition(self.buckets, "key_hash"))
+                require_unchanged(spark, new, path, o.pattern, o.recursive)
+                n_new = new.count()
+                if n_new:
+                    new.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{self.folder}/files")
+                delete_folder(spark, scratch)
+                return n_new
 
     def _append(self, counts: DataFrame) -> None:
         counts.select("key_hash", "key", "path", "file", "n", "first", "batch").write.insertInto(self._table())

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from samerow.session import save
+from samerow.session import LISTING_TASKS, save
 from samerow.sources.files import FILE_PATTERN, matching_files
 
 
@@ -20,11 +20,13 @@ def snapshot(spark: SparkSession, path: str, pattern: str = FILE_PATTERN, recurs
 
 def _listed(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
     meta = F.col("_metadata")
-    return matching_files(spark, "binaryFile", path, pattern, recursive).select(
+    listed = matching_files(spark, "binaryFile", path, pattern, recursive).select(
         meta["file_path"].alias("path"),
         meta["file_size"].alias("size"),
         meta["file_modification_time"].alias("modified"),
     )
+    # A split has a few files, of which only names are read: not a task and a stored file for each.
+    return listed.coalesce(LISTING_TASKS * spark.sparkContext.defaultParallelism)
 
 
 def changed_files(
@@ -34,7 +36,12 @@ def changed_files(
 
     Files that came later are not looked at: no pass of the job reads them.
     """
-    now = _listed(spark, path, pattern, recursive).withColumnsRenamed({"size": "size_now", "modified": "modified_now"})
+    return changed_since(before, _listed(spark, path, pattern, recursive))
+
+
+def changed_since(before: DataFrame, now: DataFrame) -> DataFrame:
+    """``changed_files`` between two snapshots."""
+    now = now.withColumnsRenamed({"size": "size_now", "modified": "modified_now"})
     same = (F.col("size") == F.col("size_now")) & (F.col("modified") == F.col("modified_now"))
     return before.join(now, "path", "left").filter(~F.coalesce(same, F.lit(False))).select("path")
 
@@ -43,6 +50,11 @@ def require_unchanged(
     spark: SparkSession, before: DataFrame, path: str, pattern: str = FILE_PATTERN, recursive: bool = False
 ) -> None:
     """Fail if a file of the ``snapshot`` has changed."""
-    changed = changed_files(spark, before, path, pattern, recursive).orderBy("path").first()
+    require_same(before, _listed(spark, path, pattern, recursive))
+
+
+def require_same(before: DataFrame, now: DataFrame) -> None:
+    """Fail if a file of the snapshot ``before`` is another in ``now``."""
+    changed = changed_since(before, now).orderBy("path").first()
     if changed is not None:
         raise RuntimeError(f"{changed['path']} was changed while the job read it")

@@ -2,6 +2,7 @@
 
 import os
 import re
+import sys
 import time
 
 import pytest
@@ -11,7 +12,7 @@ from samerow import Options, clean, find_duplicates
 from samerow.operators import bitmaps, index_blocks, number_report
 from samerow.plans import jobs
 from samerow.plans.state import KeyState
-from samerow.session import save
+from samerow.session import LISTING_TASKS, save
 from samerow.sources import changed_files, keyed, line_scans, list_inputs, mark_headers, read_lines, rewrite, snapshot, write_report
 from samerow.sources import files as text_files
 from tests.test_files import put, report_of, written
@@ -211,3 +212,29 @@ def test_a_batch_that_failed_does_not_count(spark, tmp_path, monkeypatch):
     assert state.entries().count() == 0 and state.add(str(tmp_path / "in")) == 1
     assert {(r["n"], r["n_rows"]) for r in state.entries().collect()} <= {(3, 3), (4, 4)}
     state.close()
+
+
+def test_a_snapshot_is_stored_by_few_tasks(spark, tmp_path, conf):
+    put(tmp_path, **{f"f{i}.csv": "h\nk\n" for i in range(100)})
+    conf(files__maxPartitionBytes="4")
+    stored = snapshot(spark, str(tmp_path))
+    assert stored.count() == 100 and len(stored.inputFiles()) <= LISTING_TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_an_addition_lists_its_folder_twice(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", **FILES)
+    seen = []
+
+    def listing(*args):
+        seen.append(args)
+        return matching(*args)
+
+    matching = text_files.matching_files
+    for module in (text_files, sys.modules["samerow.sources.snapshot"]):  # the package has a function of that name
+        monkeypatch.setattr(module, "matching_files", listing)
+    state = KeyState(spark, str(tmp_path / "state"), ONE, buckets=2)
+    assert state.add(str(tmp_path / "in")) == len(FILES)
+    assert len(seen) == 2
+    assert state.add(str(tmp_path / "in")) == 0
+    assert len(seen) == 4
+    state.close()
