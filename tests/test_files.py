@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from samerow import Options, clean, find_duplicates
 from samerow.operators import HUNGARIAN, index_blocks, line_counts, line_numbers, numbering, run_summary
 from samerow.plans import queries as registry
-from samerow.session import shared_folder
-from samerow.sources import LINE_SUFFIXES, keyed, list_inputs, mark_headers, read_lines, read_rewritten, write_report
+from samerow.session import pack_small_files, shared_folder
+from samerow.sources import LINE_SUFFIXES, WITHOUT_CHECKSUMS, keyed, list_inputs, mark_headers, read_lines, read_rewritten, rewrite, write_report
 from samerow.sources import files as text_files
 from tests import model
 
@@ -414,3 +414,44 @@ def test_headers_are_skipped_with_one_count_of_lines(spark, monkeypatch):
     monkeypatch.setattr(numbering, "index_blocks", counting)
     assert registry.q_skip_header(spark, "/root/testdata/sf0.001").count() > 0
     assert len(counted) == 1
+
+
+def many_documents(spark, tmp_path, monkeypatch):
+    """A table of 400 documents whose derived folder has a file for each ten of a source."""
+    rows = [(i, f"head {i}\nsame line\nline {i}", f"s{i % 4}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(registry, "DOCS_PER_FILE", 10)
+    return str(tmp_path)
+
+
+def test_small_files_share_a_task(spark, tmp_path, monkeypatch, conf):
+    conf(files__maxPartitionBytes=str(8 << 20), files__openCostInBytes=str(4 << 20))
+    sf = many_documents(spark, tmp_path, monkeypatch)
+    lines = registry.folder_lines(spark, sf)
+    assert lines.select("path").distinct().count() == 160
+    assert lines.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    listed = list_inputs(spark, registry.document_folder(spark, sf), "*.txt", recursive=True)
+    assert listed.count() == 160
+
+
+def test_a_lower_cost_of_files_is_left(spark, conf):
+    conf(files__openCostInBytes="7")
+    pack_small_files(spark)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "7"
+
+
+def test_no_checksum_file_beside_each_derived_file(spark, tmp_path, monkeypatch, conf):
+    conf(files__openCostInBytes=str(4 << 20))
+    folder = Path(registry.document_folder(spark, many_documents(spark, tmp_path, monkeypatch)).removeprefix("file:"))
+    assert len(list(folder.glob("name=*/*.txt"))) == 160 and not list(folder.glob("name=*/.*"))
+
+
+def test_rewritten_files_with_and_without_checksums(spark, tmp_path):
+    put(tmp_path / "in", **JOB)
+    lines = marked_lines(read_lines(spark, str(tmp_path / "in")))
+    for name, options in (("with", None), ("without", WITHOUT_CHECKSUMS)):
+        rewrite(lines, str(tmp_path / name), root=str(tmp_path / "in"), options=options)
+        assert written(tmp_path / name) == JOB
+        assert len(list((tmp_path / name).rglob(".*.txt.crc"))) == (len(JOB) if options is None else 0)
+        back = line_numbers(read_rewritten(spark, str(tmp_path / name))).orderBy("file", "line_no")
+        assert [r["value"] for r in back.collect()] == [v for _, text in sorted(JOB.items()) for v in text.splitlines()]
