@@ -2,6 +2,7 @@
 
 import random
 import re
+import threading
 from pathlib import Path
 from urllib.parse import unquote
 
@@ -455,3 +456,16 @@ def test_rewritten_files_with_and_without_checksums(spark, tmp_path):
         assert len(list((tmp_path / name).rglob(".*.txt.crc"))) == (len(JOB) if options is None else 0)
         back = line_numbers(read_rewritten(spark, str(tmp_path / name))).orderBy("file", "line_no")
         assert [r["value"] for r in back.collect()] == [v for _, text in sorted(JOB.items()) for v in text.splitlines()]
+
+
+def test_hidden_names_are_looked_for_beside_deeper_levels(spark, tmp_path, monkeypatch):
+    put(tmp_path, **{"a/b/c.csv": "h\n"})
+    by, glob = {}, text_files._glob
+
+    def watched(spark, pattern, *names):
+        by.setdefault(pattern.endswith("[._]*"), set()).add(threading.get_ident())
+        return glob(spark, pattern, *names)
+
+    monkeypatch.setattr(text_files, "_glob", watched)
+    assert read_lines(spark, str(tmp_path), recursive=True).count() == 1
+    assert by[False] == {threading.get_ident()} and threading.get_ident() not in by[True]
