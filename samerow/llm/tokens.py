@@ -36,7 +36,8 @@ def visible_bytes() -> dict[int, int]:
 
 
 _VISIBLE = visible_bytes()
-_SPACE = chr(_VISIBLE[0x20])
+# The character of each byte in the byte-level alphabet; a line break stays, to part texts.
+_ALPHABET = np.array([b if b == 0x0A else _VISIBLE.get(b, b) for b in range(256)], "<u4")
 
 
 class Memory:
@@ -61,6 +62,22 @@ class Memory:
         """A pool of ids, and for each word where its own begin in it and how many they are. Valid until the next call."""
         if self.held() > self.size:
             self._forget()
+        key, check, start, count, known = self._search(words)
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            self._learn(words, missing, key, check, start, count)
+        return self.pool, start, count
+
+    def recall(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of those ``words`` that are remembered; no others are encoded."""
+        _, _, start, count, known = self._search(words)
+        return {
+            words[i]: self.pool[a : a + n].tobytes()
+            for i, a, n in zip(np.flatnonzero(known).tolist(), start[known].tolist(), count[known].tolist())
+        }
+
+    def _search(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Both halves of the hash of each word, where its ids are and how many, and whether it is known."""
         digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), np.uint64).reshape(-1, 2)
         key, check = np.ascontiguousarray(digests[:, 0]), digests[:, 1]
         at = np.searchsorted(self.key, key)
@@ -68,10 +85,7 @@ class Memory:
         known = (self.key[inside] == key) & (self.check[inside] == check) if len(self.key) else np.zeros(len(key), bool)
         start, count = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         start[known], count[known] = self.start[inside[known]], self.count[inside[known]]
-        missing = np.flatnonzero(~known)
-        if len(missing):
-            self._learn(words, missing, key, check, start, count)
-        return self.pool, start, count
+        return key, check, start, count, known
 
     def _learn(self, words: list[str], missing: np.ndarray, key, check, start, count) -> None:
         ids = self.encode([words[i] for i in missing.tolist()])
@@ -111,7 +125,7 @@ def join_pieces(texts: pa.Array, memory: Memory, space: str) -> tuple[np.ndarray
     offsets = offsets - offsets[0]
     encoded = flat.dictionary_encode()
     index = encoded.indices.to_numpy().astype(np.int64)
-    words = encoded.dictionary.to_pylist()
+    words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
     if space:
         firsts = flat.take(pa.array(offsets[:-1])).to_pylist()
         index[offsets[:-1]] = len(words) + np.arange(len(firsts))
@@ -149,26 +163,25 @@ class ByteEncoder:
         Their pre-tokens are plain: the letters with their space, and the punctuation. All others go through
         the whole tokenizer.
         """
-        out: list[bytes | None] = [None] * len(words)
-        tokenize, seen, rest = self.tokenizer.model.tokenize, {}, []
-        for i, word in enumerate(words):
-            letters = word.rstrip(_STOPS)
-            stops = word[len(letters) :]
-            bare = letters[1:] if letters[:1] == " " else letters
-            if not bare.isalpha():
-                rest.append(i)
-                continue
-            if (ids := seen.get(letters)) is None:
-                ids = seen[letters] = self._model(tokenize, letters)
-            out[i] = ids + self._model(tokenize, stops) if stops else ids
+        letters = [w.rstrip(_STOPS) for w in words]
+        plain = [(x[1:] if x[:1] == " " else x).isalpha() for x in letters]
+        # A word with punctuation behind has often been seen without.
+        seen = self.memory.recall(list({x for x, w, p in zip(letters, words, plain) if p and len(x) < len(w)}))
+        new = list({x for x, p in zip(letters, plain) if p and x not in seen})
+        seen |= zip(new, self._model(new))
+        ends = list({w[len(x) :] for x, w, p in zip(letters, words, plain) if p})
+        stops = dict(zip(ends, self._model(ends)))
+        out = [seen[x] + stops[w[len(x) :]] if p else b"" for x, w, p in zip(letters, words, plain)]
+        rest = [i for i, p in enumerate(plain) if not p]
         for i, ids in zip(rest, self._library([words[i] for i in rest])):
             out[i] = ids
         return out
 
-    def _model(self, tokenize, text: str) -> bytes:
-        # Of ASCII letters and punctuation only the space has another character in the alphabet.
-        raw = text.replace(" ", _SPACE) if text.isascii() else text.encode().decode("latin-1").translate(_VISIBLE)
-        return array("I", [t.id for t in tokenize(raw)]).tobytes()
+    def _model(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are one pre-token each, or empty; none has a line break."""
+        raw = _ALPHABET[np.frombuffer("\n".join(texts).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in raw.split("\n")]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

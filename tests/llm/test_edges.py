@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from samerow.llm import binary_output, bpe_fragments, chat, exact_dedup, html_lines, jaccard, packing, quality, secrets, sharding
@@ -541,6 +542,21 @@ def unspaced(rng, n):
     return "".join(rng.choice("的一是不了人我在有他abc") for _ in range(n))
 
 
+def test_known_words_are_not_encoded_anew_for_punctuation_behind_them():
+    import public_tokenizers
+    from samerow.llm.tokens import ByteEncoder
+
+    encoder = ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.encode(pa.array(["So alpha bêta gamma δέλτα"], pa.large_string()))
+    model, asked = encoder._model, []
+    encoder._model = lambda *given: asked.append("".join(given[-1])) or model(*given)
+    text = "So alpha, bêta... gamma; δέλτα!? 4th. a1b, it's. ,alpha ß."
+    ids, _ = encoder.encode(pa.array([text, ""], pa.large_string()))
+    assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {"alpha", "bêta", "gamma", "δέλτα"} & {w for x in asked for w in x.split()}
+    assert any("ß" in x for x in asked)
+
+
 def test_words_are_remembered_within_bounds():
     """Ten times the bound in texts without spaces, and in short words, leave the memory at its bound."""
     import random
