@@ -14,6 +14,9 @@ of its bands, the one that shares most bands with others; in a group of near cop
 from. In a second round all pairs of sets that share a band but are still in different components are compared by
 a short sketch of the whole set, bits against bits; only pairs whose Hamming distance allows a link go on to be
 verified. Both rounds together miss no link between components.
+
+Long sets fill the short sketch, so they have a wide one too, with a bit per gram or more. The pairs that the short
+sketch lets through are compared by it before their texts are fetched: texts are moved for few pairs but the linked ones.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from samerow.llm.components import components
 from samerow.llm.tasks import map_batches, slices, text_column
+from samerow.operators.bitmaps import only, words
 from samerow.session import pin_splits, save
 
 # The white space that ends a word, and letters folded to lower case.
@@ -41,7 +45,7 @@ _FOLD[65:91] += 32
 # Words of 64 bits in the sketch of a whole set.
 SKETCH = 16
 SKETCH_WORDS = [f"s{i}" for i in range(SKETCH)]
-SETS = "row bigint, doc_id bigint, node bigint, other bigint, n_shingles bigint, " + ", ".join(f"{w} bigint" for w in SKETCH_WORDS)
+SETS = "row bigint, doc_id bigint, node bigint, other bigint, n_shingles bigint, wide binary, " + ", ".join(f"{w} bigint" for w in SKETCH_WORDS)
 KEYS = "key bigint, node bigint"
 
 
@@ -138,15 +142,38 @@ def _sums(values: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray
 def sketches(grams: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """The words of each set's sketch: every gram toggles one of its bits."""
     bits = 64 * SKETCH
-    bit = (mix(grams ^ np.uint64(0x2545F491)) % np.uint64(bits)).astype(np.int64)
+    bit = _bits(grams, bits)
     ends = np.cumsum(sizes)
-    words = np.zeros((len(sizes), SKETCH), np.int64)
+    found = np.zeros((len(sizes), SKETCH), np.int64)
     for first in range(0, len(sizes), 1024):  # a byte per bit and set is held for so many sets
         some = sizes[first : first + 1024]
         cells = np.repeat(np.arange(len(some)) * bits, some) + bit[ends[first] - sizes[first] : ends[first + len(some) - 1]]
         odd = (np.bincount(cells, minlength=len(some) * bits) & 1).astype(np.uint8)
-        words[first : first + 1024] = np.packbits(odd).view(np.int64).reshape(len(some), SKETCH)
-    return [np.ascontiguousarray(words[:, i]) for i in range(SKETCH)]
+        found[first : first + 1024] = np.packbits(odd).view(np.int64).reshape(len(some), SKETCH)
+    return [np.ascontiguousarray(found[:, i]) for i in range(SKETCH)]
+
+
+def _bits(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The bit that each gram toggles in a sketch of ``bits``, a power of two."""
+    return (mix(grams ^ np.uint64(0x2545F491)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def wide_sketches(grams: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """A sketch with a bit per gram or more for each set too large for the short one, none for others."""
+    found: list[bytes | None] = [None] * len(sizes)
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes > 64 * SKETCH).tolist():
+        bits = 1 << (int(sizes[i]) - 1).bit_length()
+        odd = np.bincount(_bits(grams[ends[i] - sizes[i] : ends[i]], bits), minlength=bits) & 1
+        found[i] = np.packbits(odd.astype(np.uint8)).tobytes()
+    return found
+
+
+def differing_bits(one: bytes, two: bytes) -> int:
+    """Bits that differ in two wide sketches; the larger is folded, which gives the smaller sketch of the same set."""
+    n = min(len(one), len(two)) // 8
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, n), axis=0) for x in (one, two))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def band_keys(grams: np.ndarray, sizes: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +222,10 @@ def band_keys(grams: np.ndarray, sizes: np.ndarray, similarity: Similarity) -> t
 
 
 def number_sets(docs: DataFrame, id_col: str, text_col: str, similarity: Similarity) -> DataFrame:
-    """Store ``row, doc_id, node, other, n_shingles`` of every row; ``node`` and ``other`` are null without words."""
+    """Store ``row, doc_id, node, other, n_shingles`` and sketches of every row.
+
+    ``node`` and ``other`` are null without words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for each in batches:
@@ -204,8 +234,8 @@ def number_sets(docs: DataFrame, id_col: str, text_col: str, similarity: Similar
                 node, other = set_numbers(grams, sizes)
                 none = sizes == 0
                 arrays = [b.column(0), b.column(1), pa.array(node, mask=none), pa.array(other, mask=none), pa.array(sizes)]
-                arrays += [pa.array(w) for w in sketches(grams, sizes)]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "node", "other", "n_shingles", *SKETCH_WORDS])
+                arrays += [pa.array(wide_sketches(grams, sizes), pa.binary()), *map(pa.array, sketches(grams, sizes))]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "node", "other", "n_shingles", "wide", *SKETCH_WORDS])
 
     pin_splits(docs.sparkSession)
     rows = docs.select(
@@ -244,11 +274,37 @@ def shared_bands(docs: DataFrame, text_col: str, similarity: Similarity) -> Data
     return save(shared.join(leads, "key"))
 
 
-def set_texts(docs: DataFrame, text_col: str, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Store ``node, text`` of one row of ``docs`` for each set in ``nodes``."""
+def known_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Store the first row of each set in ``nodes``, with its size and sketches."""
     first = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return save(texts.join(first, "row").select("node", "text"))
+    return save(sets.join(first, ["node", "row"]).select("node", "row", "n_shingles", "wide", *SKETCH_WORDS))
+
+
+def within_reach(pairs: DataFrame, known: DataFrame, similarity: Similarity) -> DataFrame:
+    """Store the ``pairs`` (``a, b``) whose wide sketches leave room for a link; without them a pair stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [
+                one is None or two is None or differing_bits(one, two) <= similarity.differing(n_one, n_two)
+                for n_one, one, n_two, two in zip(*(b.column(i).to_pylist() for i in range(2, 6)))
+            ]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    one, two = (
+        known.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"
+    )
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
+    return save(map_batches(joined, run, "a bigint, b bigint"))
+
+
+def set_texts(docs: DataFrame, text_col: str, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Store ``node, text`` of one row of ``docs`` for each set in ``pairs``. No other text is moved."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    rows = save(known.select("node", "row").join(ends, "node", "left_semi"))
+    placed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    return save(only(placed, words(rows, "row"), "row").join(rows, "row").select("node", "text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFrame:
@@ -310,12 +366,11 @@ def near_duplicates(
         again = Similarity(similarity.n, similarity.part, similarity.whole, similarity.seed + 1)
         return near_duplicates(docs, id_col, text_col, again)
     bands = shared_bands(docs, text_col, similarity)
-    texts = set_texts(docs, text_col, sets, bands.select("node").distinct())
-    known = sets.join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    known = save(known.select("node", "n_shingles", *SKETCH_WORDS))
+    known = known_sets(sets, bands.select("node").distinct())
     star = bands.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     star = save(star.join(_end(known, "a"), "a").join(_end(known, "b"), "b").filter(_may_link(similarity)).select("a", "b"))
-    links = verified(star, texts, similarity)
+    near = within_reach(star, known, similarity)
+    links = verified(near, set_texts(docs, text_col, known, near), similarity)
     found = save(components(links))
 
     part = F.coalesce("component", "node")
@@ -327,7 +382,8 @@ def near_duplicates(
     apart = (one["key"] == two["key"]) & (F.col("part_a") < F.col("part_b")) & _may_link(similarity)
     rest = one.join(two, apart).select("a", "b").distinct()
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = verified(save(rest.join(tried, ["a", "b"], "left_anti")), texts, similarity)
+    near = within_reach(rest.join(tried, ["a", "b"], "left_anti"), known, similarity)
+    more = verified(near, set_texts(docs, text_col, known, near), similarity)
     whole = save(components(links.unionByName(more)))
 
     # The component of a set, then the smallest document id in it.

@@ -45,6 +45,12 @@ def without(rows: DataFrame, bitmap: DataFrame, number: str = "pos", fits: bool
     return joined.filter(~F.coalesce(held, F.lit(False))).select(*rows.columns)
 
 
+def only(rows: DataFrame, bitmap: DataFrame, number: str = "pos") -> DataFrame:
+    """``rows`` whose ``number`` is in the stored ``bitmap``, which is broadcast or joined as in ``without``."""
+    joined, held = _marked(rows, bitmap, F.col(number), "inner", bitmap.count() <= BROADCAST_WORDS)
+    return joined.filter(held).select(*rows.columns)
+
+
 def in_rounds(bitmap: DataFrame, first: int, end: int) -> list[tuple[int, int]]:
     """The scan tasks from ``first`` to ``end`` in ranges with at most ``BROADCAST_WORDS`` rows of the bitmap each.
 

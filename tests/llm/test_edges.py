@@ -533,6 +533,42 @@ def test_near_duplicates_equal_all_pairs(spark, n, part):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute.component_ids(rows, n, part)
 
 
+def test_texts_are_fetched_for_hardly_any_pair_but_linked_ones(spark, monkeypatch):
+    """Long texts share a passage, and so bands, with each other; two of each eight are near copies, of other lengths."""
+    import random
+
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(600)]
+    rows = []
+    for i in range(24):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(3000, 4200))] + passage
+        rows.append((2 * i, " ".join(own)))
+        if i % 4 == 0:
+            rows.append((2 * i + 1, " ".join(own[: -rng.randint(100, 300)])))
+    path = scratch_dir(spark)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    tried, verified = [], jaccard.verified
+
+    def counted(pairs, *others):
+        tried.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    found = jaccard.near_duplicates(spark.read.parquet(path), similarity=jaccard.Similarity(5, 80)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute.component_ids(rows, 5, 80)
+    assert sum(tried) <= 8  # six pairs are linked
+
+
+def test_wide_sketches_differ_in_no_more_bits_than_sets_in_grams():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, more in ((1025, 0), (1500, 900), (2040, 30), (4000, 6000), (1100, 20_000)):
+        grams = rng.integers(0, 1 << 62, n + more, np.uint64)
+        both = np.concatenate([np.sort(grams[:n]), np.sort(grams)])
+        one, two = jaccard.wide_sketches(both, np.array([n, n + more]))
+        assert jaccard.differing_bits(one, two) == jaccard.differing_bits(two, one) <= more
+    assert jaccard.wide_sketches(grams[:1024], np.array([1024])) == [None]
 
 
 # ---- memory of the encoders -----------------------------------------------------------------------------
